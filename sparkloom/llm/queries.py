@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, sharding
+from . import langid, linededup, quality, sharding, tokens
 from .common import table
 
 
@@ -19,12 +19,12 @@ OP8_SQL = """
 with d as (select doc_id, text, source, string_split(text, chr(10)) as ls from documents),
 l as (select coalesce('s' || source, 'n') as site, trim(x) as line from (select source, unnest(ls) as x from d) t),
 bad as (select line from l where line <> '' group by line having count(distinct site) >= 10),
-f as (select d.doc_id, d.text, d.ls, list_filter(d.ls, x -> trim(x) <> '' and list_contains(b.lines, trim(x))) as gone
+f as (select d.doc_id, d.text, d.ls, list_filter(d.ls, lambda x: trim(x) <> '' and list_contains(b.lines, trim(x))) as gone
   from d, (select coalesce(list(line), []) as lines from bad) b),
-g as (select *, coalesce(list_sum(list_transform(gone, x -> length(x))), 0) > 0.5 * coalesce(list_sum(list_transform(ls, x -> length(x))), 0) as whole from f)
+g as (select *, coalesce(list_sum(list_transform(gone, lambda x: length(x))), 0) > 0.5 * coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) as whole from f)
 select doc_id, coalesce(len(ls), 0)::bigint as n_lines,
   case when len(gone) > 0 and not whole then len(gone) else 0 end::bigint as n_removed,
-  md5(case when len(gone) > 0 and not whole then array_to_string(list_filter(ls, x -> not list_contains(gone, x)), chr(10)) else text end) as kept_md5
+  md5(case when len(gone) > 0 and not whole then array_to_string(list_filter(ls, lambda x: not list_contains(gone, x)), chr(10)) else text end) as kept_md5
 from g
 """
 
@@ -33,7 +33,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out("doc_id")))
+    out = langid.identify(docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "p_good", "p_text", "p_page", (F.col("p_good") >= quality.THRESHOLD).alias("accepted"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op10_sharding": op10_sharding,
 }
