@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, quality, sharding, tokens
+from . import decontam, hamming, langid, linededup, packing, quality, sharding, tokens
 from .common import table
 
 
@@ -54,13 +54,47 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, F.col("vec_id") % 50 == 0, 10)
+
+
+OP2_SQL = """
+with c as (select vec_id, list_sum(list_transform(range(1, 65), lambda i: case when embedding[i] > 0 then 1::hugeint << (64 - i)::int else 0::hugeint end))::hugeint as code from embeddings),
+p as (select q.vec_id as query_id, e.vec_id as neighbor_id, bit_count(xor(q.code, e.code))::int as distance
+  from c q, c e where q.vec_id % 50 = 0 and e.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by distance, neighbor_id)::int as rank from p)
+select query_id, rank, neighbor_id, distance from r where rank <= 10
+"""
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") > 0)
+    ids = F.transform("hits", lambda x: x.item_id)
+    return found.select("doc_id", F.size("hits").alias("n_items"), ids.alias("item_ids"), F.array_max(F.transform("hits", lambda x: x.n_same)).alias("most_same"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return packing.pack(counted.select("doc_id", "n_tokens"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_hamming_topk": op2_hamming_topk,
+    "op4_decontamination": op4_decontamination,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL = {
+    "op2_hamming_topk": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
 }
