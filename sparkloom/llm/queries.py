@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hamming, langid, linededup, packing, quality, sharding, tokens
+from . import decontam, hamming, langid, linededup, neardup, packing, quality, sharding, tokens
 from .common import table
 
 
@@ -84,10 +84,30 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counted.select("doc_id", "n_tokens"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
+OP5_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, case when len(ws) = 1 then ws[1] else ws[i] || ' ' || ws[i + 1] end as sh
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws), 2))) as i from w where len(ws) > 0) t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id < y.doc_id group by all),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+b as (select a, b from e union all select b, a from e),
+r as (select doc_id as v, doc_id as t from n union select r.v, b.b from r join b on b.a = r.t),
+c as (select v, min(t) as comp from r group by v)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.comp, w.doc_id) as component_id, coalesce(c.comp, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join c on c.v = w.doc_id
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_hamming_topk": op2_hamming_topk,
     "op4_decontamination": op4_decontamination,
+    "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
@@ -96,5 +116,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_hamming_topk": OP2_SQL,
+    "op5_minhash": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
 }
