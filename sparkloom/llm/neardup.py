@@ -200,6 +200,7 @@ def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
             for batch in texts:
                 yield pa.array([shingles(t, size).tobytes() for t in batch.to_pylist()], pa.binary())
 
+        texts = ids.join(wanted, "id").distinct().select("id", full("text").alias("set"))
         sets = put.keep(texts, "sets")
         fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
         sizes = classes.select(F.col("id").alias("a"), F.col("n").alias("na"))
