@@ -67,14 +67,14 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", code_
     )
     found = None
     for r in range(BITS + 1):
-        active = queries.where(F.col("bound") >= SEGMENTS * r)
+        active = queries.where(F.col("bound") >= SEGMENTS * r).repartition("code")  # a few rows become many
         if r and active.isEmpty():
             break
         probes = active.select("code", "bound", F.posexplode(F.array(*(_segment(F.col("code"), s) for s in range(SEGMENTS)))).alias("s", "w"))
         probes = probes.where(SEGMENTS * r + F.col("s") <= F.col("bound")).select("code", "bound", "s", F.explode(_masks(r)).alias("m"), "w")
         probes = probes.select("code", "bound", "s", F.col("w").bitwiseXOR(F.col("m").cast("int")).alias("v"))
         d = F.bit_count(F.col("code").bitwiseXOR(F.col("c")))
-        hit = probes.join(index, (probes.s == index.s) & (probes.v == index.v) & (d <= F.col("bound"))).select("code", "c", "n", d.alias("d"))
+        hit = probes.join(index.hint("merge"), (probes.s == index.s) & (probes.v == index.v) & (d <= F.col("bound"))).select("code", "c", "n", d.alias("d"))
         found = put.keep((hit if found is None else found.unionAll(hit)).distinct(), f"found{r}")
         # the k-th distance so far, from counts by distance: at most 65 rows a query
         by_d = found.groupBy("code", "d").agg(F.sum("n").alias("n"))
