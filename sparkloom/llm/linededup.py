@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import Scratch, row_key
 
 MIN_SITES, LG_K, BAND, MAX_SHARE = 10, 10, 0.25, 0.5
 
@@ -24,18 +24,19 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(31), line).alias("b"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(put: Scratch, lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes h of the lines on min_sites sites or more, for rows (h, site).
 
     Estimates outside the band decide by themselves: with 2**10 registers the relative error is about 3 %, the band
     is 8 times as wide. In it the exact count decides.
     """
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n"))
-    spread = spread.where(F.col("n") >= F.lit(int(min_sites * (1 - BAND))))
+    # few lines get this far; written, their true size decides how the joins below are done
+    spread = put.keep(spread.where(F.col("n") >= F.lit(int(min_sites * (1 - BAND)))), "spread")
     sure = spread.where(F.col("n") > F.lit(int(min_sites * (1 + BAND)))).select("h")
     near = spread.where(F.col("n") <= F.lit(int(min_sites * (1 + BAND)))).select("h")
     exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("h")
-    return sure.unionAll(exact)
+    return put.keep(sure.unionAll(exact), "boilerplate")
 
 
 def dedup_lines(
@@ -48,7 +49,7 @@ def dedup_lines(
     parts = df.select(row_key(id_col, text_col).alias("k"), site.alias("site"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
     parts = parts.select("k", "site", F.trim("line").alias("line")).where("line <> ''")
     lines = parts.select("k", "site", _hash(F.col("line")).alias("h"))
-    spread = boilerplate(lines.select("h", "site"), min_sites)
+    spread = boilerplate(Scratch(df.sparkSession, "lines"), lines.select("h", "site"), min_sites)
     found = lines.select("k", "h").join(spread, "h").groupBy("k").agg(F.collect_set("h").alias("__bad"))
     all_lines = F.split(F.col(text_col), "\n", -1)
     is_bad = lambda x: (F.trim(x) != "") & F.array_contains("__bad", _hash(F.trim(x)))
