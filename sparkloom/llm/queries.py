@@ -80,7 +80,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    counted = tokens.measure_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return packing.pack(counted.select("doc_id", "n_tokens"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHE_CHARS = 300_000, 40
+CACHE, CACHE_CHARS = 1_000_000, 40
 START = "▁"
 _SEGMENT = re.compile(f"{START}*[^{START}\n]+|{START}+|\n")
 
@@ -43,8 +43,8 @@ class PrefixCounter(dict):
         self.rank = {p.piece: -p.score for p in m.pieces if p.type == kinds.NORMAL}
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in m.pieces) or any(START in p.lstrip(START) or "\n" in p for p in self.rank):
             raise ValueError("words of this vocabulary are not independent")
-        self.longest = max(map(len, self.rank))
-        self.ends = {p[-2:] for p in self.rank if len(p) > 1}
+        self.endings = {p[k:] for p in self.rank for k in range(len(p))}
+        self.model = m
         self.split: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -101,25 +101,27 @@ class PrefixCounter(dict):
 
     def word(self, w: str) -> list[int]:
         """Token counts of w[:0], w[:1], ..., w."""
-        rank, pairs, longest, ends = self.rank, self.pairs, self.longest, self.ends
+        rank, pairs, endings = self.rank, self.pairs, self.endings
         count, last = [0], [""]
         for i in range(1, len(w) + 1):
-            t, j = w[i - 1], i - 1
-            if i > 1 and w[i - 2 : i] in ends:
-                for k in range(max(0, i - longest), i - 1):
-                    c = w[k:i]
-                    if c in rank:
-                        if k:
-                            pair = (last[k], c)
-                            ok = pairs.get(pair)
-                            if ok is None:
-                                if len(pairs) > 2 * CACHE:
-                                    pairs.clear()
-                                ok = pairs[pair] = self._may_follow(*pair)
-                            if not ok:
-                                continue
-                        t, j = c, k
-                        break
+            t, j, k = w[i - 1], i - 1, i - 2
+            pieces = []
+            while k >= 0 and (c := w[k:i]) in endings:
+                if c in rank:
+                    pieces.append((k, c))
+                k -= 1
+            for k, c in reversed(pieces):
+                if k:
+                    pair = (last[k], c)
+                    ok = pairs.get(pair)
+                    if ok is None:
+                        if len(pairs) > CACHE // 2:
+                            pairs.clear()
+                        ok = pairs[pair] = self._may_follow(*pair)
+                    if not ok:
+                        continue
+                t, j = c, k
+                break
             count.append(count[j] + (1 if t in rank else len(t.encode("utf-8", "surrogatepass"))))
             last.append(t)
         return count
@@ -157,7 +159,32 @@ class PrefixCounter(dict):
         return text[: max(i for i, c in enumerate(counts) if c <= budget)]
 
 
+class LibraryCounter(PrefixCounter):
+    """Counts whole words with the library: for lengths alone, without the rows of the prefixes."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        super().__init__(model_file)
+        self.model.normalizer_spec.add_dummy_prefix = False
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model.SerializeToString())
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        words = [self._segments(t) if t else () for t in texts]
+        fresh = list({w for ws in words for w in ws} - self.keys())
+        if len(self) + len(fresh) > CACHE:
+            self.clear()
+            fresh = list({w for ws in words for w in ws})
+        self.update(zip(fresh, map(len, self.library.encode(fresh, num_threads=1)), strict=True))
+        out = [sum(map(self.__getitem__, ws)) for ws in words]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del self[w]
+        return out
+
+
 _loaded: dict[str, PrefixCounter] = {}
+_libraries: dict[str, LibraryCounter] = {}
 
 
 def counter(model_file: str) -> PrefixCounter:
@@ -179,6 +206,21 @@ def count_tokens(df: DataFrame, model_file: str, text_col: str = "text", name: s
     return df.withColumn(name, count(F.col(text_col).cast("string")))
 
 
+def measure_tokens(df: DataFrame, model_file: str, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
+    """As count_tokens, by the library: for callers that need no prefixes."""
+
+    @F.arrow_udf("long")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if model_file not in _libraries:
+            _libraries[model_file] = LibraryCounter(model_file)
+        c = _libraries[model_file]
+        for batch in texts:
+            values = batch.to_pylist()
+            yield pa.array((n for k in range(0, len(values), 500) for n in c.counts(values[k : k + 500])), pa.int64())
+
+    return df.withColumn(name, count(F.col(text_col).cast("string")))
+
+
 def prefix_counts(df: DataFrame, model_file: str, text_col: str = "text", name: str = "prefix_tokens") -> DataFrame:
     """df with the counts of all prefixes, entry i for the first i characters."""
 
