@@ -44,7 +44,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Assigns all of every document to batches."""
     import public_tokenizers
 
-    counted = tokens.count_tokens(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    counted = tokens.measure_tokens(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return packing.pack(counted.select("doc_id", "n_tokens"))
 
 
