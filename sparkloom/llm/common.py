@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of what is finished: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing still to be evaluated reads."""
         jvm, hconf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

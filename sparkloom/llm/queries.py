@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hamming, langid, linededup, neardup, packing, quality, sharding, tokens
+from . import decontam, hamming, langid, linededup, neardup, packing, quality, sharding, suffix, tokens
 from .common import table
 
 
@@ -68,6 +68,10 @@ select query_id, rank, neighbor_id, distance from r where rank <= 10
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,6 +110,7 @@ from w left join n using (doc_id) left join c on c.v = w.doc_id
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_hamming_topk": op2_hamming_topk,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
