@@ -15,7 +15,8 @@ What is left are the first occurrences of different surroundings of one anchor.
 Suffix sorting. Their texts are collected by anchor, whole anchors a block, and suffix-sorted by the difference-cover
 algorithm: triples at the positions not divisible by three are sorted and named, the names are sorted in the same way
 by recursion (until names cover a window), the remaining suffixes are sorted by their first symbol and the rank that
-follows, and both are merged. Neighbours in this order that agree in 100 bytes are repeats. Symbols are 8 bytes long.
+follows, and both are merged. Neighbours in this order that agree in 100 bytes are repeats. A symbol stands for 25
+bytes; symbols are ordered by a hash, which serves as well, as only equal neighbours are looked for.
 
 A block holds at most BLOCK bytes; an anchor with more than that is dealt to several by a hash of the windows. Anchors
 repeated with the same surroundings within a batch of input are resolved there, before the shuffle.
@@ -32,12 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-WINDOW, ANCHOR, CHUNK, BLOCK = 100, 32, 1 << 20, 1_800_000
+WINDOW, ANCHOR, CHUNK, BLOCK, SYMBOL, DOCS = 100, 32, (1 << 20) - 4096, 1_800_000, 25, 3000
+_PLACE = np.uint64((1 << 20) - 1)
 _SPAN = WINDOW - ANCHOR  # an anchor begins at most so many bytes behind the start of its window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,15 +77,16 @@ def _anchors_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             base = base * base
             p *= 2
         h = _finish(h)
-    m, at, w = h, np.arange(len(h), dtype=np.int32), 1
+    # the place in the low bits: of equal hashes the first one counts, in equal windows the same one
+    m, w = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), 1
     while w < _SPAN + 1:
         s = min(w, _SPAN + 1 - w)
-        take = m[s:] < m[:-s]  # of equal ones the first
-        at, m = np.where(take, at[s:], at[:-s]), np.where(take, m[s:], m[:-s])
+        m = np.minimum(m[s:], m[:-s])
         w += s
+    at = (m & _PLACE).astype(np.int64)
     ends = np.flatnonzero(np.diff(at))
     first = np.concatenate([[0], ends + 1])
-    return h, at[first].astype(np.int64), first.astype(np.int64), np.concatenate([ends, [len(at) - 1]]).astype(np.int64)
+    return h, at[first], first.astype(np.int64), np.concatenate([ends, [len(at) - 1]]).astype(np.int64)
 
 
 def anchors(text: bytes, named: bool = True) -> tuple[np.ndarray, ...]:
@@ -167,21 +171,33 @@ def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
 
 def repeated(texts: list[bytes], starts: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """Which of the windows beginning at `starts` of the joined texts have an equal one of a smaller order."""
-    buf = np.frombuffer(b"".join(texts) + bytes(16), np.uint8).astype(np.uint64)
-    n = len(buf) - 8
-    v = np.zeros(n, np.uint64)
-    for j in range(8):
-        v |= buf[j : j + n] << np.uint64(56 - 8 * j)
+    buf = np.frombuffer(b"".join(texts) + bytes(SYMBOL + 8), np.uint8)
+    n = len(buf) - SYMBOL - 7
+    h = {1: _BYTE[buf]}
+    base, p = _BASE, 1
+    with np.errstate(over="ignore"):
+        power = {1: base}
+        while 2 * p <= SYMBOL:
+            h[2 * p] = h[p][:-p] * power[p] + h[p][p:]
+            power[2 * p] = power[p] * power[p]
+            p *= 2
+        v, done = np.zeros(n, np.uint64), 0
+        for p in sorted(h, reverse=True):
+            if SYMBOL - done >= p:
+                v = v * power[p] + h[p][done : done + n]
+                done += p
     _, rank = np.unique(v, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    rows = [np.concatenate([rank[j::8], [0]]) for j in range(8)]  # every suffix once, as a string of 8-byte symbols
-    base = np.cumsum([0, *map(len, rows)])[:8]
-    place = suffix_ranks(np.concatenate(rows) + 1, -(-WINDOW // 8))
-    order = np.argsort(place[base[starts % 8] + starts // 8])
+    rank = rank.astype(np.int64) + 2
+    rows = [np.concatenate([rank[j::SYMBOL], [1]]) for j in range(SYMBOL)]  # every suffix once, as a string of symbols
+    base = np.cumsum([0, *map(len, rows)])[:SYMBOL]
+    place = suffix_ranks(np.concatenate(rows), WINDOW // SYMBOL)
+    order = np.argsort(place[base[starts % SYMBOL] + starts // SYMBOL])
     s = starts[order]
     same = np.ones(max(0, len(s) - 1), bool)
-    for j in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
-        same &= v[s[1:] + j] == v[s[:-1] + j]
+    words = np.lib.stride_tricks.sliding_window_view(buf, 8)
+    for j in [*range(0, WINDOW - 8, 8), WINDOW - 8]:  # the bytes themselves
+        k = np.flatnonzero(same)
+        same[k] = (words[s[1:][k] + j] == words[s[:-1][k] + j]).all(axis=1)
     run = np.concatenate([[0], np.cumsum(~same)]) if len(s) else np.empty(0, np.int64)
     heads = np.flatnonzero(np.concatenate([[True], ~same])) if len(s) else np.empty(0, np.int64)
     least = np.minimum.reduceat(orders[order], heads) if len(s) else np.empty(0, np.int64)
@@ -198,31 +214,35 @@ def _runs(flags: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(s[np.concatenate([[0], cut + 1])].tolist(), s[np.concatenate([cut, [len(s) - 1]])].tolist(), strict=True)
 
 
-NAMED = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("t", pa.int32()), ("at", pa.int32()), ("kind", pa.int8())])
 SEEN, OPEN = 1, 2  # kinds: surroundings came before; to be sorted
+#: place: t, at and kind in one number
+NAMED = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
+_KIND = np.int64(3)
 
 
 def _first_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of (id, t, text); those whose surroundings came before in the same batch are marked."""
     for batch in batches:
-        cols = []
-        for i, t, text in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "text")), strict=True):
-            at, _, _, key, around = anchors(text.encode("utf-8", "surrogatepass") if text else b"")
-            cols.append((key, around, np.full(len(at), i), np.full(len(at), t, np.int32), at.astype(np.int32)))
-        key, around, ids, ts, at = (np.concatenate(x) for x in zip(*cols, strict=True)) if cols else (np.empty(0, np.int64),) * 5
-        order = np.lexsort((at, ts, ids, around, key))
-        key, around, ids, ts, at = (x[order] for x in (key, around, ids, ts, at))
-        kind = _after_first(key, around, ids, ts, at)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, around, ids, ts.astype(np.int32), at.astype(np.int32), kind.astype(np.int8))], schema=NAMED)
-
-
-def _after_first(key: np.ndarray, around: np.ndarray, ids: np.ndarray, ts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SEEN for those of sorted rows that are later than the first of equal key and surroundings."""
+        for k in range(0, batch.num_rows, DOCS):
+            cols = []
+            for i, t, text in zip(*(batch.column(c).slice(k, DOCS).to_pylist() for c in ("id", "t", "text")), strict=True):
+                at, _, _, key, around = anchors(text.encode("utf-8", "surrogatepass") if text else b"")
+                cols.append((key, around, np.full(len(at), i), (t << 33) + (at << 2)))
+            key, around, ids, place = (np.concatenate(x) for x in zip(*cols, strict=True))
+            order = np.lexsort((place, ids, around, key))
+            key, around, ids, place = (x[order] for x in (key, around, ids, place))
+            seen = _after_first(key, around, ids, place)
+            place = place | np.where(seen, SEEN, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(seen, 0, key), np.where(seen, 0, around), ids, place)], schema=NAMED)
+
+
+def _after_first(key: np.ndarray, around: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of sorted rows are later than the first of equal key and surroundings."""
     if not len(key):
-        return np.empty(0, np.int8)
+        return np.empty(0, bool)
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (around[1:] != around[:-1])])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return ((ids != ids[head]) | (ts != ts[head]) | (at != at[head])).astype(np.int8) * SEEN
+    return (ids != ids[head]) | (place != place[head])
 
 
 def _second_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,20 +250,19 @@ def _second_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: list[np.ndarray] | None = None
 
     def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, around, ids, ts, at, kind = cols
-        kind = np.maximum(kind, _after_first(key, around, ids, ts, at))
+        key, around, ids, place = cols
+        seen = _after_first(key, around, ids, place)
         new = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(new) - 1
-        lead = kind == 0
-        first_class = lead & np.concatenate([[True], (around[1:] != around[:-1]) | new[1:]])
-        classes = np.bincount(group, first_class)
-        kind = np.where(lead & (classes[group] > 1), OPEN, kind)
-        keep = kind > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, around, ids, ts, at, kind.astype(np.int8))], schema=NAMED)
+        first = np.concatenate([[True], (around[1:] != around[:-1]) | new[1:]])
+        open_ = ~seen & (np.bincount(group, first)[group] > 1)
+        place = place | np.where(seen, SEEN, np.where(open_, OPEN, 0))
+        keep = seen | open_
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, around, ids, place)], schema=NAMED)
 
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in NAMED.names]
-        done = cols[5] == SEEN  # these were resolved before the shuffle
+        done = (cols[3] & _KIND) == SEEN  # these were resolved before the shuffle
         if done.any():
             yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in cols], schema=NAMED)
             cols = [c[~done] for c in cols]
@@ -252,7 +271,7 @@ def _second_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(cols[0]):
             held = cols
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1])) if cols[0][0] <= cols[0][-1] else 0
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
         held = [c[cut:] for c in cols]
         if cut:
             yield flush([c[:cut] for c in cols])
@@ -280,26 +299,40 @@ def _result(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int,
     return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
 
+def _joined_runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in ascending order, adjacent ones as one."""
+    if not len(lo):
+        return lo, hi
+    cut = np.flatnonzero(lo[1:] != hi[:-1] + 1)
+    return lo[np.concatenate([[0], cut + 1])], hi[np.concatenate([cut, [len(hi) - 1]])]
+
+
 def _apply_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, t, text, marks: (at, kind, key)) to parts; those without open anchors are done."""
+    """Documents (id, t, text, marks: (place, key)) to parts; those without open anchors are done."""
     for batch in batches:
+        marks = batch.column("marks")
+        ends = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(marks).to_numpy(zero_copy_only=False)))]).astype(np.int64)
+        flat = pc.list_flatten(marks)
+        place, key = flat.field("place").to_numpy(zero_copy_only=False), flat.field("key").to_numpy(zero_copy_only=False)
         rows: list[dict] = []
-        for i, t, text, marks in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "text", "marks")), strict=True):
+        for k, (i, t, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "t", "text")), strict=True)):
             b = text.encode("utf-8", "surrogatepass") if text else b""
-            seen = {m["at"] for m in marks or () if m["kind"] == SEEN}
-            open_ = {m["at"]: m["key"] for m in marks or () if m["kind"] == OPEN}
-            at, lo, hi = anchors(b, False) if marks else (np.empty(0, np.int64),) * 3
-            was = np.isin(at, np.fromiter(seen, np.int64, len(seen)))
-            if not open_:
-                n, gone, spans, sha = _result(b, lo[was], hi[was])
+            p, q = place[ends[k] : ends[k + 1]], key[ends[k] : ends[k + 1]]
+            at, lo, hi = anchors(b, False) if len(p) else (np.empty(0, np.int64),) * 3
+            where = (p >> 2) & 0x7FFFFFFF
+            seen = (p & _KIND) == SEEN
+            was = np.isin(at, where[seen])
+            first, last = _joined_runs(lo[was], hi[was])
+            if seen.all():
+                n, gone, spans, sha = _result(b, first, last)
                 rows.append({"what": "done", "id": i, "t": t, "n_bytes": n, "n_removed": gone, "n_spans": spans, "kept_sha256": sha})
-                continue
-            rows.append({"what": "doc", "id": i, "t": t, "text": b})
-            for k in np.flatnonzero(was):
-                rows.append({"what": "run", "id": i, "t": t, "first": int(lo[k]), "last": int(hi[k])})
-            for k in np.flatnonzero(np.isin(at, np.fromiter(open_, np.int64, len(open_)))):
-                a, z = int(lo[k]), int(hi[k])
-                rows.append({"what": "open", "id": i, "t": t, "key": open_[int(at[k])], "first": a, "last": z, "text": b[a : z + WINDOW]})
+            else:
+                rows.append({"what": "doc", "id": i, "t": t, "text": b})
+                rows += [{"what": "run", "id": i, "t": t, "first": a, "last": z} for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+                of, first_of = np.unique(where[~seen], return_index=True)  # equal rows have equal anchors
+                m = np.searchsorted(at, of)
+                for name, a, z in zip(q[~seen][first_of].tolist(), lo[m].tolist(), hi[m].tolist(), strict=True):
+                    rows.append({"what": "open", "id": i, "t": t, "key": name, "first": a, "last": z, "text": b[a : z + WINDOW]})
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema=PART)
                 rows = []
@@ -378,12 +411,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     put = Scratch(spark, "suffix")
     text = F.col(text_col).cast("string")
-    ids = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("id"), F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int").alias("t"), text.alias("text"))
-    named = ids.mapInArrow(_first_names, "key bigint, around bigint, id bigint, t int, at int, kind tinyint")
-    dealt = named.repartition(F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("id", "at"))).sortWithinPartitions("key", "around", "id", "t", "at")
-    marks = put.keep(dealt.mapInArrow(_second_names, dealt.schema).select("id", "t", "at", "kind", "key"), "names")
+    ids = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("id"), F.pmod(F.xxhash64(text), F.lit(2**30)).cast("int").alias("t"), text.alias("text"))
+    named = ids.mapInArrow(_first_names, "key bigint, around bigint, id bigint, place bigint")
+    dealt = named.repartition(F.when(F.col("key") != 0, F.col("key")).otherwise(F.xxhash64("id", "place"))).sortWithinPartitions("key", "around", "id", "place")
+    marks = put.keep(dealt.mapInArrow(_second_names, dealt.schema).select("id", "place", "key"), "names")
     put.settle()
-    by_doc = marks.groupBy("id", "t").agg(F.collect_set(F.struct("at", "kind", F.when(F.col("kind") == OPEN, F.col("key")).alias("key"))).alias("marks"))
+    t_of = F.shiftright("place", 33).cast("int").alias("t")
+    by_doc = marks.groupBy("id", t_of).agg(F.collect_list(F.struct("place", "key")).alias("marks"))
     docs = ids.join(by_doc, ["id", "t"], "left").select("id", "t", "text", "marks")
     parts = put.keep(docs.mapInArrow(_apply_names, "what string, id bigint, t int, key bigint, first int, last int, text binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "parts")
     put.settle()
