@@ -17,16 +17,16 @@ from __future__ import annotations
 
 import operator
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL, ROUNDS, SURE, THRESHOLD = 6000, 3000, 3, 0.98, 0.5
+MAX_LABELLED, MAX_POOL, ROUNDS, SURE, THRESHOLD = 5000, 2000, 3, 0.98, 0.5
 LEAST_DOCS, LEAST_Z, MOST_WORDS = 8, 5.0, 2000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _KINDS = np.zeros(256, np.int64)  # 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 other ASCII, 7 beyond
@@ -73,42 +73,56 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 0.05) -> np.nd
     return b
 
 
+class Sample:
+    """Documents as arrays of feature numbers, so that thousands of them take little memory."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.docs: list[np.ndarray] = []
+
+    def add(self, features: set[str]) -> None:
+        self.docs.append(np.array([self.number.setdefault(f, len(self.number)) for f in features], np.int32))
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        some = [self.docs[i] for i in rows]
+        return np.bincount(np.concatenate(some), minlength=len(self.number)) if some else np.zeros(len(self.number), np.int64)
+
+
 @dataclass
 class View:
     vocab: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
-    def learn(self, docs: list[set[str]], y: np.ndarray, w: np.ndarray) -> None:
+    def learn(self, sample: Sample, rows: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         """Keeps the features that speak clearly against a document, then fits their weights.
 
         What merely is common in good documents is left out: a short text lacks it through no fault of its own.
         """
-        good, bad = Counter(), Counter()
-        for d, t in zip(docs, y, strict=True):
-            (good if t else bad).update(d)
         n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-        z = {}
-        for f in good.keys() | bad.keys():
-            a, b = good[f], bad[f]
-            if a + b >= LEAST_DOCS:
-                p = (a + b) / (n1 + n0)
-                z[f] = (b / n0 - a / n1) / np.sqrt(max(1e-12, p * (1 - p) * (1 / n1 + 1 / n0)))
-        best = sorted((f for f in z if z[f] >= LEAST_Z), key=lambda f: (-z[f], f))[:MOST_WORDS]
-        self.vocab = {f: k for k, f in enumerate(best)}
-        self.weights = _fit(self.matrix(docs), y, w)
-
-    def matrix(self, docs: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(docs), len(self.vocab)), np.float32)
-        for i, d in enumerate(docs):
-            x[i, [self.vocab[f] for f in self.vocab.keys() & d]] = 1
+        a, b = sample.counts(rows[y == 1]), sample.counts(rows[y == 0])
+        p = (a + b) / (n1 + n0)
+        z = np.where(a + b >= LEAST_DOCS, (b / n0 - a / n1) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / n1 + 1 / n0))), 0)
+        names = list(sample.number)
+        best = sorted(np.flatnonzero(z >= LEAST_Z).tolist(), key=lambda f: (-z[f], names[f]))[:MOST_WORDS]
+        self.vocab = {names[f]: k for k, f in enumerate(best)}
+        self.weights = _fit(self.matrix(sample, rows), y, w)
+
+    def matrix(self, sample: Sample, rows: np.ndarray) -> np.ndarray:
+        column = np.full(len(sample.number), -1, np.int32)
+        for f, k in self.vocab.items():
+            column[sample.number[f]] = k
+        x = np.zeros((len(rows), len(self.vocab)), np.float32)
+        for i, r in enumerate(rows):
+            k = column[sample.docs[r]]
+            x[i, k[k >= 0]] = 1
         return x
 
+    def logits(self, sample: Sample, rows: np.ndarray) -> np.ndarray:
+        return self.matrix(sample, rows) @ self.weights[:-1] + self.weights[-1]
+
     def logit(self, d: set[str]) -> float:
         return float(self.weights[-1] + sum(self.weights[self.vocab[f]] for f in self.vocab.keys() & d))
 
-    def logits(self, docs: list[set[str]]) -> np.ndarray:
-        return np.array([self.logit(d) for d in docs])
-
 
 def _p(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -128,31 +142,35 @@ class CoTrained:
         return tuple(float(_p(np.array(z))) for z in (self.join[0] * a + self.join[1] * b + self.join[2], a, b))
 
 
-def co_train(labelled: list[tuple[str, str, str]], y: np.ndarray, pool: list[tuple[str, str, str]], rounds: int = ROUNDS) -> CoTrained | None:
+def co_train(labelled: Iterable[tuple[str, str | None, str | None]], y: np.ndarray, pool: Iterable[tuple[str, str | None, str | None]], rounds: int = ROUNDS) -> CoTrained | None:
+    """labelled and pool: text, source and language of documents; y: 1 for good ones."""
     if len(set(y.tolist())) < 2:
         return None
     apart = np.arange(len(y)) % 4 == 3
     if len(set(y[~apart].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
         apart = np.zeros(len(y), bool)
-    sets = [[words(t) for t, _, _ in labelled], [set(page_features(*d)) for d in labelled]]
-    pools = [[words(t) for t, _, _ in pool], [set(page_features(*d)) for d in pool]]
+    samples = [Sample(), Sample()]
+    for text, source, lang in chain(labelled, pool):
+        samples[0].add(words(text))
+        samples[1].add(set(page_features(text, source, lang)))
+    own, spare = np.flatnonzero(~apart), np.arange(len(y), len(samples[0].docs))
     views = [View(), View()]
     given: list[dict[int, int]] = [{}, {}]  # what each view has been told about the pool
+    ratio = max(1, round((1 - y.mean()) / max(1e-6, y.mean()))), max(1, round(y.mean() / max(1e-6, 1 - y.mean())))
     for r in range(rounds + 1):
         for v, view in enumerate(views):
-            docs = [d for d, a in zip(sets[v], apart, strict=True) if not a] + [pools[v][i] for i in given[v]]
-            view.learn(docs, np.concatenate([y[~apart], np.array(list(given[v].values()), float)]), np.concatenate([np.ones((~apart).sum()), np.full(len(given[v]), 0.5)]))
-        if r == rounds or not pool:
+            told = np.array(list(given[v]), int)
+            view.learn(samples[v], np.concatenate([own, told]), np.concatenate([y[own], np.array(list(given[v].values()), float)]), np.concatenate([np.ones(len(own)), np.full(len(told), 0.5)]))
+        if r == rounds or not len(spare):
             break
-        ratio = max(1, round((1 - y.mean()) / max(1e-6, y.mean()))), max(1, round(y.mean() / max(1e-6, 1 - y.mean())))
         for v, view in enumerate(views):
-            p = _p(view.logits(pools[v]))
+            p = _p(view.logits(samples[v], spare))
             for kind, sure, n in ((0, 1 - p, 40 * ratio[0]), (1, p, 40 * ratio[1])):
-                for i in [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and i not in given[1 - v]][:n]:
-                    given[1 - v][int(i)] = kind
-    held = apart if apart.any() else ~apart
-    z = [view.logits([d for d, h in zip(sets[v], held, strict=True) if h]) for v, view in enumerate(views)]
-    one = np.ones(held.sum())
+                fresh = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and int(spare[i]) not in given[1 - v]]
+                given[1 - v].update((int(spare[i]), kind) for i in fresh[:n])
+    held = np.flatnonzero(apart) if apart.any() else own
+    z = [view.logits(samples[v], held) for v, view in enumerate(views)]
+    one = np.ones(len(held))
     scale = np.concatenate([_fit(x[:, None], y[held], one, 1e-2) for x in z])
     join = _fit(np.stack([scale[0] * z[0] + scale[1], scale[2] * z[1] + scale[3]], 1), y[held], one, 1e-2)
     return CoTrained(views[0], views[1], scale, join)
@@ -173,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_labell
     near = h < int(1_000_000 * min(1, max_pool / total))
     pool = docs.select(*cols).where(near).join(known.where(near).select(id_col), id_col, "left_anti").select(id_col, "text", "source", "lang").limit(2 * max_pool).collect()
     pool.sort(key=lambda r: (str(r[0]), r.text))
-    return co_train([(r.text, r.source, r.lang) for r in got], np.array([r["__y"] for r in got], float), [(r.text, r.source, r.lang) for r in pool])
+    return co_train(((r.text, r.source, r.lang) for r in got), np.array([r["__y"] for r in got], float), ((r.text, r.source, r.lang) for r in pool))
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
