@@ -1 +1 @@
-
+"""Operators over documents and over node tables."""

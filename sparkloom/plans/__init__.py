@@ -1 +1 @@
-
+"""Selectors and their plans."""
