@@ -16,6 +16,8 @@ other rows all of them are returned.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +34,9 @@ def sign_code(vector: str) -> Column:
 
 
 def _masks(bits: int) -> Column:
-    return F.expr(f"filter(sequence(0, {(1 << BITS) - 1}), x -> bit_count(x) = {bits})")
+    """A constant array: a filter over a sequence would be evaluated anew for each row."""
+    every = (sum(1 << b for b in chosen) for chosen in itertools.combinations(range(BITS), bits))
+    return F.expr(f"cast(split('{','.join(map(str, every))}', ',') as array<int>)")
 
 
 def _segment(code: Column, s: int) -> Column:
@@ -43,6 +47,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", code_
     """query_id, rank (from 1), neighbor_id, distance for the rows of df that are queries."""
     spark = df.sparkSession
     put = Scratch(spark, "hamming")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).cast("long").alias("code"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and code is not null").distinct()
     rows = put.keep(rows, "rows")
     few = rows.groupBy("code", "id").agg(F.lit(1)).select("code", "id").withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -67,7 +72,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", code_
     )
     found = None
     for r in range(BITS + 1):
-        active = queries.where(F.col("bound") >= SEGMENTS * r).repartition("code")  # a few rows become many
+        active = queries.where(F.col("bound") >= SEGMENTS * r).repartition(tasks, "code")  # a few rows become many
         if r and active.isEmpty():
             break
         probes = active.select("code", "bound", F.posexplode(F.array(*(_segment(F.col("code"), s) for s in range(SEGMENTS)))).alias("s", "w"))
