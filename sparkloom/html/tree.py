@@ -101,8 +101,10 @@ class Builder:
             if raw and token.kind == START and (token.name in RCDATA or token.name in RAWTEXT or token.name == "plaintext") and self.names and self.names[-1] == token.name:
                 self.tokens.switch = token.name
         if self.options.html_at_eof:
+            names = {self.tree.name[i] for i in self.tree.walk()}
             for name in ("html", "head", "body"):
-                if name not in (self.tree.name[i] for i in self.tree.walk()):
+                if name not in names:
+                    self.cut(name != "html")  # head and body stand in the first open element, html
                     self.implied(name)
         if self.errors is not None:
             self.errors += self.late

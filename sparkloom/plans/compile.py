@@ -117,8 +117,9 @@ class Compiler:
 
     def _marked(self, key: object, find) -> Column:
         if key not in self.marks:
+            found = find()  # may add marks of its own
             name = f"__m{len(self.marks)}"
-            found = find().select("doc_id", "node_id").distinct().withColumn(name, F.lit(True))
+            found = found.select("doc_id", "node_id").distinct().withColumn(name, F.lit(True))
             self.nodes = self.nodes.join(found, ["doc_id", "node_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
             self.marks[key] = name
         return F.col(self.marks[key])
