@@ -187,7 +187,7 @@ def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     put = Scratch(df.sparkSession, "neardup")
     ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = put.keep(sketch(ids, size, "id", "text"), "sketches")
-    classes = put.keep(rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("c")).select("digest", "c.*"), "classes")
+    classes = put.keep(rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "n", "keys")).alias("c")).select("digest", "c.id", "c.n", "c.keys"), "classes")
     keyed = classes.where("id is not null").select("id", "n", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1")
     buckets = put.keep(keyed.join(counts, "key").select("key", "id", "n", "m", "pivot"), "buckets")
