@@ -281,7 +281,7 @@ def _second_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 #: what = run: windows first..last of the document repeat; open: text begins at window `first`; doc: the text; done: a result
 PART = pa.schema([
-    ("what", pa.string()), ("id", pa.int64()), ("t", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.binary()),
+    ("what", pa.string()), ("id", pa.int64()), ("t", pa.int32()), ("key", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.binary()),
     ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
 ])
 
@@ -331,37 +331,59 @@ def _apply_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += [{"what": "run", "id": i, "t": t, "first": a, "last": z} for a, z in zip(first.tolist(), last.tolist(), strict=True)]
                 of, first_of = np.unique(where[~seen], return_index=True)  # equal rows have equal anchors
                 m = np.searchsorted(at, of)
-                for name, a, z in zip(q[~seen][first_of].tolist(), lo[m].tolist(), hi[m].tolist(), strict=True):
-                    rows.append({"what": "open", "id": i, "t": t, "key": name, "first": a, "last": z, "text": b[a : z + WINDOW]})
+                for name, c, a, z in zip(q[~seen][first_of].tolist(), of.tolist(), lo[m].tolist(), hi[m].tolist(), strict=True):
+                    rows.append({"what": "open", "id": i, "t": t, "key": name, "at": c, "first": a, "last": z, "text": b[a : z + WINDOW]})
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema=PART)
                 rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=PART)
 
 
+def _one_anchor(texts: list[bytes], owner: np.ndarray, inner: np.ndarray, before: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """As repeated, for one anchor with more than a block of texts.
+
+    Equal windows have the anchor at the same distance (`before`), so some distances at a time can be sorted apart from
+    the others; if one distance is too much, windows are dealt by their hash.
+    """
+    flags = np.zeros(len(owner), bool)
+    band = max(1, BLOCK // len(texts) - WINDOW)
+    for b in np.unique(before // band):
+        some = np.flatnonzero(before // band == b)
+        parts = [some]
+        if band == 1 and len(some) * WINDOW > BLOCK:
+            dealt = np.array([hash(texts[o][k : k + WINDOW]) for o, k in zip(owner[some], inner[some], strict=True)]) % (1 + len(some) * WINDOW * 2 // BLOCK)
+            parts = [some[dealt == d] for d in np.unique(dealt)]
+        for p in parts:
+            new = np.concatenate([[True], owner[p][1:] != owner[p][:-1]])
+            heads = np.flatnonzero(new)
+            ends = np.concatenate([heads[1:], [len(p)]]) - 1
+            cut = [texts[o][a : z + WINDOW] for o, a, z in zip(owner[p][heads], inner[p][heads], inner[p][ends], strict=True)]
+            base = np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]])
+            group = np.cumsum(new) - 1
+            flags[p] = repeated(cut, base[group] + inner[p] - inner[p][heads][group], orders[p])
+    return flags
+
+
 RUN = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 
 
-def _sort_block(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """Runs of repeated windows of rows (id, t, first window, last window, text)."""
-    ids, ts, first, last = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+Row = tuple[int, int, int, int, int, bytes]
+
+
+def _sort_block(rows: list[Row]) -> list[tuple[int, int, int, int]]:
+    """Runs of repeated windows of rows (id, t, place of the anchor, first window, last window, text)."""
+    ids, ts, at, first, last = (np.array([r[k] for r in rows], np.int64) for k in range(5))
     doc = np.unique(np.stack([ids, ts]), axis=1, return_inverse=True)[1].reshape(-1)
-    sizes = np.array([len(r[4]) for r in rows])
+    sizes = np.array([len(r[5]) for r in rows])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     count = last - first + 1
     owner = np.repeat(np.arange(len(rows)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     orders = (doc[owner] << 32) + first[owner] + inner
     if sizes.sum() <= BLOCK:
-        flags = repeated([r[4] for r in rows], base[owner] + inner, orders)
-    else:  # one anchor with very many surroundings: equal windows go to equal parts
-        flags = np.zeros(len(owner), bool)
-        texts = [r[4] for r in rows]
-        windows = [hash(texts[o][s : s + WINDOW]) for o, s in zip(owner, inner, strict=True)]
-        parts = np.array(windows, np.int64) % (1 + len(owner) * WINDOW // (BLOCK // 2))
-        for p in np.unique(parts):
-            for some in [np.flatnonzero(parts == p)]:
-                flags[some] = repeated([texts[owner[k]][inner[k] : inner[k] + WINDOW] for k in some], np.arange(len(some)) * WINDOW, orders[some])
+        flags = repeated([r[5] for r in rows], base[owner] + inner, orders)
+    else:
+        flags = _one_anchor([r[5] for r in rows], owner, inner, at[owner] - first[owner] - inner, orders)
     out = []
     heads = np.cumsum(count) - count
     for k in range(len(rows)):
@@ -372,8 +394,8 @@ def _sort_block(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int,
 
 
 def _sort_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, t, first, last, text) sorted by key to runs; a block holds whole keys."""
-    rows: list[tuple[int, int, int, int, bytes]] = []
+    """Rows (key, id, t, at, first, last, text) sorted by key to runs; a block holds whole keys."""
+    rows: list[Row] = []
     size, key, start = 0, None, 0  # start: where the rows of this key begin
 
     def flush(some: list) -> pa.RecordBatch:
@@ -381,15 +403,15 @@ def _sort_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], RUN.types[k]) for k in range(4)], schema=RUN)
 
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "t", "first", "last", "text")), strict=True):
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "t", "at", "first", "last", "text")), strict=True):
             if k != key:
                 key, start = k, len(rows)
             rows.append(tuple(row))
-            size += len(row[4])
+            size += len(row[5])
             if size > BLOCK - 200 and start:
                 yield flush(rows[:start])
                 rows, start = rows[start:], 0
-                size = sum(len(r[4]) for r in rows)
+                size = sum(len(r[5]) for r in rows)
     if rows:
         yield flush(rows)
 
@@ -419,10 +441,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     t_of = F.shiftright("place", 33).cast("int").alias("t")
     by_doc = marks.groupBy("id", t_of).agg(F.collect_list(F.struct("place", "key")).alias("marks"))
     docs = ids.join(by_doc, ["id", "t"], "left").select("id", "t", "text", "marks")
-    parts = put.keep(docs.mapInArrow(_apply_names, "what string, id bigint, t int, key bigint, first int, last int, text binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "parts")
+    parts = put.keep(docs.mapInArrow(_apply_names, "what string, id bigint, t int, key bigint, at int, first int, last int, text binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "parts")
     put.settle()
     put.drop(marks)
-    todo = parts.where("what = 'open'").select("key", "id", "t", "first", "last", "text").distinct().repartition("key").sortWithinPartitions("key")
+    todo = parts.where("what = 'open'").select("key", "id", "t", "at", "first", "last", "text").distinct().repartition("key").sortWithinPartitions("key")
     runs = put.keep(todo.mapInArrow(_sort_open, "id bigint, t int, first int, last int"), "runs")
     put.settle()
     every = runs.unionAll(parts.where("what = 'run'").select("id", "t", "first", "last"))
