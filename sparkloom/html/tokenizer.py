@@ -26,6 +26,8 @@ class Token(NamedTuple):
 
 
 _ASCII_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
+_SIMPLE_TAG = re.compile(r'([a-z][a-z0-9]*)((?: [a-z-]+="[^"\0]*")+)>')
+_SIMPLE_ATTR = re.compile(r' ([a-z-]+)="([^"]*)"')
 _TAG_NAME = re.compile(rf"[^{HTML_WS}/>]+")
 _PLAIN_TAG = re.compile(r"[a-z][a-z0-9]*>")
 _ATTRIBUTE = re.compile(
@@ -78,6 +80,7 @@ class Tokenizer:
         self.html = html
         self.lines = Positions(html) if errors is not None else None
         self.switch: str | None = None
+        self.plain: dict[tuple[str, str], Token] = {}  # tags without attributes, each made once
 
     def error(self, code: str, end: int) -> None:
         """end: behind the character at which the error shows."""
@@ -160,7 +163,17 @@ class Tokenizer:
         html, n = self.html, len(self.html)
         m = _PLAIN_TAG.match(html, i)
         if m:
-            return Token(kind, html[i : m.end() - 1]), m.end()
+            end = m.end()
+            key = (kind, html[i : end - 1])
+            token = self.plain.get(key)
+            if token is None:
+                token = self.plain[key] = Token(*key)
+            return token, end
+        m = _SIMPLE_TAG.match(html, i)
+        if m and not self.options.decode_entities and not self.options.empty_values:
+            found = _SIMPLE_ATTR.findall(m[2])
+            if len(found) == 1 or len({k for k, _ in found}) == len(found):
+                return Token(kind, m[1], [(k, v or None) for k, v in found]), m.end()
         m = _TAG_NAME.match(html, i)
         name, i = lower(self._nulls(i, m.end())), m.end()
         attrs: Attrs = []

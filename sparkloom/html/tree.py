@@ -7,6 +7,7 @@ stay open, and whether they count as formatting.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass, field
 
 from .. import constants as C
@@ -22,7 +23,7 @@ NODE_NAMES = {DOCUMENT: "#document", FRAGMENT: "#document-fragment", DOCTYPE_NOD
 class Tree:
     kind: list[str] = field(default_factory=list)
     name: list[str] = field(default_factory=list)
-    attrs: list[list[tuple[str, str | None]]] = field(default_factory=list)
+    attrs: list[list[tuple[str, str | None]] | tuple] = field(default_factory=list)
     data: list[str | None] = field(default_factory=list)
     doctype: dict[int, tuple[str | None, str | None, str | None, bool]] = field(default_factory=dict)
     namespace: dict[int, str] = field(default_factory=dict)
@@ -33,7 +34,7 @@ class Tree:
         i = len(self.kind)
         self.kind.append(kind)
         self.name.append(NODE_NAMES[kind] if name is None else name)
-        self.attrs.append(attrs if attrs is not None else [])
+        self.attrs.append(attrs or ())
         self.data.append(data)
         self.parent.append(parent)
         self.children.append([])
@@ -133,7 +134,7 @@ class Builder:
 
     def element(self, token: Token, name: str | None = None) -> int:
         name = name or token.name
-        i = self.tree.add(ELEMENT, self.current(), name, list(token.attrs))
+        i = self.tree.add(ELEMENT, self.current(), name, token.attrs)
         if self.options.foreign_elements:
             up = self.tree.namespace.get(self.current())
             space = {"svg": "svg", "math": "mathml"}.get(name) or (up if up and self.names[-1] not in ("foreignobject", "desc", "title", "annotation-xml") else None)
@@ -214,7 +215,7 @@ class Builder:
         elif self.blank(token):
             pass
         elif token.kind == START and token.name == "html":
-            self.push(self.tree.add(ELEMENT, 0, "html", list(token.attrs)))
+            self.push(self.tree.add(ELEMENT, 0, "html", token.attrs))
             self.mode = self.before_head
         elif token.kind == END and token.name not in _EARLY_ENDS:
             self.error("unexpected-end-tag")
@@ -380,7 +381,7 @@ class Builder:
                 self.error("unexpected-start-tag")
                 if name == "html" and self.open:
                     t, root = self.tree, self.open[0]
-                    t.attrs[root] += [(k, v) for k, v in token.attrs if not t.has(root, k)]
+                    t.attrs[root] = [*t.attrs[root], *((k, v) for k, v in token.attrs if not t.has(root, k))]
                 return
             if name == "image":
                 self.error("unexpected-start-tag")
@@ -486,7 +487,17 @@ class Builder:
 
 
 def parse(html: str | None, options: ParseOptions = ParseOptions(), errors: list[ParseError] | None = None) -> Tree:
-    return Builder(html or "", options, errors).build()
+    # a tree holds no cycles, and looking for some while it grows takes a third of the time
+    paused = gc.isenabled()
+    gc.disable()
+    try:
+        builder = Builder(html or "", options, errors)
+        tree = builder.build()
+        builder.mode = builder.back = None
+        return tree
+    finally:
+        if paused:
+            gc.enable()
 
 
 @dataclass

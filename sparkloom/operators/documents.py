@@ -22,6 +22,12 @@ from ..plans.selector import parse_selector
 BATCH = 256  # documents that are expanded into one batch of rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals documents to all cores if the table comes in fewer pieces, as one of few row groups does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _expand(df: DataFrame, id_col: str, html_col: str, ddl: str, rows_of: Callable[[int, str], list[list]]) -> DataFrame:
     """Rows of each document; rows_of gives the columns of one."""
     kinds = S.arrow(ddl)

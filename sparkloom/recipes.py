@@ -16,7 +16,7 @@ WEB = UrlRule.with_schemes("http", "https", "mailto")
 
 
 def pages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", *more)
+    return D.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", *more))
 
 
 def _matches(spark: SparkSession, sf_dir: str, selector: str, fmt: str = "text", **options) -> DataFrame:
@@ -105,7 +105,7 @@ def link_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, rule and proxy of the pages' own URLs, without Python."""
     hosts = UrlRule(frozenset(("http",)), allowed_hosts=frozenset(("example.com",)))
-    return pages(spark, sf_dir, "url").select(
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
         "page_id", X.url_host("url").alias("host"), X.url_allowed("url", WEB).alias("web"), X.url_allowed("url", hosts).alias("listed"), X.url_proxy("url", PROXY).alias("proxied")
     )
 
