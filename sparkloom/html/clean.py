@@ -130,7 +130,7 @@ class _Report:
             self.errors.append(ParseError.of("unsafe-html", category="security"))
 
 
-def clean_attributes(tag: str, attrs: list[tuple[str, str | None]], policy: SanitizationPolicy, unsafe=lambda message: None) -> list[tuple[str, str | None]]:
+def clean_attributes(tag: str, attrs: list[tuple[str, str | None]], policy: SanitizationPolicy, unsafe=lambda message: None, css: bool = False) -> list[tuple[str, str | None]]:
     allowed = policy.allowed_attrs_for_tag(tag)
     out = []
     for name, value in attrs:
@@ -148,7 +148,7 @@ def clean_attributes(tag: str, attrs: list[tuple[str, str | None]], policy: Sani
         if low.startswith("on"):
             unsafe(f"Event handler attribute '{name}' on <{tag}>")
             continue
-        if low == "style" and policy.allowed_css_properties and value is not None:
+        if css and low == "style" and policy.allowed_css_properties and value is not None:
             kept = [d.strip() for d in value.split(";") if _fold(d.partition(":")[0].strip()) in policy.allowed_css_properties]
             value = "; ".join(kept)
         out.append((name, value))
@@ -200,7 +200,7 @@ def clean(tree: Tree, root: int = 0, policy: SanitizationPolicy = DEFAULT_POLICY
                     continue
                 unwrap.add(i)
             else:
-                t.attrs[i] = clean_attributes(tag, t.attrs[i], policy, unsafe)
+                t.attrs[i] = clean_attributes(tag, t.attrs[i], policy, unsafe, options.css_filter)
         todo.extend(reversed(t.children[i]))
     drop = gone if options.unlink_removed or options.drop_doctype else set()
     if not options.unlink_removed:

@@ -76,7 +76,7 @@ class Matcher:
             return lambda i: s.value in _all_text(t, i)
         if self.options.has_contains and name == "has" and s.value:
             child = s.value.startswith(">")
-            inner = [self.selector(x) for x in parse_selector(s.value)]
+            inner = [self.selector(x) for x in parse_selector(s.value, self.options.css_syntax)]
             return lambda i: any(t.kind[c] == ELEMENT and any(f(c) for f in inner) for c in (t.children[i] if child else t.walk(i)[1:]))
         return lambda i: False
 
@@ -139,7 +139,7 @@ class Matcher:
         return lambda i: tests[-1](i) and left(i, len(s) - 1)
 
     def any(self, text: str) -> Test:
-        tests = [self.selector(s) for s in parse_selector(text)]
+        tests = [self.selector(s) for s in parse_selector(text, self.options.css_syntax)]
         return lambda i: any(f(i) for f in tests)
 
     def query_all(self, text: str, root: int = 0, first: bool = False) -> list[int]:

@@ -156,9 +156,9 @@ def select(
     each match by itself, as part of its own document.
     """
     options = ParseOptions.of(profile)
-    parse_selector(selector)
+    parse_selector(selector, options.css_syntax)
     if skip and not options.foreign_elements:
-        df = df.where(prefilter(selector, F.col(html_col)))
+        df = df.where(prefilter(selector, F.col(html_col), options.css_syntax))
 
     def rows(i: int, html: str) -> list[list]:
         t = parse(html, options)
@@ -173,7 +173,7 @@ def count_matches(html: str | Column, selectors: list[str], profile: str | Parse
     """Array of the match counts of several selectors over one parse of each document."""
     options = ParseOptions.of(profile)
     for s in selectors:
-        parse_selector(s)
+        parse_selector(s, options.css_syntax)
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,4 +167,64 @@ def remove(nodes: DataFrame, where: Column) -> DataFrame:
     return nodes.join(gone, (F.col("doc_id") == F.col("g_doc")) & F.col("pre").between(F.col("g_pre"), F.col("g_last")), "left_anti")
 
 
+def reindex(nodes: DataFrame) -> DataFrame:
+    """nodes with depth, intervals and sibling columns anew from parent_id and the order of sib_ord, a document at a time."""
+    from .. import schema as S
+    from ..html.tree import Tree
+    from .documents import node_columns
+
+    kinds = S.arrow(S.NODES)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["parent_id"] or 0, r["sib_ord"]))
+        place = {r["node_id"]: k for k, r in enumerate(sorted(rows, key=lambda r: (r["parent_id"] is not None, r["node_id"])))}
+        t = Tree()
+        by_place = {place[r["node_id"]]: r for r in rows}
+        for k in range(len(rows)):
+            r = by_place[k]
+            t.add(r["kind"], -1, r["name"], [(a["name"], a["value"]) for a in r["attrs"] or ()], r["data"])
+            t.namespace[k] = r["namespace"] or "html"
+            if r["doctype"]:
+                t.doctype[k] = tuple(r["doctype"].values())
+        for r in rows:
+            if r["parent_id"] in place:
+                t.parent[place[r["node_id"]]] = place[r["parent_id"]]
+                t.children[place[r["parent_id"]]].append(place[r["node_id"]])
+        cols = node_columns(rows[0]["doc_id"], t)
+        ids = {k + 1: n for n, k in place.items()}
+        for c in (1, 2, 17):
+            cols[c] = [ids.get(x) for x in cols[c]]
+        return pa.Table.from_arrays([S.attrs_array(c) if f.name == "attrs" else pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+
+    return nodes.groupBy("doc_id").applyInArrow(run, S.NODES)
+
+
+def insert_before(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves subtrees: moves has doc_id, parent_id, node_id and before_id (a child of parent_id; null: at the end)."""
+    m = moves.select("doc_id", "node_id", F.col("parent_id").alias("m_parent"), F.col("before_id").alias("m_before"))
+    ref = nodes.select("doc_id", F.col("node_id").alias("m_before"), F.col("sib_ord").alias("m_sib"))
+    m = m.join(ref, ["doc_id", "m_before"], "left").withColumn("m_to", F.coalesce(F.col("m_sib") * 2 - 1, F.lit(2**31 - 1)))
+    moved = nodes.join(m, ["doc_id", "node_id"], "left")
+    up, at = F.coalesce("m_parent", "parent_id"), F.coalesce("m_to", F.col("sib_ord") * 2)
+    return reindex(moved.withColumn("parent_id", up).withColumn("sib_ord", at.cast("int")).select(nodes.columns))
+
+
+def append_child(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """As insert_before, always at the end: moves has doc_id, parent_id, node_id."""
+    return insert_before(nodes, moves.select("doc_id", "parent_id", "node_id", F.lit(None).cast("int").alias("before_id")))
+
+
+def create_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds rows (doc_id, node_id, kind, name, attrs, data) without a parent; append_child or insert_before gives them a place."""
+    names = {"text": "#text", "comment": "#comment", "fragment": "#document-fragment", "doctype": "!doctype"}
+    name = F.coalesce("name", *(F.when(F.col("kind") == k, v) for k, v in names.items()))
+    rows = new.withColumn("name", name).withColumn("namespace", F.when(F.col("kind") == "element", "html")).withColumn("sib_ord", F.lit(1))
+    return nodes.unionByName(rows, allowMissingColumns=True)
+
+
+def remove_child(nodes: DataFrame, where: Column) -> DataFrame:
+    """As remove, with the indices anew."""
+    return reindex(remove(nodes, where))
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + [attr.__name__]

@@ -23,6 +23,8 @@ class ParseOptions:
     backtracking: bool = False
     has_contains: bool = False
     markdown_spaces: bool = False
+    css_filter: bool = False
+    css_syntax: bool = False
 
     @classmethod
     def spec(cls) -> ParseOptions:

@@ -171,7 +171,7 @@ class Compiler:
         return texts.where(F.contains(F.array_join(F.transform("p", lambda x: x["t_data"]), ""), F.lit(text)))
 
     def matched(self, text: str) -> DataFrame:
-        tests = [self.node_test(s) for s in parse_selector(text)]
+        tests = [self.node_test(s) for s in parse_selector(text, self.options.css_syntax)]
         return self.nodes.where(reduce(lambda a, b: a | b, tests) & (F.col("kind") == "element"))
 
 
@@ -189,20 +189,20 @@ def query(nodes: DataFrame, selector: str, options: ParseOptions = ParseOptions(
 def matches(nodes: DataFrame, selector: str, options: ParseOptions = ParseOptions(), name: str = "matches") -> DataFrame:
     """nodes with a boolean column."""
     c = Compiler(nodes, options)
-    tests = [c.node_test(s) for s in parse_selector(selector)]
+    tests = [c.node_test(s) for s in parse_selector(selector, options.css_syntax)]
     return c.nodes.select(*nodes.columns, (reduce(lambda a, b: a | b, tests) & (F.col("kind") == "element")).alias(name))
 
 
 _INVENTED = {"html", "head", "body", "p", "br", "img"}
 
 
-def prefilter(selector: str, html: Column) -> Column:
+def prefilter(selector: str, html: Column, css: bool = False) -> Column:
     """A condition on the source text without which no node can match, to be pushed into the scan before parsing.
 
     Only tags that the parser never adds by itself, outside :not and :is, give one.
     """
     conditions = []
-    for s in parse_selector(selector):
+    for s in parse_selector(selector, css):
         tags = [x.name for p in s for x in p.simples if x.kind == "tag" and x.name not in _INVENTED and "�" not in x.name]
         conditions.append(reduce(lambda a, b: a & b, (F.contains(F.translate(html, _UPPER, _LOWER), F.lit(f"<{t}")) for t in tags), F.lit(True)))
     return reduce(lambda a, b: a | b, conditions)

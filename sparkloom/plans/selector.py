@@ -39,10 +39,28 @@ Selector = tuple[Part, ...]
 Token = tuple[str, str | None]
 
 
-def tokens(text: str) -> list[Token]:
-    """(kind, value) pairs, the last of kind end."""
+_ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})[ \t\n\r\f]?|(.))", re.S)
+
+
+def _name(text: str, i: int, css: bool) -> tuple[str, int]:
+    """A name at i and where it ends; with css, escapes count as what they stand for."""
+    out = []
+    while True:
+        m = _NAME.match(text, i)
+        out.append(m.group())
+        i = m.end()
+        m = _ESCAPE.match(text, i) if css else None
+        if not m:
+            return "".join(out), i
+        code = int(m[1], 16) if m[1] else 0
+        out.append(m[2] or (chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else "\ufffd"))
+        i = m.end()
+
+
+def tokens(text: str, css: bool = False) -> list[Token]:
+    """(kind, value) pairs, the last of kind end. css allows escapes, and white space in brackets."""
     out: list[Token] = []
-    i, n, spaced = 0, len(text), False
+    i, n, spaced, inside = 0, len(text), False, False
     while i < n:
         c = text[i]
         if c in _WS:
@@ -57,18 +75,17 @@ def tokens(text: str) -> list[Token]:
                 i += 1
             spaced = False
             continue
-        if spaced and out and (c in "*#.[:" or _starts_name(c)):
+        if spaced and out and not (css and inside) and (c in "*#.[:" or _starts_name(c)):
             out.append(("combinator", " "))
         spaced = False
         if two in _OPERATORS and len(two) == 2:
             out.append(("operator", two))
             i += 2
         elif c in "#.":
-            m = _NAME.match(text, i + 1)
-            if not m.group():
+            name, i = _name(text, i + 1, css)
+            if not name:
                 raise SelectorError(f"Empty {'ID' if c == '#' else 'class'} selector")
-            out.append(("id" if c == "#" else "class", m.group()))
-            i = m.end()
+            out.append(("id" if c == "#" else "class", name))
         elif c in "\"'":
             i, value = i + 1, []
             while i < n and text[i] != c:
@@ -81,12 +98,14 @@ def tokens(text: str) -> list[Token]:
             out.append(("string", "".join(value)))
             i += 1
         elif c in "*[]=,:()":
+            inside = c == "[" or inside and c != "]"
             out.append(("operator", "=") if c == "=" else (c, None))
             i += 1
-        elif _starts_name(c):
-            m = _NAME.match(text, i)
-            out.append(("name", m.group()))
-            i = m.end()
+        elif _starts_name(c) or css and c == "\\":
+            name, i = _name(text, i, css)
+            out.append(("name", name))
+            if not name:
+                raise SelectorError(f"Unexpected character in selector: {c!r}")
         elif c in "0123456789":
             m = re.compile(rf"[^{_WS}\])]*").match(text, i)
             out.append(("string", m.group()))
@@ -97,8 +116,8 @@ def tokens(text: str) -> list[Token]:
 
 
 class _Parser:
-    def __init__(self, text: str):
-        self.tokens, self.at = tokens(text), 0
+    def __init__(self, text: str, css: bool):
+        self.tokens, self.at = tokens(text, css), 0
 
     @property
     def kind(self) -> str:
@@ -208,9 +227,9 @@ def _fold(s: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in s)
 
 
-def parse_selector(text: str) -> tuple[Selector, ...]:
-    """The selectors of a list. Raises SelectorError."""
-    return _Parser(text).several(False)
+def parse_selector(text: str, css: bool = False) -> tuple[Selector, ...]:
+    """The selectors of a list. Raises SelectorError. css: as for tokens."""
+    return _Parser(text, css).several(False)
 
 
 def parse_nth(arg: str | None) -> tuple[int, int] | None:

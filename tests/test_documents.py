@@ -111,6 +111,7 @@ def test_selector(html, selector, count):
 @pytest.mark.parametrize("html,selector,count", [
     ("<a><b><x><b><c></c></b></x></b></a>", "a > b c", 1), ("<div><p>x</p></div><div></div>", "div:has(p)", 1), ("<div><b><p>x</p></b></div>", "div:has(> p)", 0),
     ("<p>one</p><p>two</p>", "p:contains('tw')", 1), ("<input type=\"\">", "[type=\"\"]", 1),
+    ("<p class=my:class></p>", ".my\\:class", 1), ("<p id=a#b></p>", "#a\\#b", 1), ("<p class=icon></p>", ".\\69 con", 1), ("<p data-x=test></p>", "[ data-x = 'test' ] , [ data-x ]", 1),
 ])
 def test_selector_spec(html, selector, count):
     assert len(Matcher(parse(html, SPEC), SPEC).query_all(selector)) == count
@@ -172,6 +173,13 @@ def test_urls(url, ok):
     assert UrlPolicy().check_url(UrlRule.with_schemes("http", "https", "mailto"), url) is ok
 
 
+def test_css_filter():
+    policy = DEFAULT_POLICY.but(allowed_attributes={"*": frozenset(("style",))}, allowed_css_properties=frozenset(("color",)))
+    html = "<p style='color: red; position: fixed'>x</p>"
+    assert to_html(clean(parse(html), 0, policy)) == "<p style=\"color: red; position: fixed\">x</p>"
+    assert to_html(clean(parse(html, SPEC), 0, policy, SPEC)) == "<p style=\"color: red\">x</p>"
+
+
 def test_hosts():
     assert [extract_host(u) for u in ("https://example.com/path", "http://test.org:8080/", "mailto:x", "http:///x")] == ["example.com", "test.org", None, None]
     rule = UrlRule(frozenset(("https",)), allowed_hosts=frozenset(("a.org",)))

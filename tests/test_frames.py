@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import sparkloom
 from sparkloom import DEFAULT_POLICY, HtmlFrame, ParseOptions, SelectorError, UrlProxy, UrlRule, recipes, sources, streaming
 from sparkloom import functions as X
+from sparkloom import schema as S
 from sparkloom.html.match import Matcher
 from sparkloom.html.render import to_html
 from sparkloom.html.tree import parse
@@ -125,6 +126,22 @@ def test_navigation(spark):
     assert T.get(nodes, 1, 1).first().kind == "document"
 
 
+def test_edits(spark):
+    docs = spark.createDataFrame([(1, "<div><p>1</p><b>2</b></div><i>3</i>")], "doc_id bigint, html string")
+    nodes = HtmlFrame(docs).nodes().cache()
+    ids = {r.name: r.node_id for r in nodes.where("kind = 'element'").collect()}
+    html = lambda n: T.to_html(n).first().html
+    assert rows(T.reindex(nodes)) == rows(nodes)
+    move = lambda *m: spark.createDataFrame([(1, *m)], "doc_id bigint, parent_id int, node_id int, before_id int")
+    assert html(T.insert_before(nodes, move(ids["div"], ids["i"], ids["b"]))) == "<html><head></head><body><div><p>1</p><i>3</i><b>2</b></div></body></html>"
+    assert html(T.append_child(nodes, move(ids["i"], ids["p"], None))) == "<html><head></head><body><div><b>2</b></div><i>3<p>1</p></i></body></html>"
+    new = spark.createDataFrame([(1, 90, "element", "u", [("id", "x")], None), (1, 91, "text", None, [], "new")], f"doc_id bigint, node_id int, kind string, name string, attrs {S.ATTRS}, data string")
+    both = T.append_child(T.create_nodes(nodes, new), spark.createDataFrame([(1, ids["b"], 90), (1, 90, 91)], "doc_id bigint, parent_id int, node_id int"))
+    assert "<b>2<u id=\"x\">new</u></b>" in html(both)
+    assert P.query_all(both, "b > u:first-child").count() == 1
+    assert html(T.remove_child(nodes, F.col("name") == "div")) == "<html><head></head><body><i>3</i></body></html>"
+
+
 def test_functions(spark):
     one = spark.createDataFrame([("a<b>&\"c", 60, "https://A.org:8/x?y=a b~*", "x\ny")], "s string, n int, u string, t string")
     got = one.select(
