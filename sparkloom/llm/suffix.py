@@ -346,11 +346,18 @@ def _one_anchor(texts: list[bytes], owner: np.ndarray, inner: np.ndarray, before
     the others; if one distance is too much, windows are dealt by their hash.
     """
     flags = np.zeros(len(owner), bool)
-    band = max(1, BLOCK // len(texts) - WINDOW)
-    for b in np.unique(before // band):
-        some = np.flatnonzero(before // band == b)
+    width = _SPAN + 1
+    while width > 1:  # the widest bands of distances that are no more than a block each
+        width = -(-width // 2)
+        band = before // width
+        windows = np.bincount(band)
+        texts_in = np.bincount(np.unique(band * len(texts) + owner) // len(texts), minlength=len(windows))
+        if (windows + texts_in * (WINDOW - 1)).max() <= BLOCK:
+            break
+    for b in np.unique(band):
+        some = np.flatnonzero(band == b)
         parts = [some]
-        if band == 1 and len(some) * WINDOW > BLOCK:
+        if len(some) * WINDOW > BLOCK and width == 1:
             dealt = np.array([hash(texts[o][k : k + WINDOW]) for o, k in zip(owner[some], inner[some], strict=True)]) % (1 + len(some) * WINDOW * 2 // BLOCK)
             parts = [some[dealt == d] for d in np.unique(dealt)]
         for p in parts:
