@@ -29,8 +29,9 @@ class HtmlFrame:
     def tokens(self) -> DataFrame:
         return D.tokens(self.df, profile=self.options)
 
-    def nodes(self) -> DataFrame:
-        return D.nodes(self.df, profile=self.options, policy=self.policy)
+    def nodes(self, *fields: str) -> DataFrame:
+        """All columns, or those that are named."""
+        return D.nodes(self.df, profile=self.options, policy=self.policy, fields=fields or None)
 
     def errors(self) -> DataFrame:
         return D.errors(self.df, profile=self.options, policy=self.policy)

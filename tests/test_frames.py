@@ -80,6 +80,13 @@ def test_plan_shapes(spark, sf):
     assert "<nav" in plan(frame.query_all("nav ul"))
 
 
+def test_fields(cases):
+    frame = HtmlFrame(cases)
+    assert rows(frame.nodes("doc_id", "pre", "name")) == rows(frame.nodes().select("doc_id", "name", "pre"))
+    with pytest.raises(ValueError):
+        frame.nodes("nope")
+
+
 def test_matches_and_errors(cases):
     frame = HtmlFrame(cases)
     m = frame.matches("p")
@@ -151,6 +158,8 @@ def test_functions(spark):
     assert tuple(got) == (
         "a&lt;b&gt;&amp;\"c", "a<b>&amp;&quot;c", "<", "A.org", "p?q=https%3A%2F%2FA.org%3A8%2Fx%3Fy%3Da%20b~%2A", " ", None, False, "Unexpected end of file in tag", 2, 1, "<", "a b ",
     )
+    kinds = spark.createDataFrame([("br",), ("b",), ("h1",), ("x",)], "name string").select(X.is_void("name"), X.is_formatting("name"), X.is_special("name"), X.is_heading("name"))
+    assert [tuple(r) for r in kinds.collect()] == [(True, False, True, False), (False, True, False, False), (False, False, True, True), (False, False, False, False)]
     rule = UrlRule(frozenset(("https",)), allowed_hosts=frozenset(("a.org",)))
     from sparkloom import UrlPolicy
 

@@ -1,5 +1,6 @@
 import pytest
 
+from sparkloom.html.cursor import Cursor
 from sparkloom.html.errors import ParseError, Positions
 from sparkloom.html.tokenizer import Token, decode_entities, decode_numeric, tokenize
 from sparkloom.options import ParseOptions
@@ -97,6 +98,15 @@ def test_positions():
     assert [p.at(i) for i in range(6)] == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1)]
 
 
+def test_cursor():
+    c = Cursor("aB\n<!DocType x")
+    assert c.peek() == "a" and c.peek(2, 1) == "B\n" and c.take_while(str.isalpha) == "aB" and c.position == (1, 3)
+    at = c.checkpoint()
+    assert c.take() == "\n" and c.position == (2, 1) and not c.skip("<!doctype") and c.skip("<!doctype", True) and c.remaining == " x"
+    c.restore(at)
+    assert c.offset == 2 and c.take(99) == "\n<!DocType x" and c.is_empty and c.take() == "" and c.position_at(0) == (1, 1)
+
+
 def test_error_display():
     assert str(ParseError.of("eof-in-tag", (5, 10))) == "(5,10): eof-in-tag - Unexpected end of file in tag"
     assert str(ParseError.of("unexpected-start-tag", (1, 1), tag="script")) == "(1,1): unexpected-start-tag - Unexpected <script> start tag"
