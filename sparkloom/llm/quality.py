@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, MAX_POOL, ROUNDS, SURE, THRESHOLD = 5000, 2000, 3, 0.98, 0.5
-LEAST_DOCS, LEAST_Z, MOST_WORDS = 8, 5.0, 2000
+LEAST_DOCS, LEAST_Z, MOST_WORDS, STEM = 8, 5.0, 2000, 4
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _KINDS = np.zeros(256, np.int64)  # 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 other ASCII, 7 beyond
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58], _KINDS[[9, 11, 12, 13, 32]], _KINDS[10] = 1, 2, 3, 4, 5
@@ -36,12 +36,14 @@ _KINDS[128:] = 7
 
 
 def words(text: str) -> set[str]:
-    """The lower-cased words and runs of punctuation, and in steps how much they repeat."""
+    """The lower-cased words and runs of punctuation, the beginnings of words, and in steps how much they repeat."""
     t = _TOKEN.findall(text.lower())
     out = set(t)
+    kinds = len(out)
+    out.update([f"^{w[:STEM]}" for w in out if len(w) > STEM])
     if len(t) >= 12:
         again = sum(map(operator.eq, t, islice(t, 1, None))) / len(t)
-        out |= {f" again={int(np.log2(1e-2 + again))}", f" distinct={int(8 * len(out) / len(t))}"}
+        out |= {f" again={int(np.log2(1e-2 + again))}", f" distinct={int(8 * kinds / len(t))}"}
     return out
 
 
