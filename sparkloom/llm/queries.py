@@ -73,11 +73,24 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contaminated documents."""
+    """The contaminated documents, a row for each item that one holds: agreeing words of the best window, and where it begins."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") > 0)
-    ids = F.transform("hits", lambda x: x.item_id)
-    return found.select("doc_id", F.size("hits").alias("n_items"), ids.alias("item_ids"), F.array_max(F.transform("hits", lambda x: x.n_same)).alias("most_same"))
+    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("hits")).select("doc_id", "item_id", "n_same", "first_word")
+
+
+OP4_SQL = r"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') as ws from documents),
+b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') as ws from benchmark),
+dw as (select doc_id, len(ws) as dn, unnest(range(len(ws))) as dp, unnest(ws) as w from d),
+bw as (select item_id, len(ws) as n, least(20, len(ws)) as size, case when len(ws) < 12 then len(ws) else ceil(0.8 * least(20, len(ws))) end as need, unnest(range(len(ws))) as bp, unnest(ws) as w from b),
+m as (select doc_id, item_id, dn, n, size, need, dp - bp as shift, bp from dw join bw using (w)),
+c as (select doc_id, item_id, dn, n, size, need, shift, list(bp) as hits from m group by all having count(*) >= need),
+s as (select *, unnest(range(n - size + 1)) as a from c),
+k as (select doc_id, item_id, need, a + shift as first_word, len(list_filter(hits, lambda p: p >= a and p < a + size)) as n_same from s where a + shift >= 0 and a + shift + size <= dn),
+r as (select *, row_number() over (partition by doc_id, item_id order by n_same desc, first_word) as i from k where n_same >= need)
+select doc_id, item_id, n_same::int as n_same, first_word::int as first_word from r where i = 1
+"""
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +134,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_hamming_topk": OP2_SQL,
+    "op4_decontamination": OP4_SQL,
     "op5_minhash": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
 }
