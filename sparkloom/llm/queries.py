@@ -72,6 +72,23 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP3_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, unnest(range(greatest(len(h) // 2 - 99, 0))) as p, h from d),
+x as (select doc_id, p, substr(h, 2 * p + 1, 200) as s from w),
+f as (select s, min(doc_id * 4294967296::hugeint + p) as first from x group by s having count(*) > 1),
+g as (select x.doc_id, x.p from x join f using (s) where x.doc_id * 4294967296::hugeint + x.p > f.first),
+o as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as new from g),
+q as (select doc_id, p, sum(new) over (partition by doc_id order by p) as k from o),
+r as (select doc_id, min(p) as a, max(p) + 100 as z from q group by doc_id, k),
+t as (select r.doc_id, a, z, substr(h, 2 * coalesce(lag(z) over (partition by r.doc_id order by a), 0) + 1, 2 * (a - coalesce(lag(z) over (partition by r.doc_id order by a), 0))) as before from r join d on d.doc_id = r.doc_id),
+u as (select doc_id, sum(z - a) as gone, count(*) as spans, string_agg(before, '' order by a) as kept, max(z) as z from t group by doc_id)
+select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(case when gone is null then h else kept || substr(h, 2 * u.z + 1) end)) as kept_sha256
+from d left join u on u.doc_id = d.doc_id
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, a row for each item that one holds: agreeing words of the best window, and where it begins."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -134,6 +151,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_hamming_topk": OP2_SQL,
+    "op3_suffix_dedup": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op5_minhash": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
