@@ -30,8 +30,14 @@ def is_empty(t: Tree, i: int) -> bool:
 
 class Matcher:
     def __init__(self, t: Tree, options: ParseOptions = ParseOptions(), at: Places | None = None):
-        self.t, self.options = t, options
-        self.at = at or places(t)
+        self.t, self.options, self._at = t, options, at
+
+    @property
+    def at(self) -> Places:
+        """Found out when a selector first asks for it."""
+        if self._at is None:
+            self._at = places(self.t)
+        return self._at
 
     def _attribute(self, s: Simple) -> Test:
         t, fold = self.t, (lower if s.fold else lambda x: x)
@@ -50,16 +56,17 @@ class Matcher:
         return lambda i: (v := t.attr(i, s.name)) is not None and test(fold(v))
 
     def _pseudo(self, s: Simple) -> Test:
-        t, at, name = self.t, self.at, s.name
-        first: dict[str, tuple[list, ...]] = {
-            "first-child": (at.elem,), "last-child": (at.elem_rev,), "only-child": (at.elem, at.elem_rev),
-            "first-of-type": (at.same,), "last-of-type": (at.same_rev,), "only-of-type": (at.same, at.same_rev),
+        t, name = self.t, s.name
+        first = {
+            "first-child": ("elem",), "last-child": ("elem_rev",), "only-child": ("elem", "elem_rev"),
+            "first-of-type": ("same",), "last-of-type": ("same_rev",), "only-of-type": ("same", "same_rev"),
         }
         if name in first:
-            return lambda i: all(x[i] == 1 for x in first[name])
-        counted = {"nth-child": at.elem, "nth-last-child": at.elem_rev, "nth-of-type": at.same, "nth-last-of-type": at.same_rev}
+            columns = [getattr(self.at, x) for x in first[name]]
+            return lambda i: all(x[i] == 1 for x in columns)
+        counted = {"nth-child": "elem", "nth-last-child": "elem_rev", "nth-of-type": "same", "nth-last-of-type": "same_rev"}
         if name in counted:
-            ab, places_ = parse_nth(s.value), counted[name]
+            ab, places_ = parse_nth(s.value), getattr(self.at, counted[name])
             return lambda i: nth(places_[i], ab)
         with_attr = {"disabled": None, "checked": None, "required": _FORM, "read-only": _FORM - {"select"}, "placeholder-shown": _FORM - {"select"}}
         without = {"enabled": _FORM | {"button"}, "optional": _FORM, "read-write": _FORM - {"select"}}
@@ -85,7 +92,7 @@ class Matcher:
         if s.kind == "any":
             return lambda i: True
         if s.kind == "tag":
-            return lambda i: t.name[i] == s.name or lower(t.name[i]) == s.name
+            return lambda i: t.name[i] == s.name  # names in the tree are in lower case
         if s.kind == "id":
             return lambda i: t.attr(i, "id") == s.name
         if s.kind == "class":
@@ -144,7 +151,7 @@ class Matcher:
 
     def query_all(self, text: str, root: int = 0, first: bool = False) -> list[int]:
         test, out = self.any(text), []
-        for i in self.at.order if root == 0 else self.t.walk(root):
+        for i in self.t.walk(root):
             if self.t.kind[i] == ELEMENT and test(i):
                 out.append(i)
                 if first:
