@@ -11,7 +11,7 @@ from .common import table
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, max_share=None)
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 

@@ -131,6 +131,25 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_exempts_no_document(spark, tmp_path):
+    """The query and the stage take shared lines out of documents that hold little or nothing else."""
+    import corpus_pipeline
+    from sparkloom.llm import queries
+
+    shared = "a long line that stands on every one of the sites"
+    texts = [(i, f"{shared}\nown {i}") for i in range(10)] + [(10, shared), (11, f" {shared}\n{shared}"), (12, f"{shared}\n\n"), (13, None), (14, "own")]
+    sites = [f"s{i}" for i in range(10)] + ["s0"] * 5
+    df = spark.createDataFrame([(i, t, "en", s, None) for (i, t), s in zip(texts, sites, strict=True)], DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_lines(texts, sites, 10, 1)
+    got = queries.op8_line_dedup(spark, str(tmp_path)).collect()
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    assert sorted(((r.doc_id, r.kept_md5, r.n_removed) for r in got), key=repr) == sorted(((i, md5(t), n) for i, t, n in want), key=repr)
+    assert sum(r.n_removed for r in got) == 14
+    after = corpus_pipeline.line_stage(spark, df, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in after), key=repr) == [(i, t) for i, t, _ in want]
+
+
 # 5
 
 
