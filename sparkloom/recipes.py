@@ -133,7 +133,7 @@ def safe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and first paragraph of each page."""
     title = _matches(spark, sf_dir, "title", first=True).select("page_id", F.col("text").alias("title"))
-    first = _matches(spark, sf_dir, "article p", first=True).select("page_id", F.substring("text", 1, 200).alias("summary"))
+    first = _matches(spark, sf_dir, "article p", first=True).select("page_id", F.col("text").alias("summary"))
     return title.join(first, "page_id", "left")
 
 

@@ -215,6 +215,13 @@ def test_queries_against_sql(spark, sf):
         assert text(got) == text(want), name
 
 
+def test_summaries_are_whole(spark, tmp_path):
+    long = "word " * 1000 + "end"
+    page = f"<html><head><title>T</title></head><body><article><p>{long[:300]}<b>{long[300:]}</b></p><p>next</p></article></body></html>"
+    spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in recipes.summaries(spark, str(tmp_path)).select("page_id", "title", "summary").collect()] == [(1, "T", long)]
+
+
 def test_every_query_runs(spark, sf):
     for name, q in recipes.QUERIES.items():
         assert q(spark, sf).count() > 0, name
