@@ -2,8 +2,9 @@
 
 Under each of PERMS permutations of the shingle hashes both the smallest and the largest value are kept, so one pass
 of hashing gives two signature values, each agreeing with the probability of the Jaccard similarity J. BANDS bands of
-ROWS values make the keys; a pair with J = 0.8 shares none with a probability of (1 - 0.8**6)**40 = 5e-6, one with a
-higher J more rarely still.
+ROWS values of as many permutations make the keys, the largest moved on by SHIFT bands from the smallest of the same
+permutation; a pair with J = 0.8 shares none with a probability of (1 - 0.8**6)**40 = 5e-6, less for small sets (2e-6 for
+a union of 5 shingles, as bands with a common permutation rarely fail together), one with a higher J more rarely still.
 
 Documents with equal shingle sets form one class, known by its smallest id; only classes are compared. In each key's
 bucket all classes are compared with one of them, twice with different choices; links merge components. In the few
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 PERMS, BANDS, ROWS, SMALL, BLOCK, CACHE = 120, 40, 6, 8, 2048, 300_000
+SHIFT = 7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(7).integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = np.random.default_rng(8).integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -78,7 +80,7 @@ def keys(s: np.ndarray) -> np.ndarray:
         v *= _MIX
         np.minimum(lo, v.min(axis=1), out=lo)
         np.maximum(hi, v.max(axis=1), out=hi)
-    sig = np.concatenate([lo, hi]).reshape(ROWS, BANDS)  # the values of a band are of different permutations
+    sig = np.concatenate([lo, np.roll(hi, SHIFT)]).reshape(ROWS, BANDS)  # the values of a band are of different permutations
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in sig:
         h = (h ^ row) * _MIX

@@ -184,6 +184,19 @@ def test_near_duplicates(spark, texts, size):
     assert got == plain_components(texts, size, 80)
 
 
+def test_bands_mix_permutations(monkeypatch):
+    """Smallest and largest value of each permutation go into different bands."""
+    s = neardup.shingles(" ".join(f"w{i}" for i in range(50)), 2)
+    before = neardup.keys(s)
+    for p in range(neardup.PERMS):
+        xor = neardup._XOR.copy()
+        xor[p] ^= np.uint64(0x123456789ABCDEF)
+        monkeypatch.setattr(neardup, "_XOR", xor)
+        after = neardup.keys(s)
+        monkeypatch.undo()
+        assert (before != after).sum() == 2, p
+
+
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """A family in which most links are not with the first document, in blocks of a few."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
