@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, linededup, neardup, packing, quality, tokens
-from sparkloom.llm.common import Scratch, table
+from sparkloom.llm.common import Scratch, row_key, table
 
 #: A model cannot be trained in SQL; the tests hold each stage against a plain version instead.
 ORACLE_SQL = None
@@ -29,10 +29,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
-    found = neardup.components(docs, size=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id.
+
+    Ids may be null (these come last) or repeated: a row is known by the hash of its id and text, and of rows equal in
+    both one stays, the first in the order of the other columns.
+    """
+    put = Scratch(spark, "near-stage")
+    rows = docs.withColumn("__v", row_key("doc_id", "text")["a"])
+    found = neardup.components(rows.select("__v", "text"), size=5, percent=80, id_col="__v").select("__v", "component_id").distinct()
+    known = rows.groupBy("__v").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).join(found, "__v")
+    rank = F.struct(F.col("id").isNull().alias("z"), "id", "__v")
+    first = known.groupBy("component_id").agg(F.min(rank).alias("first"), F.sum("n").alias("m")).where("m > 1")
+    fate = put.keep(known.join(first, "component_id").select("__v", "n", (F.col("__v") == F.col("first.__v")).alias("kept")).where("n > 1 or not kept"), "fate")
+    out = rows.join(fate.select("__v"), "__v", "left_anti").select(docs.columns)
+    again = fate.where("kept").select("__v")
+    if again.isEmpty():
+        return out
+    one = rows.join(again, "__v", "left_semi").groupBy("__v").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return out.unionAll(one.select("r.*"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

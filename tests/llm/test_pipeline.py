@@ -62,6 +62,21 @@ def test_near_stage(stages):
     assert ids(after) == sorted(i for i, _, c in want if i == c)
 
 
+def test_near_stage_odd_ids(spark, sf):
+    """One row of each group stays, whether ids are null, repeated or both."""
+    w = [f"w{i}" for i in range(60)]
+    text, near, other, lone = " ".join(w), " ".join(w[:-1]), " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(None, text), (5, text), (None, near), (7, near), (7, other), (7, other), (None, other), (8, None), (8, None), (None, None), (9, ""), (9, lone), (None, f"z {lone}")]
+    rows += [(None, " ".join(f"{c}{i}" for i in range(30 + k))) for c in "ab" for k in (0, 1)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    after = corpus_pipeline.near_stage(spark, docs, sf)
+    assert after.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in after.collect()]
+    named = [x for x in got if x[0] is not None]
+    assert sorted(named, key=repr) == sorted([(5, text), (7, other), (8, None), (9, ""), (9, lone)], key=repr)
+    assert sorted((t or "-")[0] for i, t in got if i is None) == ["-", "a", "b"]
+
+
 def test_benchmark_stage(spark, sf, stages):
     before, after = stages["benchmark decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
