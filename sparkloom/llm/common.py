@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,15 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, one of our own."""
-    put = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, one of our own if everything runs in one process, as in tests; on a cluster that is an error, as
+    executors would write where the driver cannot read.
+    """
+    put = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not put:
-        put = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        put = f"file://{tempfile.gettempdir()}/checkpoints"
     return put.rstrip("/")
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Intermediate tables in the shared folder. Written tables survive lost executors and cut the lineage."""
+    """Intermediate tables in the shared folder. Written tables survive lost executors and cut the lineage.
+
+    Shuffle files of a write go when it is done. Operators drop the tables that nothing reads any more; those that a
+    returned DataFrame still reads are listed in `Scratch.live`, for the caller to release once it has used the result.
+    """
+
+    live: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -32,23 +47,30 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        schema, before = df.schema, self.spark.conf.get(_TIDY, None)
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_TIDY) if before is None else self.spark.conf.set(_TIDY, before)
+        Scratch.live.append(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def settle(self) -> None:
-        """Lets Spark delete the shuffle files of what is finished: it does so when the driver collects its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-    def drop(self, *frames: DataFrame) -> None:
+    def drop(self, *frames: DataFrame | None) -> None:
         """Deletes tables that nothing still to be evaluated reads."""
-        jvm, hconf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for f in frames:
-            p = jvm.org.apache.hadoop.fs.Path(f._scratch_path)
-            p.getFileSystem(hconf).delete(p, True)
+        release(self.spark, [f._scratch_path for f in frames if f is not None])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables."""
+    jvm, hconf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hconf).delete(p, True)
+        if path in Scratch.live:
+            Scratch.live.remove(path)
 
 
 def row_key(*cols: str | Column) -> Column:
@@ -58,13 +80,19 @@ def row_key(*cols: str | Column) -> Column:
     return F.struct(F.xxhash64(*c, flags).alias("a"), F.xxhash64(flags, F.lit(97), *c).alias("b"))
 
 
-def gapless(df: DataFrame, groups: list[str], order: list[str], name: str, salt: Column, buckets: int = 256) -> DataFrame:
+ROWS_IN_BUCKET = 200_000
+
+
+def gapless(df: DataFrame, groups: list[str], order: list[str], name: str, salt: Column, rows: int | None = None) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps.
 
-    A group is first split into `buckets` by the salt, so that no task holds a whole group; the bucket offsets are
-    a table of at most len(groups) * buckets rows.
+    A group is first split by the salt, into so many buckets that one of them holds about ROWS_IN_BUCKET of `rows` (the
+    row count, found out if it is not given), so that no task holds a whole group; the bucket offsets are a table of at
+    most len(groups) * buckets rows. Rows that agree in the salt share a bucket: a salt should tell all rows apart that
+    can be told apart, and may add a random part for those that cannot.
     """
     b = f"__{name}_b"
+    buckets = max(16, -(-(df.count() if rows is None else rows) // ROWS_IN_BUCKET))
     df = df.withColumn(b, F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))

@@ -11,7 +11,7 @@ ones empty, so each cut is put at the group border nearest to an even split of w
 the rest still fits into C.
 
 Nulls: a null text has size 8 (no bytes) and all null texts are one group; a null doc_id is kept. Repeated rows are
-kept, each with a slot of its own. An empty table gives an empty result. Fewer groups than shards leave shards empty.
+kept, each with a slot of its own; which of them gets which is arbitrary. An empty table gives an empty result. Fewer groups than shards leave shards empty.
 Other columns are ignored.
 """
 
@@ -135,13 +135,14 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(NULL_KEY)).alias("key"),
     )
-    rows = Scratch(df.sparkSession, "shard").keep(rows)
+    # rows without an id are numbered, so that many equal ones are not numbered by one task below
+    rows = Scratch(df.sparkSession, "shard").keep(rows.withColumn("u", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
     _, cuts = minimax_cuts(rows, shards)
     shard: Column = F.lit(0)
     for c in cuts:
         shard = shard + (F.col("key") >= F.lit(c)).cast("int")
     placed = rows.withColumn("shard", shard.cast("int"))
-    out = gapless(placed, ["shard"], ["key", "doc_id"], "slot", F.struct("doc_id", "key"))
+    out = gapless(placed, ["shard"], ["key", "doc_id"], "slot", F.struct("doc_id", "key", "u"))
     return out.select(
         F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
