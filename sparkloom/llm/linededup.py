@@ -1,9 +1,8 @@
 """Removal of boilerplate lines by the number of distinct sites that show them, in DataFrame operations only.
 
 A HyperLogLog sketch of sites is built for each line hash and merged by aggregation. Lines whose estimate lies near
-the threshold are counted exactly; then all occurrences of lines on `min_sites` or more sites go. With a `max_share`, a
-document in which such lines make up more than that share of the characters is left as it is; with None, as the query
-and the pipeline have it, no document is exempt, and one that holds nothing else is left with an empty text.
+the threshold are counted exactly; then all occurrences of lines on `min_sites` or more sites go, from every document:
+one that holds nothing else is left with an empty text.
 
 A line is what stands between newlines; it is known by its text without surrounding spaces. Blank lines never count.
 Nulls: a null text is kept (no lines); a null source counts as one site of its own; a null doc_id is kept. Repeated
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, row_key
 
-MIN_SITES, LG_K, BAND, MAX_SHARE = 10, 10, 0.25, 0.5
+MIN_SITES, LG_K, BAND = 10, 10, 0.25
 
 
 def _hash(line: Column) -> Column:
@@ -39,9 +38,7 @@ def boilerplate(put: Scratch, lines: DataFrame, min_sites: int = MIN_SITES) -> D
     return put.keep(sure.unionAll(exact), "boilerplate")
 
 
-def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE
-) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """df with the new text, and n_lines, n_removed (columns of these names are replaced)."""
     cols = df.columns
     docs = df.withColumn("__k", row_key(id_col, text_col))
@@ -53,11 +50,9 @@ def dedup_lines(
     found = lines.select("k", "h").join(spread, "h").groupBy("k").agg(F.collect_set("h").alias("__bad"))
     all_lines = F.split(F.col(text_col), "\n", -1)
     is_bad = lambda x: (F.trim(x) != "") & F.array_contains("__bad", _hash(F.trim(x)))
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.char_length(x))
     out = docs.join(found.withColumnRenamed("k", "__k"), "__k", "left").withColumn("__all", all_lines)
     out = out.withColumn("__gone", F.when(F.col("__bad").isNull(), F.array().cast("array<string>")).otherwise(F.filter("__all", is_bad)))
-    whole = F.lit(False) if max_share is None else chars(F.col("__gone")) > F.lit(max_share) * chars(F.col("__all"))
-    change = F.col("__bad").isNotNull() & ~whole
+    change = F.col("__bad").isNotNull()
     text = F.when(change, F.array_join(F.filter("__all", lambda x: ~is_bad(x)), "\n")).otherwise(F.col(text_col))
     return out.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in cols if c not in ("n_lines", "n_removed")),

@@ -11,7 +11,7 @@ from .common import table
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = linededup.dedup_lines(docs, max_share=None)
+    out = linededup.dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
@@ -20,12 +20,10 @@ with d as (select doc_id, text, source, string_split(text, chr(10)) as ls from d
 l as (select coalesce('s' || source, 'n') as site, trim(x) as line from (select source, unnest(ls) as x from d) t),
 bad as (select line from l where line <> '' group by line having count(distinct site) >= 10),
 f as (select d.doc_id, d.text, d.ls, list_filter(d.ls, lambda x: trim(x) <> '' and list_contains(b.lines, trim(x))) as gone
-  from d, (select coalesce(list(line), []) as lines from bad) b),
-g as (select *, coalesce(list_sum(list_transform(gone, lambda x: length(x))), 0) > 0.5 * coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) as whole from f)
-select doc_id, coalesce(len(ls), 0)::bigint as n_lines,
-  case when len(gone) > 0 and not whole then len(gone) else 0 end::bigint as n_removed,
-  md5(case when len(gone) > 0 and not whole then array_to_string(list_filter(ls, lambda x: not list_contains(gone, x)), chr(10)) else text end) as kept_md5
-from g
+  from d, (select coalesce(list(line), []) as lines from bad) b)
+select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
+  md5(case when len(gone) > 0 then array_to_string(list_filter(ls, lambda x: not list_contains(gone, x)), chr(10)) else text end) as kept_md5
+from f
 """
 
 

@@ -95,7 +95,7 @@ def test_sharding_empty(spark):
 # 8
 
 
-def plain_lines(texts, sites, least, share):
+def plain_lines(texts, sites, least):
     seen = {}
     for (_, t), s in zip(texts, sites, strict=True):
         for x in (t or "").split("\n"):
@@ -106,7 +106,7 @@ def plain_lines(texts, sites, least, share):
     for i, t in texts:
         lines = (t or "").split("\n")
         gone = [x for x in lines if x.strip(" ") in bad]
-        if t is None or not gone or sum(map(len, gone)) > share * sum(map(len, lines)):
+        if t is None or not gone:
             out.append((i, t, 0))
         else:
             out.append((i, "\n".join(x for x in lines if x.strip(" ") not in bad), len(gone)))
@@ -127,7 +127,7 @@ def test_line_dedup(spark):
     df = spark.createDataFrame([(i, t, s, "extra", 5) for (i, t), s in zip(texts, sites, strict=True)], "doc_id bigint, text string, source string, h string, n_lines bigint")
     for least in (4, 10, 13):
         got = sorted(((x.doc_id, x.text, x.n_removed) for x in linededup.dedup_lines(df, min_sites=least).collect()), key=repr)
-        assert got == plain_lines(texts, sites, least, 0.5)
+        assert got == plain_lines(texts, sites, least)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -141,7 +141,7 @@ def test_line_dedup_exempts_no_document(spark, tmp_path):
     sites = [f"s{i}" for i in range(10)] + ["s0"] * 5
     df = spark.createDataFrame([(i, t, "en", s, None) for (i, t), s in zip(texts, sites, strict=True)], DOCS)
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    want = plain_lines(texts, sites, 10, 1)
+    want = plain_lines(texts, sites, 10)
     got = queries.op8_line_dedup(spark, str(tmp_path)).collect()
     md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
     assert sorted(((r.doc_id, r.kept_md5, r.n_removed) for r in got), key=repr) == sorted(((i, md5(t), n) for i, t, n in want), key=repr)
@@ -477,11 +477,64 @@ def test_languages(spark):
     assert {x.lang_pred for x in langid.identify(df, langid.train(df.limit(0))).collect()} == {"und"}
 
 
+def counted(texts):
+    out = {}
+    for name, t in texts.items():
+        g, n = np.unique(np.concatenate(list(langid.ngrams(t))), return_counts=True)
+        out[name] = g, n, int(n.sum())
+    return out
+
+
 def test_filters_name_all_languages():
-    f = langid.LanguageFilters.build({"a": ["kalo mitu " * 50], "b": ["kalo sching " * 50]})
-    h = langid.ngrams("kalo mitu sching")
+    f = langid.LanguageFilters.build(counted({"a": "kalo mitu " * 50, "b": "kalo sching " * 50}))
+    h = np.concatenate(list(langid.ngrams("kalo mitu sching")))
     mask = np.bitwise_and.reduce([f.cells[c] for c in langid._cells(h)])
-    assert {int(m) for m in mask} >= {1, 2, 3} and (f.chance < 0.01).all()
+    assert {int(m) for m in mask[:, 0]} >= {1, 2, 3} and (f.chance < 0.01).all()
+
+
+def test_many_languages():
+    r = random.Random(2)
+    texts = {f"l{k:03d}": " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)) for k in range(150)}
+    f = langid.LanguageFilters.build(counted({k: t + " " for k, t in texts.items()}))
+    assert f.cells.shape[1] == 3
+    assert np.mean([f.predict(t)[0] == k for k, t in texts.items()]) > 0.95
+
+
+def test_letters():
+    """A letter is a character of general category L."""
+    import unicodedata
+
+    f = langid.LanguageFilters.build(counted({"a": "kalo mitu " * 50}))
+    for t in ("½ ²", "①②③", "Ⅷ", "٣ ৪", "_ ! 5", "〇", " \n", "\u0301"):
+        assert f.predict(t) == ("und", 0.0), t
+    for t in ("ª", "ʰ", "ǅ", "漢", "½ x", "Ⅷa"):
+        assert f.predict(t)[0] == "a", t
+    r = random.Random(6)
+    for _ in range(300):
+        t = "".join(chr(r.choice((r.randrange(32, 0x2FF), r.randrange(0x300, 0xD800), r.randrange(0xE000, 0x20000)))) for _ in range(r.randrange(1, 4)))
+        assert bool(langid.letters(t)) == any(unicodedata.category(c)[0] == "L" for c in t.lower()), t
+
+
+def test_ngrams_in_pieces(monkeypatch):
+    t = " ".join("abc defg hij klmno".split() * 50)
+    whole = sum(len(g) for g in langid.ngrams(t))
+    monkeypatch.setattr(langid, "PIECE", 64)
+    parts = list(langid.ngrams(t))
+    assert len(parts) > 10 and set(np.concatenate(parts)) <= {int(h) for h in np.concatenate(list(langid.ngrams(f"{t} ")))}
+    assert 0.8 * whole < sum(map(len, parts)) <= whole + 6 * len(parts)
+    assert len(list(langid.ngrams("a" * 200))) == 4
+
+
+def test_language_sample(spark):
+    """The sample is bounded, and the same in any order of the rows."""
+    r = random.Random(8)
+    rows = [(None if i % 2 else i, f"{prose(r, 5)} {i}", "xx" if i % 3 else "yy") for i in range(200)]
+    ddl = "doc_id bigint, text string, lang string"
+    a = langid.train(spark.createDataFrame(rows, ddl), max_docs=40)
+    b = langid.train(spark.createDataFrame(rows[::-1], ddl).repartition(7), max_docs=40)
+    assert a.langs == b.langs == ["xx", "yy"] and (a.cells == b.cells).all()
+    c = langid.train(spark.createDataFrame(rows, ddl), max_docs=400)
+    assert (a.cells != c.cells).any()
 
 
 # 6

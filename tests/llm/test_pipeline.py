@@ -52,7 +52,7 @@ def test_quality_stage_rejects(spark, sf):
 def test_line_stage(stages):
     before, after = stages["line dedup"]
     rows = before.collect()
-    want = plain_lines([(r.doc_id, r.text) for r in rows], [r.source for r in rows], 10, 0.5)
+    want = plain_lines([(r.doc_id, r.text) for r in rows], [r.source for r in rows], 10)
     assert sorted(((r.doc_id, r.text) for r in after.collect()), key=repr) == [(i, t) for i, t, _ in want]
 
 
