@@ -1,34 +1,48 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A document is contaminated by a benchmark item if, at some alignment without gaps, WINDOW consecutive words of the item
-(all of a shorter one) agree with the document in at least 80 % of the places. Fixed masks choose which of a few
-neighbouring words are hashed and which are ignored; hashes of the training texts are joined with those of the items,
-and each hit is verified word by word around it. The four masks together hit every such overlap of 12 words or more,
-wherever its substitutions lie (checked over all patterns in the tests). Items below 12 words must occur exactly.
-
-The items' hashes are broadcast in blocks of at most BLOCK_WORDS words; a larger benchmark means more blocks, each
-held against all documents. Words are runs of letters and digits, in lower case.
-
-Nulls: a null text on either side never matches, nor does one without words; a null id is kept. Repeated rows give
-repeated results (items with equal ids are told apart by their text). Empty tables give an empty result.
+(all of a shorter one) agree with the document in at least 80 % of the places, those beyond the document's ends counted
+as different, or RUN words in a row agree. So an item of 5 to 9 words may have one word replaced, one of 10 or 11 two;
+one below 5 words must occur exactly. Words are runs of letters and digits in lower case; in scripts without spaces
+between words each character is one.
+
+Fixed masks choose which of a few neighbouring words are hashed and which are ignored. For items of LEAST_SPACED words
+and more four masks together hit every such overlap, wherever its substitutions lie; for each shorter length the words
+are cut into a few parts, and there is a mask for each choice of as many parts to ignore as words may be replaced (both
+checked over all patterns in the tests).
+
+Plan. The hashes of the items set bits in a filter of at most 2**FILTER_LOG2 bits (32 MB), which is broadcast; hashes of
+the documents' words that pass it are joined with those of the items. A larger benchmark lets more through, and the
+join does the rest. Each distinct hit (document, item, shift) is then verified: the document gives the words that
+the item would cover, these are joined with the item's words and compared place by place. Nothing is
+held for all items at once.
+
+Nulls: a null text on either side never matches, nor does one without words; null ids are kept. Repeated rows give
+repeated results (items with equal ids are told apart by their text and reported once, at their best; equal texts are
+searched once). Ties go to the first place. Empty tables give an empty result. A column with the name of the result is replaced, other
+columns are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MASKS = ("1101111", "111010011", "1100101011", "110001111")
-WINDOW, SHARE, LEAST_SPACED, BLOCK_WORDS = 20, 0.8, 12, 2_000_000
-FILTER_LOG2, CACHE = 23, 400_000
-_WORD = re.compile(r"\w+")
+WINDOW, PERCENT, RUN, LEAST_SPACED, LEAST_TOLERANT = 20, 80, 13, 12, 5
+FILTER_LOG2, BITS_A_SEED, CACHE, PAD = 28, 32, 400_000, 2
+# fixed values: scripts that are written without spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, Han)
+UNSPACED = "฀-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,19 +50,13 @@ class _Words(dict):
     """64-bit hash of a word; bounded."""
 
     def __missing__(self, w: str) -> int:
-        h = int.from_bytes(_blake(w), "little")
+        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         if len(self) >= CACHE:
             self.clear()
         self[w] = h
         return h
 
 
-def _blake(w: str) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-
-
 _words = _Words()
 
 
@@ -73,90 +81,182 @@ def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return _finish(h)
 
 
-@dataclass
-class SeedIndex:
-    """Seed hashes of a block of items, sorted, with the item and place of each."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    hashes: list[np.ndarray] = field(default_factory=list)  # by mask; then by length of the short items
-    items: list[np.ndarray] = field(default_factory=list)
-    places: list[np.ndarray] = field(default_factory=list)
-    masks: list[str] = field(default_factory=list)
-    maybe: np.ndarray | None = None
-
-    def __post_init__(self) -> None:
-        short = sorted({len(w) for w in self.words if 0 < len(w) < LEAST_SPACED})
-        self.masks = [*MASKS, *("1" * n for n in short)]
-        self.maybe = np.zeros(1 << FILTER_LOG2, bool)
-        for m, mask in enumerate(self.masks):
-            exact = m >= len(MASKS)
-            rows = [(seeds(w, mask, m), i) for i, w in enumerate(self.words) if (len(w) == len(mask) if exact else len(w) >= LEAST_SPACED)]
-            h = np.concatenate([r[0] for r in rows] or [np.empty(0, np.uint64)])
-            order = np.argsort(h, kind="stable")
-            self.hashes.append(h[order])
-            self.items.append(np.concatenate([np.full(len(r[0]), r[1]) for r in rows] or [np.empty(0, int)])[order])
-            self.places.append(np.concatenate([np.arange(len(r[0])) for r in rows] or [np.empty(0, int)])[order])
-            self.maybe[(h >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)] = True
-
-    def find(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """item id -> (agreeing words, first word of the document) of its best window."""
-        words = word_hashes(text) if text else ()
-        seen: set[tuple[int, int]] = set()
-        out: dict[int, tuple[int, int]] = {}
-        for m, mask in enumerate(self.masks if len(words) else ()):
-            h = seeds(words, mask, m)
-            at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)])
-            if not len(at):
-                continue
-            lo, hi = (np.searchsorted(self.hashes[m], h[at], side) for side in ("left", "right"))
-            for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                seen.update((int(i), int(p) - int(q)) for i, q in zip(self.items[m][a:b], self.places[m][a:b], strict=True))
-        for i, shift in sorted(seen):
-            w = self.words[i]
-            a, b = max(0, -shift), min(len(w), len(words) - shift)
-            size = min(WINDOW, len(w))
-            if b - a < size:
-                continue
-            same = np.concatenate([[0], np.cumsum(w[a:b] == words[a + shift : b + shift])])
-            inside = same[size:] - same[:-size]
-            k = int(inside.argmax())
-            need = size if len(w) < LEAST_SPACED else -(-int(size * SHARE * 10) // 10)
-            if inside[k] >= need and (int(inside[k]), -(a + shift + k)) > ((out[self.ids[i]][0], -out[self.ids[i]][1]) if self.ids[i] in out else (0, 0)):
-                out[self.ids[i]] = int(inside[k]), a + shift + k
-        return out
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[SeedIndex]:
-    ids, words, n = [], [], 0
-    for r in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
-        ids.append(r[0])
-        words.append(word_hashes(r[1]))
-        n += len(words[-1])
-        if n >= BLOCK_WORDS:
-            yield SeedIndex(ids, words)
-            ids, words, n = [], [], 0
-    if ids:
-        yield SeedIndex(ids, words)
+def least_same(n: int) -> int:
+    """How many words of a window of n must agree."""
+    return -(-n * PERCENT // 100)
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks for items of n words: all words but those of as many parts as words may differ."""
+    wrong = n - least_same(n)
+    if not wrong:
+        return ["1" * n]
+    parts = wrong + 2
+    edge = [n * k // parts for k in range(parts + 1)]
+    part = [next(k for k in range(parts) if i < edge[k + 1]) for i in range(n)]
+    return ["".join("0" if part[i] in left_out else "1" for i in range(n)) for left_out in itertools.combinations(range(parts), wrong)]
+
+
+def masks_for(lengths: list[int]) -> list[tuple[int, str, int]]:
+    """(number, mask, item length; 0 for all from LEAST_SPACED on) for items of these lengths."""
+    out = [(m, mask, 0) for m, mask in enumerate(MASKS)] if any(n >= LEAST_SPACED for n in lengths) else []
+    for n in sorted({n for n in lengths if 0 < n < LEAST_SPACED}):
+        out += [(100 * n + j, mask, n) for j, mask in enumerate(short_masks(n))]
+    return out
+
+
+_SEED = "seed bigint, a bigint, b bigint, place int"
+
+
+def _rows(seed: list[np.ndarray], a: list[int], b: list[int], place: list[np.ndarray]) -> pa.RecordBatch:
+    count = [len(s) for s in seed]
+    cols = [np.concatenate(seed).view(np.int64), np.repeat(np.array(a, np.int64), count), np.repeat(np.array(b, np.int64), count), np.concatenate(place).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["seed", "a", "b", "place"])
+
+
+def _item_seeds(masks: list[tuple[int, str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, b, words) to seeds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "words")), strict=True):
+                words = np.frombuffer(w, np.uint64)
+                found = [seeds(words, mask, m) for m, mask, n in masks if (n == len(words) if n else len(words) >= LEAST_SPACED)]
+                if found:
+                    yield _rows(found, [a] * len(found), [b] * len(found), [np.arange(len(s)) for s in found])
 
+    return run
+
+
+def _probes(h: np.ndarray, log2: int) -> Iterator[np.ndarray]:
+    mask = np.uint64((1 << log2) - 1)
+    yield h & mask
+    yield (h >> np.uint64(32)) * np.uint64(0x9E3779B1) & mask
+
+
+def _filter(put: Scratch, hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of two probes in words of 64 bits; executors put its words together."""
+    log2 = min(FILTER_LOG2, max(17, (max(1, hashes.count()) * BITS_A_SEED).bit_length()))
+
+    @F.arrow_udf("array<bigint>")
+    def places(c: pa.Array) -> pa.Array:
+        h = c.to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array(np.stack([p.view(np.int64) for p in _probes(h, log2)], 1).tolist(), pa.list_(pa.int64()))
+
+    bits = hashes.select(F.explode(places("seed")).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toPandas()
+    out = np.zeros(1 << (log2 - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).view(np.uint64)
+    return out, log2
+
+
+def _in_filter(words: np.ndarray, log2: int, h: np.ndarray) -> np.ndarray:
+    """Places of h that may be in the filter."""
+    at = np.arange(len(h))
+    for k in range(2):
+        p = next(itertools.islice(_probes(h[at], log2), k, None))
+        at = at[(words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(97), text).alias("b")]
+
+
+def compare(words: np.ndarray, covered: np.ndarray, begin: int) -> tuple[int, int, int]:
+    """Agreeing words of the best window, its begin in the item, longest run; covered: the document from item word `begin` on."""
+    same = np.zeros(len(words) + 1, np.int64)
+    same[begin : begin + len(covered)] = words[begin : begin + len(covered)] == covered
+    total = np.concatenate([[0], np.cumsum(same[:-1])])
+    inside = total[min(WINDOW, len(words)) :] - total[: len(total) - min(WINDOW, len(words))]
+    gaps = np.flatnonzero(same == 0)
+    k = int(inside.argmax())
+    return int(inside[k]), k, int(np.diff(gaps, prepend=-1).max()) - 1
+
+
+_CUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ia", pa.int64()), ("ib", pa.int64()), ("shift", pa.int32()), ("covered", pa.binary())])
 HIT = "array<struct<item_id:bigint,n_same:int,first_word:int>>"
-_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("n_same", pa.int32()), ("first_word", pa.int32())]))
 
 
-def _finder(shared: Broadcast) -> Callable[[Column], Column]:
-    @F.arrow_udf(HIT)
-    def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            found = (shared.value.find(t) for t in batch.to_pylist())
-            yield pa.array([[{"item_id": k, "n_same": n, "first_word": p} for k, (n, p) in sorted(f.items(), key=lambda x: (x[0] is None, x[0]))] for f in found], _HIT)
+def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """a, b (hash of a text of docs), item_id, n_same, first_word: the best window of each item that a text holds."""
+    put = Scratch(docs.sparkSession, "decontam")
 
-    return look
+    @F.arrow_udf("binary")
+    def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([word_hashes(t).tobytes() for t in batch.to_pylist()], pa.binary())
+
+    given = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("t")).where("t is not null").select("item_id", "t", *_text_key(F.col("t"))).distinct()
+    wanted = put.keep(given.select("item_id", "a", "b", hashed("t").alias("words")), "items")
+    distinct = wanted.select("a", "b", "words").distinct()
+    masks = masks_for([r.n for r in distinct.select((F.least(F.length("words") / 8, F.lit(LEAST_SPACED))).cast("int").alias("n")).distinct().collect()])
+    sought = put.keep(distinct.mapInArrow(_item_seeds(masks), _SEED), "seeds")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(put, sought.select("seed").distinct()))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, log2 = shared.value
+        edge = np.array([1, 2], np.uint64)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t")), strict=True):
+                words = word_hashes(text)
+                padded = np.concatenate([edge, words, edge])
+                for m, mask, n in masks if len(words) else ():
+                    h = seeds(padded if n else words, mask, m)
+                    at = _in_filter(cells, log2, h)
+                    if len(at):
+                        for col, x in zip(out, (h[at], a, b, at - (PAD if n else 0)), strict=True):
+                            col.append(x)
+            if out[0]:
+                yield _rows(*out)
+
+    texts = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").select("t", *_text_key(F.col("t")))
+    probes = put.keep(texts.mapInArrow(look, _SEED), "probes")
+    on_item = sought.select("seed", F.col("a").alias("ia"), F.col("b").alias("ib"), F.col("place").alias("q"))
+    hits = put.keep(probes.join(on_item, "seed").select("a", "b", "ia", "ib", (F.col("place") - F.col("q")).alias("shift")).distinct(), "hits")
+    put.drop(probes, sought)
+    with_size = hits.join(distinct.select(F.col("a").alias("ia"), F.col("b").alias("ib"), (F.length("words") / 8).cast("int").alias("n")), ["ia", "ib"])
+    asked = put.keep(with_size.groupBy("a", "b").agg(F.collect_list(F.struct("ia", "ib", "shift", "n")).alias("asked")), "asked")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, text, want in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t", "asked")), strict=True):
+                words = word_hashes(text)
+                rows = [{"a": a, "b": b, "ia": w["ia"], "ib": w["ib"], "shift": w["shift"], "covered": words[max(0, w["shift"]) : max(0, w["shift"] + w["n"])].tobytes()} for w in want]
+                for k in range(0, len(rows), 5000):
+                    yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=_CUT)
+
+    covered = texts.join(asked, ["a", "b"]).dropDuplicates(["a", "b"]).mapInArrow(cut, "a bigint, b bigint, ia bigint, ib bigint, shift int, covered binary")
+
+    @F.arrow_udf("struct<n_same:int,first_word:int,run:int,need:int>")
+    def held(words: pa.Array, covers: pa.Array, shifts: pa.Array) -> pa.Array:
+        out = []
+        for w, c, s in zip(words.to_pylist(), covers.to_pylist(), shifts.to_pylist(), strict=True):
+            x = np.frombuffer(w, np.uint64)
+            n, k, run = compare(x, np.frombuffer(c, np.uint64), max(0, -s))
+            out.append({"n_same": n, "first_word": max(0, s + k), "run": run, "need": least_same(min(WINDOW, len(x)))})
+        return pa.array(out, pa.struct([(c, pa.int32()) for c in ("n_same", "first_word", "run", "need")]))
+
+    on_words = wanted.select("item_id", F.col("a").alias("ia"), F.col("b").alias("ib"), "words")
+    checked = covered.join(on_words, ["ia", "ib"]).select("a", "b", "item_id", held("words", "covered", "shift").alias("h")).where(f"h.n_same >= h.need or h.run >= {RUN}")
+    best = checked.groupBy("a", "b", "item_id").agg(F.max(F.struct("h.n_same", (-F.col("h.first_word")).alias("f"))).alias("x"))
+    found = put.keep(best.select("a", "b", "item_id", "x.n_same", (-F.col("x.f")).alias("first_word")), "found")
+    put.drop(wanted, hits, asked)
+    return found
 
 
 def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "hits") -> DataFrame:
     """docs with the array of the items that each holds, the best window of each item."""
-    sc = docs.sparkSession.sparkContext
-    parts = [_finder(sc.broadcast(index))(F.col(text_col).cast("string")) for index in _blocks(items, item_id, item_text)]
-    hits = F.concat(*parts) if parts else F.array().cast(HIT)
-    return docs.select(*(c for c in docs.columns if c != name), hits.alias(name))
+    found = find(docs, items, text_col, item_id, item_text)
+    hits = found.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("item_id", "n_same", "first_word"))).alias("__hits"))
+    hits = hits.select(F.struct("a", "b").alias("__t"), "__hits")
+    names = [c for c in docs.columns if c != name]
+    out = docs.withColumn("__t", F.struct(*_text_key(F.col(text_col).cast("string")))).join(hits, "__t", "left")
+    return out.select(*names, F.coalesce("__hits", F.array().cast(HIT)).alias(name))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that hold no item, with their columns as they are."""
+    found = find(docs, items, text_col).select(F.struct("a", "b").alias("__t")).distinct()
+    return docs.withColumn("__t", F.struct(*_text_key(F.col(text_col).cast("string")))).join(found, "__t", "left_anti").select(docs.columns)

@@ -98,13 +98,15 @@ OP4_SQL = r"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') as ws from documents),
 b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') as ws from benchmark),
 dw as (select doc_id, len(ws) as dn, unnest(range(len(ws))) as dp, unnest(ws) as w from d),
-bw as (select item_id, len(ws) as n, least(20, len(ws)) as size, case when len(ws) < 12 then len(ws) else ceil(0.8 * least(20, len(ws))) end as need, unnest(range(len(ws))) as bp, unnest(ws) as w from b),
+bw as (select item_id, len(ws) as n, least(20, len(ws)) as size, ceil(0.8 * least(20, len(ws))) as need, unnest(range(len(ws))) as bp, unnest(ws) as w from b),
 m as (select doc_id, item_id, dn, n, size, need, dp - bp as shift, bp from dw join bw using (w)),
-c as (select doc_id, item_id, dn, n, size, need, shift, list(bp) as hits from m group by all having count(*) >= need),
+c as (select doc_id, item_id, dn, n, size, need, shift, list_sort(list(bp)) as hits from m group by all having count(*) >= least(need, 13)),
+u as (select doc_id, item_id, shift, unnest(hits) as p, unnest(range(len(hits))) as i from c),
+v as (select doc_id, item_id, shift, count(*) as run from u group by doc_id, item_id, shift, p - i having count(*) >= 13),
 s as (select *, unnest(range(n - size + 1)) as a from c),
-k as (select doc_id, item_id, need, a + shift as first_word, len(list_filter(hits, lambda p: p >= a and p < a + size)) as n_same from s where a + shift >= 0 and a + shift + size <= dn),
-r as (select *, row_number() over (partition by doc_id, item_id order by n_same desc, first_word) as i from k where n_same >= need)
-select doc_id, item_id, n_same::int as n_same, first_word::int as first_word from r where i = 1
+k as (select doc_id, item_id, shift, need, greatest(a + shift, 0) as first_word, len(list_filter(hits, lambda p: p >= a and p < a + size)) as n_same from s),
+q as (select k.*, row_number() over (partition by doc_id, item_id order by n_same desc, first_word) as i from k left join (select distinct doc_id, item_id, shift from v) v using (doc_id, item_id, shift) where n_same >= need or v.shift is not null)
+select doc_id, item_id, n_same::int as n_same, first_word::int as first_word from q where i = 1
 """
 
 

@@ -404,55 +404,119 @@ def patterns(n, wrong):
 
 
 def test_masks_hit_every_overlap():
+    """Also of overlaps that an end of the document cuts off, and of unbroken runs."""
     masks = [(int(m[::-1], 2), len(m)) for m in decontam.MASKS]
+    hit = lambda p, n: any(p >> k & m == m for m, size in masks for k in range(n - size + 1))
     for n in range(decontam.LEAST_SPACED, decontam.WINDOW + 1):
-        for p in patterns(n, n - -(-8 * n // 10)):
-            assert any(p >> k & m == m for m, size in masks for k in range(n - size + 1)), (n, bin(p))
+        for inside in range(decontam.least_same(n), n + 1):
+            for p in patterns(inside, inside - decontam.least_same(n)):
+                assert hit(p, inside), (n, inside, bin(p))
+    assert hit((1 << decontam.RUN) - 1, decontam.RUN)
+
+
+def test_short_masks_hit_every_overlap():
+    for n in range(1, decontam.LEAST_SPACED):
+        masks = [int(m[::-1], 2) for m in decontam.short_masks(n)]
+        assert n - decontam.least_same(n) == (0 if n < decontam.LEAST_TOLERANT else 1 if n < 10 else 2) <= decontam.PAD
+        for p in patterns(n, n - decontam.least_same(n)):
+            assert any(p & m == m for m in masks), (n, bin(p))
+
+
+WORD = r"[^\W\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f]+|(?=\w)[\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f]"
 
 
 def plain_overlaps(docs, items):
     out = {}
     for i, t in docs:
-        w = re.findall(r"\w+", (t or "").lower())
+        w = re.findall(WORD, (t or "").lower())
         for j, s in items:
-            v = re.findall(r"\w+", (s or "").lower())
-            size = min(20, len(v))
-            need = size if len(v) < 12 else -(-8 * size // 10)
-            best = max((sum(w[a + k] == v[b + k] for k in range(size)) for a in range(len(w) - size + 1) for b in range(len(v) - size + 1)), default=0) if size else 0
-            if size and best >= need:
+            v = re.findall(WORD, (s or "").lower())
+            n, best = min(20, len(v)), 0
+            for shift in range(-len(v), len(w) + 1) if w and v else ():
+                same = [0 <= k + shift < len(w) and w[k + shift] == x for k, x in enumerate(v)]
+                if sum(same) >= min(13, -(-8 * n // 10)):
+                    most = max(sum(same[k : k + n]) for k in range(len(v) - n + 1))
+                    if most >= -(-8 * n // 10) or "1" * 13 in "".join("01"[x] for x in same):
+                        best = max(best, most)
+            if best:
                 out.setdefault(i, {})[j] = best
     return out
 
 
+def hits_of(docs, bench):
+    return {x.doc_id: {h.item_id: h.n_same for h in x.hits} for x in decontam.overlaps(docs, bench).collect() if x.hits}
+
+
 def test_decontamination(spark):
     r = random.Random(9)
-    items = [(k, prose(r, n)) for k, n in enumerate((3, 8, 12, 13, 19, 25, 40))] + [(7, None), (8, ""), (9, "!!")]
+    items = [(k, prose(r, n)) for k, n in enumerate((3, 8, 12, 13, 19, 25, 40, 5, 10, 11))] + [(17, None), (18, ""), (19, "!!")]
     docs = []
-    for i in range(80):
-        w = prose(r, r.randrange(0, 50)).split(" ")
-        k = r.randrange(7)
-        v = items[k][1].split(" ")
-        a = r.randrange(max(1, len(v) - 20))
-        v = v[a : a + r.choice((20, 40))]
-        for _ in range(r.randrange(0, 6)):
+    for i in range(160):
+        w = prose(r, r.randrange(0, 50)).split(" ") if i % 5 else []
+        v = items[r.randrange(10)][1].split(" ")
+        a = r.randrange(max(1, len(v) - 12)) if i % 3 else 0
+        v = v[a : a + r.choice((13, 16, 20, 40))]
+        for _ in range(r.choice((0, 1, 1, 2, 3, 5))):
             v[r.randrange(len(v))] = "changed"
-        at = r.randrange(len(w) + 1)
+        if i % 7 == 0:
+            v = v[1:] if i % 2 else v[:-2]
+        at = r.choice((0, len(w), r.randrange(len(w) + 1)))
         docs.append((i, " ".join(w[:at] + v + w[at:]).upper() if i % 2 else ", ".join(w[:at] + v + w[at:])))
-    docs += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1])]
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {x.doc_id: {h.item_id: h.n_same for h in x.hits} for x in decontam.overlaps(make(spark, docs), bench).collect() if x.hits}
+    docs += [(200, None), (201, ""), (202, items[0][1]), (202, items[0][1]), (203, prose(r, 20_000) + " " + items[6][1])]
+    bench = spark.createDataFrame(items + items[:1], "item_id bigint, text string")
+    got = hits_of(make(spark, docs).withColumn("hits", F.lit("clash")), bench)
     want = plain_overlaps(docs, items)
-    assert got == want and len(want) > 20
-    assert {len(x.hits) for x in decontam.overlaps(make(spark, docs), bench.limit(0)).collect()} == {0}
+    assert got == want and len(want) > 60
+    assert decontam.overlaps(make(spark, docs), bench).count() == len(docs)
+    assert hits_of(make(spark, docs), bench.limit(0)) == {} == hits_of(make(spark, []), bench)
+    kept = decontam.clean(make(spark, docs).withColumn("hits", F.lit("clash")), bench)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _ in docs if i not in want) and kept.columns[-1] == "hits"
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 20)
+def test_decontamination_tolerates_substitutions_in_short_items(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 13)]
+    docs = []
+    for n, t in items:
+        for k in range(n):
+            for m in range(k, n):
+                w = t.split()
+                w[k] = w[m] = "changed"
+                docs.append((len(docs), " ".join(["before", *w, "after"])))
+    got = hits_of(make(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got == plain_overlaps(docs, items)
+    assert {next(iter(h)) for h in got.values()} == set(range(5, 13))
+
+
+def test_decontamination_without_spaces(spark):
+    r = random.Random(5)
+    han = ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (30, 9, 40)]
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(30))
+    changed = han[0][:12] + "X" + han[0][13:]
+    items = [(1, han[0]), (2, han[1]), (3, thai)]
+    docs = [(1, f"見よ{han[0]}。終"), (2, f"見{changed}終"), (3, f"「{han[1]}」"), (4, han[2]), (5, "x " + thai + thai), (6, f"{han[0][5:20]}")]
+    got = hits_of(make(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert got == plain_overlaps(docs, items)
+    assert {i: set(h) for i, h in got.items()} == {1: {1}, 2: {1}, 3: {2}, 5: {3}, 6: {1}}
+
+
+def test_decontamination_with_a_full_filter(spark, monkeypatch):
+    """A filter too small for the benchmark lets everything through; the result is the same."""
+    monkeypatch.setattr(decontam, "FILTER_LOG2", 7)
     r = random.Random(9)
-    items = [(k, prose(r, 15)) for k in range(6)]
+    items = [(k, prose(r, 15)) for k in range(60)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = make(spark, [(k, f"a b {t} c") for k, t in items])
-    assert {x.doc_id: [h.item_id for h in x.hits] for x in decontam.overlaps(docs, bench).collect()} == {k: [k] for k in range(6)}
+    assert {i: list(h) for i, h in hits_of(docs, bench).items()} == {k: [k] for k in range(60)}
+
+
+def test_decontamination_with_a_template(spark):
+    """A prompt that all items share makes a text that has it a hit for each of them."""
+    r = random.Random(9)
+    template = prose(r, 14)
+    items = [(k, f"{template} {prose(r, 12)}") for k in range(300)]
+    docs = [(k, f"{prose(r, 30)} {template} {prose(r, 30)}") for k in range(30)] + [(99, prose(r, 60))]
+    got = hits_of(make(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {i: len(h) for i, h in got.items()} == dict.fromkeys(range(30), 300)
 
 
 # 1
