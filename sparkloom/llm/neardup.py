@@ -6,15 +6,20 @@ ROWS values of as many permutations make the keys, the largest moved on by SHIFT
 permutation; a pair with J = 0.8 shares none with a probability of (1 - 0.8**6)**40 = 5e-6, less for small sets (2e-6 for
 a union of 5 shingles, as bands with a common permutation rarely fail together), one with a higher J more rarely still.
 
-Documents with equal shingle sets form one class, known by its smallest id; only classes are compared. In each key's
-bucket all classes are compared with one of them, twice with different choices; links merge components. In the few
-buckets that still hold several components all remaining pairs are compared: as pairs in small buckets; in large ones in
-tasks of two blocks of at most BLOCK classes, whose sets are sent once and scanned until each class has met each of
-another component. So no partner is dropped and no bucket is expanded into all of its pairs. Every link is
-confirmed on the full sets (64-bit hashes of the shingles).
-
-Components are found by contraction: each vertex joins its smallest neighbour, edges within a component go, until none
-is left. Nothing about single documents is collected.
+Documents with equal shingle sets form one class, known by its smallest id; only classes are compared, in three steps:
+1. In each key's bucket all classes are compared with one of them, the pivot. Links merge components.
+2. Buckets of up to SMALL classes that still hold several components: all pairs of different components.
+3. Classes of larger buckets that still do: pairs that share one of their rarest shingles. In an order of all shingles
+   by their frequency, sets of n with a similarity of p % share one of the first n - ceil(p n / 100) + 1, so
+   no link is lost (the order is by a sketch of the frequencies of fixed size, which only changes how many pairs there
+   are). Classes are first compared with the pivot of the shingle, then those of different components with each other.
+So no partner is dropped, and no bucket is expanded into all of its pairs; what remains is quadratic only in
+the components that share a rare shingle. Every link is confirmed on the full sets (64-bit hashes of the shingles).
+Rows of large buckets are dealt to several tasks by a salt, and a pivot's set is sent once to each.
+
+Components are found by contraction: each vertex points to its smallest neighbour, pointers are doubled until
+they reach the roots, edges within a component go; both take logarithmically many rounds. Once no more than SMALL_GRAPH
+edges are left, one task merges them. Nothing about single documents is collected on the driver.
 
 Nulls: a null or wordless text has the empty set, linked with nothing; a null id is kept (its component is the smallest
 non-null id of an equal set, or null). Repeated rows get equal results; rows with one id and different texts are one
@@ -28,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-PERMS, BANDS, ROWS, SMALL, BLOCK, CACHE = 120, 40, 6, 8, 2048, 300_000
-SHIFT = 7
+PERMS, BANDS, ROWS, SHIFT, CACHE = 120, 40, 6, 7, 300_000
+SMALL, DEAL, SMALL_GRAPH, CELLS_LOG2 = 8, 256, 500_000, 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(7).integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = np.random.default_rng(8).integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -108,80 +113,117 @@ def sketch(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), make(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) to (v, p): the smallest vertex of each one's component."""
+    every = [np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]) for batch in batches]
+    if every:
+        names, ends = np.unique(np.concatenate(every, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        up = np.arange(len(names))
+        while (up[a] != up[b]).any():
+            low = np.minimum(up[a], up[b])
+            np.minimum.at(up, np.maximum(up[a], up[b]), low)
+            while (up[up] != up).any():
+                up = up[up]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[up])], names=["v", "p"])
+
+
 def contract(put: Scratch, edges: DataFrame) -> DataFrame | None:
     """v, comp (the smallest vertex of its component) of the vertices of edges (a, b); None without edges."""
-    labels, first = None, True
+    labels = None
     while True:
         edges = put.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             return labels
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        up = put.keep(up, "parents")
-        hop = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        up = put.keep(up.join(hop, "p").select("v", F.col("pp").alias("p")), "parents")
-        if first:
-            labels, first = up.select("v", F.col("p").alias("comp")), False
+        if n <= SMALL_GRAPH:
+            up = put.keep(edges.repartition(1).mapInArrow(_merged, "v bigint, p bigint"), "parents")
+        else:
+            both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            up = put.keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")), "parents")
+            moved = True
+            while moved:
+                hop = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+                far = put.keep(up.join(hop, "p").select("v", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "parents")
+                put.drop(up)
+                moved, up = not far.where("moved").isEmpty(), far
+        if labels is None:
+            labels = up.select("v", F.col("p").alias("comp"))
         else:
             step = up.select(F.col("v").alias("comp"), "p")
             labels = put.keep(labels.join(step, "comp", "left").select("v", F.coalesce("p", "comp").alias("comp")), "labels")
+        if n <= SMALL_GRAPH:
+            return labels
         pa_, pb = up.select(F.col("v").alias("a"), F.col("p").alias("x")), up.select(F.col("v").alias("b"), F.col("p").alias("y"))
         edges = edges.join(pa_, "a").join(pb, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    """Whether sorted sets, neither of them empty, are similar enough."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b)."""
-
-    @F.arrow_udf("boolean")
-    def same(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
-
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(same("x", "y")).select("a", "b")
-
-
-def _links_in_block(ids: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges that join the components of the block as all its links do."""
-    sizes = np.array([len(s) for s in sets])
-    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    _, flat = np.unique(flat, return_inverse=True)
-    mark = np.zeros(int(flat.max()) + 1, np.int32)
-    comp = np.unique(np.array(comps), return_inverse=True)[1]
-    edges = []
-    largest = np.bincount(comp).argmax()
-    for i in np.argsort(comp == largest, kind="stable"):  # a link within the largest component tells nothing
-        if comp[i] == largest:
-            break
-        own = flat[at[i] : at[i] + sizes[i]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[flat], at)
-        mark[own] = 0
-        hit = (100 * both >= percent * (sizes + sizes[i] - both)) & (comp != comp[i])
-        for j in np.flatnonzero(hit):
-            if comp[j] != comp[i]:
-                edges.append((ids[i], ids[j]))
-                comp[comp == comp[j]] = comp[i]
-    return edges
-
-
-def _links_in_large(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components of buckets (key, id, comp, m: classes in the bucket)."""
-    g = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = buckets.select("key", "id", "comp", g.alias("g"), F.pmod(F.xxhash64("id"), g).cast("int").alias("own"))
-    rows = rows.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    rows = rows.select("key", "id", "comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(sets, "id")
-
-    def look(table: pa.Table) -> pa.Table:
-        cols = table.to_pydict()
-        found = _links_in_block(cols["id"], cols["comp"], [np.frombuffer(s, np.uint64) for s in cols["set"]], percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return rows.groupBy("key", "p", "q").applyInArrow(look, "a bigint, b bigint")
+    """The linked ones of pairs (a, b, m: about as many rows may have this a)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, s, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if (a, s) != key:
+                    key, own = (a, s), []
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if b is None:
+                    own.append(x.copy())
+                elif any(_linked(y, x, percent) for y in own):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    dealt = pairs.groupBy("a", "b").agg(F.max("m").alias("m")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / DEAL)).cast("int").alias("s"))
+    each = dealt.join(sets.select(F.col("id").alias("b"), "set"), "b").select("a", "s", "b", "set")
+    own = dealt.select("a", "s").distinct().join(sets.select(F.col("id").alias("a"), "set"), "a").select("a", "s", F.lit(None).cast("bigint").alias("b"), "set")
+    rows = each.unionAll(own).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _fits(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _rare(put: Scratch, sets: DataFrame, percent: int) -> DataFrame:
+    """id, n, token: of each set the rarest shingles, of which it shares one with any that it is linked with."""
+    size = 1 << CELLS_LOG2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(total[cell])], names=["cell", "n"])
+
+    cells = sets.select("set").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(size, np.int64)
+    often[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    @F.arrow_udf("array<bigint>")
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for x in batch:
+                t = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(t) + (-len(t) * percent) // 100 + 1
+                out.append(t[np.lexsort((t, shared.value[(t >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)]))[:n]].view(np.int64))
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return put.keep(sets.select("id", (F.length("set") / 8).cast("int").alias("n"), F.explode(first("set")).alias("token")), "rare")
 
 
 def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,39 +233,79 @@ def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     rows = put.keep(sketch(ids, size, "id", "text"), "sketches")
     classes = put.keep(rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "n", "keys")).alias("c")).select("digest", "c.id", "c.n", "c.keys"), "classes")
     keyed = classes.where("id is not null").select("id", "n", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1")
-    buckets = put.keep(keyed.join(counts, "key").select("key", "id", "n", "m", "pivot"), "buckets")
-    labels = None
+    counts = put.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1"), "counts")
+    buckets = put.keep(_with_counts(keyed, counts).select("key", "id", "n", "m", "pivot"), "buckets")
+    labels, links = None, None
     if not buckets.isEmpty():
-        wanted = buckets.select("id").distinct()
 
         @F.arrow_udf("binary")
         def full(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in texts:
                 yield pa.array([shingles(t, size).tobytes() for t in batch.to_pylist()], pa.binary())
 
-        texts = ids.join(wanted, "id").distinct().select("id", full("text").alias("set"))
-        sets = put.keep(texts, "sets")
-        fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+        sets = put.keep(ids.join(buckets.select("id").distinct(), "id").distinct().select("id", full("text").alias("set")), "sets")
         sizes = classes.select(F.col("id").alias("a"), F.col("n").alias("na"))
         # 1: each class with the smallest of its bucket
-        pairs = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").distinct()
-        tested = put.keep(pairs.join(sizes, "a").where(fits(F.col("na"), F.col("n"))).select("a", "b"), "pairs")
+        pairs = buckets.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").agg(F.max("m").alias("m"))
+        tested = put.keep(pairs.join(sizes, "a").where(_fits(F.col("na"), F.col("n"), percent)).select("a", "b", "m"), "pairs")
         links = put.keep(_confirm(tested, sets, percent), "links")
         labels = contract(put, links)
-        named = lambda b: (b if labels is None else b.join(labels.withColumnRenamed("v", "id"), "id", "left")).withColumn("comp", F.coalesce("comp", "id") if labels is not None else F.col("id"))
-        mixed = lambda b: b.join(b.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "key")
-        # 2: what is left of buckets of three and more, with one of another component
-        left = put.keep(mixed(named(buckets.where("m > 2").select("key", "id", "n", "m"))), "mixed")
-        small = left.where(F.col("m") <= SMALL)
-        x = small.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        more = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        more = more.join(tested, ["a", "b"], "left_anti")
-        found = put.keep(_confirm(more, sets, percent).unionAll(_links_in_large(left.where(F.col("m") > SMALL), sets, percent)), "more")
-        labels = contract(put, links.unionAll(found))
+        # 2: what is left of small buckets
+        left = put.keep(_mixed(_named(buckets.where("m > 2").select("key", "id", "n", "m"), labels)), "mixed")
+        found = put.keep(_confirm(_pairs(left.where(F.col("m") <= SMALL), percent).join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
+        links = links.unionAll(found)
+        # 3: what is left of large ones
+        large = left.where(F.col("m") > SMALL).select("id").distinct()
+        if not large.isEmpty():
+            rare = _rare(put, sets.join(large, "id"), percent)
+            of_token = rare.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1")
+            groups = put.keep(_with_counts(rare.withColumnRenamed("token", "key"), of_token.withColumnRenamed("token", "key")).select("key", "id", "n", "m", "pivot"), "groups")
+            labels = contract(put, links)
+            apart = put.keep(_mixed(_named(groups, labels)), "apart")
+            own = apart.where("id <> pivot").join(_named(apart.select(F.col("pivot").alias("id")).distinct(), labels).select(F.col("id").alias("pivot"), F.col("comp").alias("other")), "pivot")
+            found = put.keep(_confirm(own.where("comp <> other").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "m"), sets, percent), "links")
+            links = links.unionAll(found)
+            labels = contract(put, links)
+            rest = put.keep(_mixed(_named(apart.select("key", "id", "n", "m"), labels)), "rest")
+            links = links.unionAll(put.keep(_confirm(_pairs(rest, percent), sets, percent), "links"))
+            put.drop(rare, groups, apart)
+        labels = contract(put, links)
+        put.drop(sets, tested, left)
+    put.drop(buckets, counts)
     out = rows.join(classes.select("digest", F.col("id").alias("class")), "digest", "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("v", "class"), "class", "left")
     comp = F.coalesce(*([F.col("comp")] if labels is not None else []), "class", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+
+
+def _with_counts(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (key, id, ...) of the keys in counts (key, m, pivot), with m and pivot; those of frequent keys dealt by a salt.
+
+    The frequent keys are DEAL times fewer than the rows; being a small written or aggregated table, they are broadcast
+    if their measured size allows.
+    """
+    parts = F.ceil(F.col("m") / DEAL).cast("int")
+    hot = counts.where(F.col("m") > DEAL).select("key", parts.alias("parts"))
+    rows = keyed.join(hot, "key", "left").withColumn("s", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).drop("parts")
+    return rows.join(counts.withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1))), ["key", "s"])
+
+
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with the component of id."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of keys that hold several components."""
+    return rows.join(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "key")
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, m: pairs with a key in common, of different components and sizes that do not rule a link out."""
+    x = rows.select("key", "m", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    some = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent))
+    return some.groupBy("a", "b").agg(F.max("m").alias("m"))

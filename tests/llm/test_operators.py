@@ -198,8 +198,8 @@ def test_bands_mix_permutations(monkeypatch):
 
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    """A family in which most links are not with the first document, in blocks of a few."""
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    """A family in which most links are not with the first document; buckets dealt to several tasks."""
+    monkeypatch.setattr(neardup, "DEAL", 4)
     monkeypatch.setattr(neardup, "SMALL", 3)
     r = random.Random(4)
     words = prose(r, 120).split(" ")
@@ -222,11 +222,51 @@ def test_near_duplicates_chain(spark):
     assert got == plain_components(texts, 2, 80)
 
 
-def test_contract(spark):
-    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (30, 2), (30, 7)], "a bigint, b bigint")
+@pytest.mark.parametrize("small", [0, 100])
+def test_contract(spark, monkeypatch, small):
     from sparkloom.llm.common import Scratch
 
-    assert {r.v: r.comp for r in neardup.contract(Scratch(spark, "t"), edges).collect()} == dict.fromkeys((2, 3, 4, 5, 7, 8, 9, 30), 2)
+    monkeypatch.setattr(neardup, "SMALL_GRAPH", small)
+    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (30, 2), (30, 7), (50, 51), (51, 51)], "a bigint, b bigint")
+    want = dict.fromkeys((2, 3, 4, 5, 7, 8, 9, 30), 2) | {50: 50, 51: 50}
+    assert {r.v: r.comp for r in neardup.contract(Scratch(spark, "t"), edges).collect()} == want
+    assert neardup.contract(Scratch(spark, "t"), edges.limit(0)) is None
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_contract_long_chain(spark, monkeypatch, shuffled):
+    """A chain of 5,000 in logarithmically many rounds, also without the last step in one task."""
+    from sparkloom.llm.common import Scratch
+
+    monkeypatch.setattr(neardup, "SMALL_GRAPH", 0)
+    names = list(range(5000))
+    if shuffled:
+        random.Random(1).shuffle(names)
+    put = Scratch(spark, "t")
+    made: list[str] = []
+    keep = put.keep
+    monkeypatch.setattr(put, "keep", lambda df, name="t": (made.append(name), keep(df, name))[1])
+    found = neardup.contract(put, spark.createDataFrame(list(zip(names, names[1:])), "a bigint, b bigint"))
+    assert {r.comp for r in found.collect()} == {0} and found.count() == 5000
+    assert made.count("edges") <= 15 and made.count("parents") <= 15 * 3
+
+
+def test_rarest_shingles_are_shared(spark):
+    """Any two linked sets share one of their rarest shingles."""
+    from sparkloom.llm.common import Scratch
+
+    r = np.random.default_rng(1)
+    base = r.integers(1, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(1, 60), False), r.integers(1, 2**63, r.integers(0, 8)).astype(np.uint64)])) for _ in range(150)]
+    frame = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id bigint, set binary")
+    rare = {}
+    for x in neardup._rare(Scratch(spark, "t"), frame, 80).collect():
+        rare.setdefault(x.id, set()).add(x.token)
+    linked = [(i, j) for i in range(150) for j in range(i) if neardup._linked(sets[i], sets[j], 80)]
+    assert len(linked) > 20
+    for i, j in linked:
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and rare[i] & rare[j]
 
 
 def test_near_duplicates_empty(spark):
