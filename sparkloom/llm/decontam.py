@@ -39,7 +39,7 @@ from .common import Scratch
 
 MASKS = ("1101111", "111010011", "1100101011", "110001111")
 WINDOW, PERCENT, RUN, LEAST_SPACED, LEAST_TOLERANT = 20, 80, 13, 12, 5
-FILTER_LOG2, BITS_A_SEED, CACHE, PAD = 28, 32, 400_000, 2
+FILTER_LOG2, BITS_A_SEED, CACHE, TOGETHER = 28, 32, 400_000, 100_000
 # fixed values: scripts that are written without spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, Han)
 UNSPACED = "฀-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
@@ -159,6 +159,23 @@ def _in_filter(words: np.ndarray, log2: int, h: np.ndarray) -> np.ndarray:
     return at
 
 
+_GAP = np.arange(1, LEAST_SPACED + 1, dtype=np.uint64)  # no word; longer than each mask, so that none reaches two texts
+
+
+def _by_words(rows: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Rows of texts of TOGETHER words or a little more, those without words left out."""
+    some, n = [], 0
+    for row in rows:
+        if len(row[2]):
+            some.append(row)
+            n += len(row[2])
+            if n >= TOGETHER:
+                yield some
+                some, n = [], 0
+    if some:
+        yield some
+
+
 def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(97), text).alias("b")]
 
@@ -196,20 +213,19 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, log2 = shared.value
-        edge = np.array([1, 2], np.uint64)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t")), strict=True):
-                words = word_hashes(text)
-                padded = np.concatenate([edge, words, edge])
-                for m, mask, n in masks if len(words) else ():
-                    h = seeds(padded if n else words, mask, m)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t")), strict=True)
+            for some in _by_words(((a, b, word_hashes(t)) for a, b, t in rows)):
+                flat = np.concatenate([x for _, _, words in some for x in (_GAP, words)] + [_GAP])
+                begin = np.cumsum([0] + [len(_GAP) + len(words) for _, _, words in some[:-1]]) + len(_GAP)
+                a, b = (np.array([r[k] for r in some], np.int64) for k in (0, 1))
+                for m, mask, _ in masks:
+                    h = seeds(flat, mask, m)
                     at = _in_filter(cells, log2, h)
-                    if len(at):
-                        for col, x in zip(out, (h[at], a, b, at - (PAD if n else 0)), strict=True):
-                            col.append(x)
-            if out[0]:
-                yield _rows(*out)
+                    doc = np.searchsorted(begin, at + len(mask) - 1, "right") - 1  # a place before the first word is the next document's
+                    own = doc >= 0
+                    at, doc = at[own], doc[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(a[doc]), pa.array(b[doc]), pa.array((at - begin[doc]).astype(np.int32))], names=["seed", "a", "b", "place"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").select("t", *_text_key(F.col("t")))
     probes = put.keep(texts.mapInArrow(look, _SEED), "probes")
