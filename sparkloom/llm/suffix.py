@@ -1,4 +1,7 @@
-"""Exact removal of repeated byte strings, by difference-cover suffix sorting over a content-defined sample.
+"""Removal of repeated byte strings, by suffix sorting over a content-defined sample.
+
+This is a substitute for a difference-cover sort of all bytes, whose sample of two positions in three does not fit
+the disk (figures in the README); the difference-cover algorithm sorts what the sample leaves open.
 
 A byte is removed if a string of WINDOW bytes that covers it also starts earlier, in a smaller document or before in the
 same one. Strings are judged on the input.
@@ -8,8 +11,8 @@ positions of a difference cover, which any two suffixes reach after the same num
 equal anchors at equal offsets; only about 3 % of all positions are anchors. So windows need to be compared only if
 their anchors are equal, and all that belongs to an anchor can be sent to one place.
 
-Names. Anchors are sorted by their 32 bytes and by all bytes that their windows touch. All windows of an anchor whose
-surroundings came before are repeats; an anchor seen once, or always with the same surroundings, has no other work.
+Names. Anchors are sorted by 64-bit hashes of their 32 bytes and of all bytes that their windows touch. All windows of an
+anchor whose surroundings came before are repeats, which is right up to collisions of these 128 bits; an anchor seen once, or always with the same surroundings, has no other work.
 What is left are the first occurrences of different surroundings of one anchor.
 
 Suffix sorting. Their texts are collected by anchor, whole anchors a block, and suffix-sorted by the difference-cover
@@ -18,10 +21,12 @@ by recursion (until names cover a window), the remaining suffixes are sorted by
 follows, and both are merged. Neighbours in this order that agree in 100 bytes are repeats. A symbol stands for 25
 bytes; symbols are ordered by a hash, which serves as well, as only equal neighbours are looked for.
 
-A block holds at most BLOCK bytes; an anchor with more than that is dealt to several by a hash of the windows. Anchors
-repeated with the same surroundings within a batch of input are resolved there, before the shuffle.
+Frequent anchors. Those repeated with the same surroundings within a batch of input are resolved there, before the
+shuffle. An anchor that many texts hold (found in one of HOT_SHARE of them) is dealt to tasks by its surroundings too.
+A block holds at most BLOCK bytes; the windows of an anchor with more than that are not sorted, but grouped by 128 bits of
+hash with partial aggregation. So no task or worker ever holds all rows of an anchor.
 
-Nulls: a null text is empty; rows with a null id count as later than all others. Repeated rows (equal id and text) are one
+Nulls: a null text is empty; rows with a null id count as later than all others, whatever these are. Repeated rows (equal id and text) are one
 document and get equal results; different texts of one id are separate documents, in the order of their hashes. An
 empty table gives an empty result.
 """
@@ -44,7 +49,8 @@ _PLACE = np.uint64((1 << 20) - 1)
 _SPAN = WINDOW - ANCHOR  # an anchor begins at most so many bytes behind the start of its window
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LATE = 2**63 - 1
+_TEXTS = 2**29  # hashes of texts are below; rows without an id come last, from here on
+HOT_SHARE, HOT_LEAST = 16, 200  # an anchor with so many names in one of so many texts is dealt by its surroundings
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -214,7 +220,7 @@ def _runs(flags: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(s[np.concatenate([[0], cut + 1])].tolist(), s[np.concatenate([cut, [len(s) - 1]])].tolist(), strict=True)
 
 
-SEEN, OPEN = 1, 2  # kinds: surroundings came before; to be sorted
+SEEN, OPEN, HOT = 1, 2, 3  # kinds: surroundings came before; to be sorted; the same for very frequent anchors
 #: place: t, at and kind in one number
 NAMED = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
 _KIND = np.int64(3)
@@ -246,40 +252,45 @@ def _after_first(key: np.ndarray, around: np.ndarray, ids: np.ndarray, place: np
 
 
 def _second_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same over all rows of a key, which come sorted; keeps what was seen before and what is open."""
-    held: list[np.ndarray] | None = None
-
-    def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, around, ids, place = cols
-        seen = _after_first(key, around, ids, place)
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.cumsum(new) - 1
-        first = np.concatenate([[True], (around[1:] != around[:-1]) | new[1:]])
-        open_ = ~seen & (np.bincount(group, first)[group] > 1)
-        place = place | np.where(seen, SEEN, np.where(open_, OPEN, 0))
-        keep = seen | open_
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, around, ids, place)], schema=NAMED)
-
+    """The same over all rows (key, around, id, place, hot) of a partition, which come sorted; keeps what was seen
+    before and what is open. Of the rows before only the last one and the first of its key are held."""
+    last_head = 0, 0
+    last_key = last_around = first = None  # first: the first row of the key while its surroundings are the only ones
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in NAMED.names]
-        done = (cols[3] & _KIND) == SEEN  # these were resolved before the shuffle
+        key, around, ids, place, hot = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        done = (place & _KIND) == SEEN  # these were resolved before the shuffle
         if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in cols], schema=NAMED)
-            cols = [c[~done] for c in cols]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            held = cols
+            yield pa.RecordBatch.from_arrays([pa.array(c[done]) for c in (key, around, ids, place)], schema=NAMED)
+            key, around, ids, place, hot = (c[~done] for c in (key, around, ids, place, hot))
+        if not len(key):
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield flush([c[:cut] for c in cols])
-    if held is not None and len(held[0]):
-        yield flush(held)
-
-
-#: what = run: windows first..last of the document repeat; open: text begins at window `first`; doc: the text; done: a result
+        new_key = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        new = new_key | np.concatenate([[last_around is None or around[0] != last_around], around[1:] != around[:-1]])
+        heads = np.flatnonzero(new)  # the first rows of their surroundings
+        group = np.cumsum(new_key[heads])  # 0: the key of the batch before
+        more = np.bincount(group, minlength=int(group.max(initial=0)) + 1) > 1
+        open_ = hot[heads] | more[group] | (group == 0)
+        of = np.cumsum(new)  # equal rows of one document are no repeats of each other: the first stands for all
+        head_id, head_place = (np.concatenate([[before], x[heads]])[of] for before, x in zip(last_head, (ids, place), strict=True))
+        kind = np.where((ids != head_id) | (place != head_place), SEEN, 0)
+        kind[heads] = np.where(open_, OPEN, 0)
+        if first is not None and (group == 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in first], schema=NAMED)
+        if len(heads) and (group > 0).any():
+            first = None
+            k = int(heads[-1])
+            if new_key[k] and not open_[-1]:  # its key may go on in the next batch
+                first = (key[k], around[k], ids[k], place[k] | OPEN)
+        elif (group == 0).any():
+            first = None
+        last_key, last_around, last_head = key[-1], around[-1], (head_id[-1], head_place[-1])
+        keep = kind != 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, around, ids, place | kind)], schema=NAMED)
+    # a first row left over was alone
+
+
+#: what = run: windows first..last of the document repeat; open: text begins at window `first`; hot: text is the hash of
+#: window `first`; doc: the text; done: a result
 PART = pa.schema([
     ("what", pa.string()), ("id", pa.int64()), ("t", pa.int32()), ("key", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.binary()),
     ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
@@ -331,46 +342,21 @@ def _apply_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += [{"what": "run", "id": i, "t": t, "first": a, "last": z} for a, z in zip(first.tolist(), last.tolist(), strict=True)]
                 of, first_of = np.unique(where[~seen], return_index=True)  # equal rows have equal anchors
                 m = np.searchsorted(at, of)
-                for name, c, a, z in zip(q[~seen][first_of].tolist(), of.tolist(), lo[m].tolist(), hi[m].tolist(), strict=True):
-                    rows.append({"what": "open", "id": i, "t": t, "key": name, "at": c, "first": a, "last": z, "text": b[a : z + WINDOW]})
+                hot = ((p[~seen][first_of] & _KIND) == HOT).tolist()
+                for name, c, a, z, h in zip(q[~seen][first_of].tolist(), of.tolist(), lo[m].tolist(), hi[m].tolist(), hot, strict=True):
+                    if h:
+                        rows += [{"what": "hot", "id": i, "t": t, "first": x, "text": hashlib.blake2b(b[x : x + WINDOW], digest_size=16).digest()} for x in range(a, z + 1)]
+                    else:
+                        rows.append({"what": "open", "id": i, "t": t, "key": name, "at": c, "first": a, "last": z, "text": b[a : z + WINDOW]})
+                    if len(rows) > 5000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=PART)
+                        rows = []
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema=PART)
                 rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=PART)
 
 
-def _one_anchor(texts: list[bytes], owner: np.ndarray, inner: np.ndarray, before: np.ndarray, orders: np.ndarray) -> np.ndarray:
-    """As repeated, for one anchor with more than a block of texts.
-
-    Equal windows have the anchor at the same distance (`before`), so some distances at a time can be sorted apart from
-    the others; if one distance is too much, windows are dealt by their hash.
-    """
-    flags = np.zeros(len(owner), bool)
-    width = _SPAN + 1
-    while width > 1:  # the widest bands of distances that are no more than a block each
-        width = -(-width // 2)
-        band = before // width
-        windows = np.bincount(band)
-        texts_in = np.bincount(np.unique(band * len(texts) + owner) // len(texts), minlength=len(windows))
-        if (windows + texts_in * (WINDOW - 1)).max() <= BLOCK:
-            break
-    for b in np.unique(band):
-        some = np.flatnonzero(band == b)
-        parts = [some]
-        if len(some) * WINDOW > BLOCK and width == 1:
-            dealt = np.array([hash(texts[o][k : k + WINDOW]) for o, k in zip(owner[some], inner[some], strict=True)]) % (1 + len(some) * WINDOW * 2 // BLOCK)
-            parts = [some[dealt == d] for d in np.unique(dealt)]
-        for p in parts:
-            new = np.concatenate([[True], owner[p][1:] != owner[p][:-1]])
-            heads = np.flatnonzero(new)
-            ends = np.concatenate([heads[1:], [len(p)]]) - 1
-            cut = [texts[o][a : z + WINDOW] for o, a, z in zip(owner[p][heads], inner[p][heads], inner[p][ends], strict=True)]
-            base = np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]])
-            group = np.cumsum(new) - 1
-            flags[p] = repeated(cut, base[group] + inner[p] - inner[p][heads][group], orders[p])
-    return flags
-
-
 RUN = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 
 
@@ -379,18 +365,14 @@ Row = tuple[int, int, int, int, int, bytes]
 
 def _sort_block(rows: list[Row]) -> list[tuple[int, int, int, int]]:
     """Runs of repeated windows of rows (id, t, place of the anchor, first window, last window, text)."""
-    ids, ts, at, first, last = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+    ids, ts, _, first, last = (np.array([r[k] for r in rows], np.int64) for k in range(5))
     doc = np.unique(np.stack([ids, ts]), axis=1, return_inverse=True)[1].reshape(-1)
     sizes = np.array([len(r[5]) for r in rows])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     count = last - first + 1
     owner = np.repeat(np.arange(len(rows)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    orders = (doc[owner] << 32) + first[owner] + inner
-    if sizes.sum() <= BLOCK:
-        flags = repeated([r[5] for r in rows], base[owner] + inner, orders)
-    else:
-        flags = _one_anchor([r[5] for r in rows], owner, inner, at[owner] - first[owner] - inner, orders)
+    flags = repeated([r[5] for r in rows], base[owner] + inner, (doc[owner] << 32) + first[owner] + inner)
     out = []
     heads = np.cumsum(count) - count
     for k in range(len(rows)):
@@ -435,28 +417,40 @@ def _finish_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _frequent(put: Scratch, ids: DataFrame) -> DataFrame:
+    """Keys that occur often in one of HOT_SHARE texts; this only decides how rows are dealt to tasks."""
+    some = ids.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(HOT_SHARE)) == 0).mapInArrow(_first_names, "key bigint, around bigint, id bigint, place bigint")
+    return put.keep(some.where("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST).select("key", F.lit(True).alias("hot")), "frequent")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    spark = df.sparkSession
-    put = Scratch(spark, "suffix")
-    text = F.col(text_col).cast("string")
-    ids = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LATE)).alias("id"), F.pmod(F.xxhash64(text), F.lit(2**30)).cast("int").alias("t"), text.alias("text"))
+    put = Scratch(df.sparkSession, "suffix")
+    text, given = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    t = F.pmod(F.xxhash64(text), F.lit(_TEXTS)) + F.when(given.isNull(), _TEXTS).otherwise(0)
+    ids = df.select(F.coalesce(given, F.lit(2**63 - 1)).alias("id"), t.cast("int").alias("t"), text.alias("text"))
     named = ids.mapInArrow(_first_names, "key bigint, around bigint, id bigint, place bigint")
-    dealt = named.repartition(F.when(F.col("key") != 0, F.col("key")).otherwise(F.xxhash64("id", "place"))).sortWithinPartitions("key", "around", "id", "place")
-    marks = put.keep(dealt.mapInArrow(_second_names, dealt.schema).select("id", "place", "key"), "names")
-    put.settle()
-    t_of = F.shiftright("place", 33).cast("int").alias("t")
-    by_doc = marks.groupBy("id", t_of).agg(F.collect_list(F.struct("place", "key")).alias("marks"))
+    named = named.join(_frequent(put, ids), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by = F.when(F.col("key") == 0, F.xxhash64("id", "place")).when(F.col("hot"), F.xxhash64("key", "around")).otherwise(F.col("key"))
+    dealt = named.select("key", "around", "id", "place", "hot").repartition(by).sortWithinPartitions("key", "around", "id", "place")
+    marks = put.keep(dealt.mapInArrow(_second_names, "key bigint, around bigint, id bigint, place bigint").select("id", "place", "key"), "names")
+    # anchors with more than a block of texts: their windows are grouped one by one instead of sorted together
+    is_open = F.col("place").bitwiseAND(F.lit(3)) == OPEN
+    full = put.keep(marks.where(is_open).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (WINDOW + _SPAN) > BLOCK).select("key", F.lit(True).alias("full")), "full")
+    split = marks.join(full, "key", "left").withColumn("place", F.when(is_open & F.col("full"), F.col("place").bitwiseOR(F.lit(HOT))).otherwise(F.col("place")))
+    by_doc = split.groupBy("id", F.shiftright("place", 33).cast("int").alias("t")).agg(F.collect_list(F.struct("place", "key")).alias("marks"))
     docs = ids.join(by_doc, ["id", "t"], "left").select("id", "t", "text", "marks")
     parts = put.keep(docs.mapInArrow(_apply_names, "what string, id bigint, t int, key bigint, at int, first int, last int, text binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "parts")
-    put.settle()
     put.drop(marks)
     todo = parts.where("what = 'open'").select("key", "id", "t", "at", "first", "last", "text").distinct().repartition("key").sortWithinPartitions("key")
     runs = put.keep(todo.mapInArrow(_sort_open, "id bigint, t int, first int, last int"), "runs")
-    put.settle()
     every = runs.unionAll(parts.where("what = 'run'").select("id", "t", "first", "last"))
+    if not full.isEmpty():
+        windows = parts.where("what = 'hot'").select(F.col("text").alias("h"), F.struct("id", "t", "first").alias("w"))
+        again = windows.join(windows.groupBy("h").agg(F.min("w").alias("least")), "h").where("w > least")
+        every = every.unionAll(again.select("w.id", "w.t", "w.first", F.col("w.first").alias("last")))
     by_doc = every.groupBy("id", "t").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     rest = parts.where("what = 'doc'").select("id", "t", "text").join(by_doc, ["id", "t"], "left").select("id", "t", "text", "runs")
     rest = rest.mapInArrow(_finish_docs, "id bigint, t int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     out = parts.where("what = 'done'").select(rest.columns).unionAll(rest)
-    return out.select(F.when(F.col("id") != _LATE, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.when(F.col("t") < _TEXTS, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -279,7 +279,7 @@ def test_near_duplicates_empty(spark):
 
 def plain_repeats(texts):
     seen, out = {}, {}
-    for i, t in sorted({(i if i is not None else 10**9, t or "") for i, t in texts}):
+    for i, t in sorted({(i if i is not None else 10**20, t or "") for i, t in texts}):
         b = t.encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 99):
@@ -289,7 +289,7 @@ def plain_repeats(texts):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
-    return sorted(((i, *out[i if i is not None else 10**9]) for i, _ in texts), key=repr)
+    return sorted(((i, *out[i if i is not None else 10**20]) for i, _ in texts), key=repr)
 
 
 def suffix_texts():
@@ -297,7 +297,7 @@ def suffix_texts():
     base = "".join(r.choice("abcdefgh é") for _ in range(4000))
     return [
         (0, base), (1, base[:150] + "X" + base[150:400]), (2, "a" * 500), (3, None), (4, ""), (5, base[99:198]), (6, base[99:199]), (7, "a" * 99), (8, "a" * 100), (9, "ab" * 300),
-        (10, base[1000:1300] + base[1000:1300]), (11, base[0:120] + "zz" + base[3000:3250] + "é" * 60), (12, base), (0, base), (None, base[500:800]), *((100 + i, prose(r, 20) + base[2000:2130] + prose(r, 20)) for i in range(40)),
+        (10, base[1000:1300] + base[1000:1300]), (11, base[0:120] + "zz" + base[3000:3250] + "é" * 60), (12, base), (0, base), (None, base[500:800]), (2**63 - 1, base[600:900]), *((100 + i, prose(r, 20) + base[2000:2130] + prose(r, 20)) for i in range(40)),
     ]
 
 
@@ -307,15 +307,33 @@ def test_repeats(spark):
     assert got == plain_repeats(texts)
 
 
-def test_repeats_small_blocks(spark, monkeypatch):
-    """Texts in many chunks, blocks of few anchors, and anchors larger than a block."""
-    for name, value in (("CHUNK", 300), ("BLOCK", 900), ("DOCS", 5)):
+@pytest.mark.parametrize("share", [1, 1000])
+def test_repeats_small_blocks(spark, monkeypatch, share):
+    """Texts in many chunks, blocks of few anchors, anchors larger than a block, and all anchors taken as frequent."""
+    for name, value in (("CHUNK", 300), ("BLOCK", 900), ("DOCS", 5), ("HOT_SHARE", share), ("HOT_LEAST", 3)):
         monkeypatch.setattr(suffix, name, value)
     texts = suffix_texts()
     got = sorted((tuple(r) for r in suffix.remove_repeats(make(spark, texts)).collect()), key=repr)
     assert got == plain_repeats(texts)
 
 
+def test_names_in_batches():
+    """Names come out the same however the sorted rows are cut into batches."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    rows = sorted({(r.randrange(1, 9), r.randrange(4), r.randrange(50), r.randrange(50) << 2) for _ in range(120)} | {(20, 1, 1, 4), (21, 1, 1, 4), (22, 5, 1, 4), (22, 6, 1, 8)})
+    want = []
+    for key, around, i, place in rows:
+        arounds = [x for x in rows if x[0] == key]
+        kind = suffix.SEEN if (key, around, i, place) != min(x for x in arounds if x[1] == around) else suffix.OPEN if len({x[1] for x in arounds}) > 1 else 0
+        want += [(key, around, i, place | kind)] if kind else []
+    for size in (1, 2, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in rows[p : p + size]], pa.int64()) for k in range(4)), pa.array([False] * len(rows[p : p + size]))], names=["key", "around", "id", "place", "hot"]) for p in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in suffix._second_names(iter(batches)) for x in b.to_pylist()]
+        assert sorted(got) == want, size
+
+
 def test_suffix_ranks():
     r = np.random.default_rng(3)
     for n in (*range(1, 40), 500):
