@@ -10,29 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, linededup, neardup, packing, quality, tokens
-from sparkloom.llm.common import Scratch, row_key, table
+from sparkloom.llm.common import Scratch, release, row_key, table
 
 #: A model cannot be trained in SQL; the tests hold each stage against a plain version instead.
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are more likely than not of low quality or toxic."""
+    """Drops documents that are more likely than not of low quality or toxic.
+
+    Null texts are empty, null metadata a value of its own, rows without an id unlabelled; repeated rows share their fate.
+    Without labels of both kinds nothing goes. Any extra columns stay, whatever their names.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("p_good") >= quality.THRESHOLD).select(docs.columns)
+    rated = quality.score(docs, model, ("__good", "__text", "__page"))
+    return rated.where(F.col("__good") >= quality.THRESHOLD).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out of the texts; no document goes."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Takes boilerplate lines out of the texts; no document goes, one that holds nothing else is left empty.
+
+    n_chars, if there is such a column, follows the text where it changes. A null text stays null, a null source is a site;
+    repeated rows get equal texts. Any extra columns stay, whatever their names.
+    """
+    out = linededup.dedup_lines(docs, names=("__lines", "__removed"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id.
 
     Ids may be null (these come last) or repeated: a row is known by the hash of its id and text, and of rows equal in
-    both one stays, the first in the order of the other columns.
+    both one stays, the first in the order of the other columns. Null and wordless texts are no near-duplicates of
+    anything. Any extra columns stay, whatever their names. Rows are told apart by 64 bits of hash.
     """
     put = Scratch(spark, "near-stage")
     rows = docs.withColumn("__v", row_key("doc_id", "text")["a"])
@@ -50,16 +62,24 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
+    """Drops documents that hold a passage of a benchmark item.
+
+    Null and empty texts stay, as do all texts if the benchmark is empty; repeated rows share their fate. Any extra columns
+    stay, whatever their names.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assigns all of every document to batches."""
+    """Assigns all of every document to batches, in pieces cut by the prefix counts of its tokens.
+
+    A null or empty text is one piece of no tokens; null ids stay; repeated rows are packed separately. Only id and text are
+    used.
+    """
     import public_tokenizers
 
-    counted = tokens.measure_tokens(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return packing.pack(counted.select("doc_id", "n_tokens"))
+    counted = tokens.read_rows(tokens.prefix_rows(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")), packing.MAX_LEN)
+    return packing.pack(counted, pieces_col="pieces")
 
 
 STAGES = [
@@ -75,5 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = put.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = set(Scratch.live)
+        done, docs = docs, put.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # what the stage wrote on its way, and what it read, are needed no more
+        release(spark, [p for p in Scratch.live if p not in before and p != docs._scratch_path] + [p for p in before if p == getattr(done, "_scratch_path", None)])
     return docs

@@ -38,8 +38,8 @@ def boilerplate(put: Scratch, lines: DataFrame, min_sites: int = MIN_SITES) -> D
     return put.keep(sure.unionAll(exact), "boilerplate")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """df with the new text, and n_lines, n_removed (columns of these names are replaced)."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """df with the new text, and the numbers of its lines and of those removed (columns of these names are replaced)."""
     cols = df.columns
     docs = df.withColumn("__k", row_key(id_col, text_col))
     site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n"))
@@ -55,7 +55,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     change = F.col("__bad").isNotNull()
     text = F.when(change, F.array_join(F.filter("__all", lambda x: ~is_bad(x)), "\n")).otherwise(F.col(text_col))
     return out.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in cols if c not in ("n_lines", "n_removed")),
-        F.coalesce(F.size("__all"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(change, F.size("__gone")).otherwise(0).cast("long").alias("n_removed"),
+        *(text.alias(c) if c == text_col else F.col(c) for c in cols if c not in names),
+        F.coalesce(F.size("__all"), F.lit(0)).cast("long").alias(names[0]),
+        F.when(change, F.size("__gone")).otherwise(0).cast("long").alias(names[1]),
     )

@@ -1,32 +1,37 @@
 """Document quality by co-training of two views.
 
-One logistic classifier sees the words of a text, the other what is known of the page without reading it: source,
-language, length, layout and the mix of characters. In each round both label a pool of unlabelled documents and hand
-those they are most sure of to each other as (pseudo-)labelled rows. Labelled rows kept apart then calibrate both and
-weigh them into one probability that a document is fit for training, i.e. of good quality and not toxic.
-
-Training uses a sample of at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, chosen by a hash of the id;
-every document is scored, by its whole text.
-
-Nulls: a null text is empty; a null source or language is a value of its own; labels with a null are not used. Repeated
-rows give repeated results (a document with several labels is good if all say so); an empty table gives an empty one.
-Without labels of both kinds every document has probability 0.5 and is accepted.
+One logistic classifier sees the text: its words, how much they repeat, its mix of characters. The other sees
+what is known of the page without reading it: source, language and length as stored, and pairs of these. In each round both
+label all unlabelled documents, and of each class the MAX_GIVEN different texts that a view is most sure of are handed to the
+other as (pseudo-)labelled rows. Labelled rows kept apart then calibrate both and weigh them into one probability that a
+document is fit for training, i.e. of good quality and not toxic.
+
+Bounds. Training uses at most MAX_LABELLED labelled rows (first in the order of a hash of id and text) and MAX_GIVEN
+pseudo-labelled ones a class, view and round, chosen from all documents (ties in the order of the hash). Executors
+compute and count features; MOST_WORDS features a view and, of the training rows, the numbers of these reach the driver.
+Every document is scored, by its whole text.
+
+Nulls: a null text is empty; a null source, language or length is a value of its own; labels with a null are not used, a
+null id is unlabelled. Repeated rows give repeated results and teach once; a document with several labels is good if all say
+so. Ties between features go to the first in alphabetical order. An empty table gives an empty one. Without labels of both
+kinds every document has probability 0.5 and is accepted. Columns named as the results are replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL, ROUNDS, SURE, THRESHOLD = 5000, 2000, 3, 0.98, 0.5
+from .common import Scratch
+
+MAX_LABELLED, MAX_GIVEN, ROUNDS, SURE, THRESHOLD = 5000, 200, 2, 0.98, 0.5
 LEAST_DOCS, LEAST_Z, MOST_WORDS, STEM = 8, 5.0, 2000, 4
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _KINDS = np.zeros(256, np.int64)  # 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 other ASCII, 7 beyond
@@ -35,8 +40,13 @@ _KINDS[(_KINDS == 0) & (np.arange(256) < 128)] = 6
 _KINDS[128:] = 7
 
 
-def words(text: str) -> set[str]:
-    """The lower-cased words and runs of punctuation, the beginnings of words, and in steps how much they repeat."""
+def _step(x: float) -> int:
+    return int(np.ceil(np.log2(1e-3 + x) * 2))
+
+
+def text_features(text: str) -> set[str]:
+    """The lower-cased words and runs of punctuation, the beginnings of words, and in steps how much they repeat and the
+    mix of characters."""
     t = _TOKEN.findall(text.lower())
     out = set(t)
     kinds = len(out)
@@ -44,19 +54,17 @@ def words(text: str) -> set[str]:
     if len(t) >= 12:
         again = sum(map(operator.eq, t, islice(t, 1, None))) / len(t)
         out |= {f" again={int(np.log2(1e-2 + again))}", f" distinct={int(8 * kinds / len(t))}"}
-    return out
-
-
-def page_features(text: str, source: str | None, lang: str | None) -> list[str]:
-    """Names of what holds for the page: its source, language and, in steps, its size and mix of characters."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     n = np.bincount(_KINDS[b], minlength=8)
     size = max(1, len(b))
-    parts = max(1, int(n[4] + n[5]) + 1)
-    step = lambda x: int(np.ceil(np.log2(1e-3 + x) * 2))
-    out = [f"source={source}", f"lang={lang}", f"size={int(np.log2(size))}", f"lines={int(np.log2(n[5] + 1))}"]
-    out += [f"{name}={step(n[k] / size)}" for name, k in (("upper", 2), ("digit", 3), ("other", 6), ("beyond", 7))]
-    return [*out, f"word={step(size / parts)}", f"perline={step(size / (n[5] + 1) / 100)}"]
+    out.update(f" {name}={_step(n[k] / size)}" for name, k in (("upper", 2), ("digit", 3), ("other", 6), ("beyond", 7)))
+    return out | {f" word={_step(size / (n[4] + n[5] + 1))}", f" line={_step(size / (n[5] + 1) / 100)}"}
+
+
+def page_features(source: str | None, lang: str | None, n_chars: int | None) -> set[str]:
+    """Names of what is known of the page, and of pairs of it."""
+    one = [f"source={source}", f"lang={lang}", f"size={n_chars if n_chars is None else int(np.log2(max(0, n_chars) + 1))}"]
+    return {*one, f"{one[0]} {one[1]}", f"{one[0]} {one[2]}", f"{one[1]} {one[2]}"}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 0.05) -> np.ndarray:
@@ -75,55 +83,28 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 0.05) -> np.nd
     return b
 
 
-class Sample:
-    """Documents as arrays of feature numbers, so that thousands of them take little memory."""
+@dataclass
+class View:
+    """vocab: features that speak clearly against a document; the last weight is the constant."""
 
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.docs: list[np.ndarray] = []
+    vocab: dict[str, int] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
-    def add(self, features: set[str]) -> None:
-        self.docs.append(np.array([self.number.setdefault(f, len(self.number)) for f in features], np.int32))
+    def numbers(self, features: set[str]) -> list[int]:
+        return sorted(self.vocab[f] for f in self.vocab.keys() & features)
 
-    def counts(self, rows: np.ndarray) -> np.ndarray:
-        some = [self.docs[i] for i in rows]
-        return np.bincount(np.concatenate(some), minlength=len(self.number)) if some else np.zeros(len(self.number), np.int64)
+    def logit(self, features: set[str]) -> float:
+        return float(self.weights[-1] + sum(self.weights[self.vocab[f]] for f in self.vocab.keys() & features))
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights[:-1] + self.weights[-1]
 
-@dataclass
-class View:
-    vocab: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
-    def learn(self, sample: Sample, rows: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        """Keeps the features that speak clearly against a document, then fits their weights.
-
-        What merely is common in good documents is left out: a short text lacks it through no fault of its own.
-        """
-        n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-        a, b = sample.counts(rows[y == 1]), sample.counts(rows[y == 0])
-        p = (a + b) / (n1 + n0)
-        z = np.where(a + b >= LEAST_DOCS, (b / n0 - a / n1) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / n1 + 1 / n0))), 0)
-        names = list(sample.number)
-        best = sorted(np.flatnonzero(z >= LEAST_Z).tolist(), key=lambda f: (-z[f], names[f]))[:MOST_WORDS]
-        self.vocab = {names[f]: k for k, f in enumerate(best)}
-        self.weights = _fit(self.matrix(sample, rows), y, w)
-
-    def matrix(self, sample: Sample, rows: np.ndarray) -> np.ndarray:
-        column = np.full(len(sample.number), -1, np.int32)
-        for f, k in self.vocab.items():
-            column[sample.number[f]] = k
-        x = np.zeros((len(rows), len(self.vocab)), np.float32)
-        for i, r in enumerate(rows):
-            k = column[sample.docs[r]]
-            x[i, k[k >= 0]] = 1
-        return x
-
-    def logits(self, sample: Sample, rows: np.ndarray) -> np.ndarray:
-        return self.matrix(sample, rows) @ self.weights[:-1] + self.weights[-1]
-
-    def logit(self, d: set[str]) -> float:
-        return float(self.weights[-1] + sum(self.weights[self.vocab[f]] for f in self.vocab.keys() & d))
+def matrix(rows: list[list[int]], width: int) -> np.ndarray:
+    x = np.zeros((len(rows), width), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    return x
 
 
 def _p(z: np.ndarray) -> np.ndarray:
@@ -137,76 +118,142 @@ class CoTrained:
     scale: np.ndarray  # calibration: (a, b) of the text view, then of the page view
     join: np.ndarray  # weights of both calibrated views, and the constant
 
-    def score(self, text: str, source: str | None, lang: str | None) -> tuple[float, float, float]:
+    def score(self, text: str, source: str | None, lang: str | None, n_chars: int | None) -> tuple[float, float, float]:
         """Probability by both, by the text alone, by the page alone."""
-        a = self.scale[0] * self.text.logit(words(text)) + self.scale[1]
-        b = self.scale[2] * self.page.logit(set(page_features(text, source, lang))) + self.scale[3]
+        a = self.scale[0] * self.text.logit(text_features(text)) + self.scale[1]
+        b = self.scale[2] * self.page.logit(page_features(source, lang, n_chars)) + self.scale[3]
         return tuple(float(_p(np.array(z))) for z in (self.join[0] * a + self.join[1] * b + self.join[2], a, b))
 
 
-def co_train(labelled: Iterable[tuple[str, str | None, str | None]], y: np.ndarray, pool: Iterable[tuple[str, str | None, str | None]], rounds: int = ROUNDS) -> CoTrained | None:
-    """labelled and pool: text, source and language of documents; y: 1 for good ones."""
-    if len(set(y.tolist())) < 2:
+_META = ("source", "lang", "n_chars")
+_VIEWS = ("t", "p")
+
+
+def _inputs(docs: DataFrame, id_col: str) -> DataFrame:
+    """id, x (hash of the text), h (hash of id and text), text, source, lang, n_chars; a missing column counts as null."""
+    have = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(
+        F.col(id_col).cast("string").alias("id"), F.xxhash64(F.lit(3), text).alias("x"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), text.alias("text"),
+        have("source", "string").alias("source"), have("lang", "string").alias("lang"), have("n_chars", "bigint").alias("n_chars"),
+    )
+
+
+def _with_features(rows: DataFrame, *names: str) -> DataFrame:
+    """Columns of these names, and the features of both views, t and p."""
+
+    @F.arrow_udf("struct<t:array<string>,p:array<string>>")
+    def features(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        t = pa.array([sorted(text_features(x)) for x in texts.to_pylist()], kind)
+        return pa.StructArray.from_arrays([t, pa.array([sorted(page_features(*x)) for x in zip(sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)], kind)], list(_VIEWS))
+
+    return rows.select(*names, features("text", *_META).alias("__f")).select(*names, "__f.*")
+
+
+def _learn(rows: DataFrame, v: str) -> View:
+    """rows: features t and p, y (1: good), w, and h to order by.
+
+    What merely is common in good documents is left out: a short text lacks it through no fault of its own.
+    """
+    sums = rows.agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).first()
+    n1, n0 = max(1, int(sums.n1 or 0)), max(1, int(sums.n0 or 0))
+    counts = rows.select("y", F.explode(v).alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
+    p = (F.col("a") + F.col("b")) / (n1 + n0)
+    z = (F.col("b") / n0 - F.col("a") / n1) / F.sqrt(F.greatest(F.lit(1e-12), p * (1 - p) * (1 / n1 + 1 / n0)))
+    best = counts.select("f", F.round(z, 9).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MOST_WORDS).collect()
+    view = View({r.f: k for k, r in enumerate(best)})
+    got = _numbers(rows, v, view)
+    view.weights = _fit(matrix([r.k for r in got], len(best)), np.array([r.y for r in got], float), np.array([r.w for r in got], float))
+    return view
+
+
+def _numbers(rows: DataFrame, v: str, view: View) -> list:
+    """Rows (h, y, w, k: the numbers of the features) in the order of h."""
+    shared = rows.sparkSession.sparkContext.broadcast(view)
+
+    @F.arrow_udf("array<int>")
+    def numbers(features: pa.Array) -> pa.Array:
+        return pa.array([shared.value.numbers(set(f)) for f in features.to_pylist()], pa.list_(pa.int32()))
+
+    return sorted(rows.select("h", "y", "w", numbers(v).alias("k")).collect(), key=lambda r: (r.h, r.w))
+
+
+def _logits(inputs: DataFrame, views: list[View]) -> DataFrame:
+    """id, x, h and the logits z_t and z_p of all rows."""
+    shared = inputs.sparkSession.sparkContext.broadcast(views)
+
+    @F.arrow_udf("struct<z_t:double,z_p:double>")
+    def rate(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
+        t, p = shared.value
+        z_t = pa.array([t.logit(text_features(x)) for x in texts.to_pylist()], pa.float64())
+        z_p = pa.array([p.logit(page_features(*x)) for x in zip(sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)], pa.float64())
+        return pa.StructArray.from_arrays([z_t, z_p], ["z_t", "z_p"])
+
+    return inputs.select("id", "x", "h", rate("text", *_META).alias("z")).select("id", "x", "h", "z.*")
+
+
+def _surest(rated: DataFrame, z: Column, told: DataFrame | None, most: int) -> DataFrame:
+    """h of the rows with the largest z, at least that of SURE; one of each text, and none that was told before."""
+    fresh = rated.where(z >= float(np.log(SURE / (1 - SURE)))).groupBy("x").agg(F.max(F.round(z, 9)).alias("z"), F.min("h").alias("h"))
+    if told is not None:
+        fresh = fresh.join(told.select("x").distinct(), "x", "left_anti")
+    return fresh.orderBy(F.desc("z"), "h").limit(most).select("h", "x")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, max_given: int = MAX_GIVEN, rounds: int = ROUNDS) -> CoTrained | None:
+    """docs: id, text, source, lang, n_chars. labels: id, quality, toxic."""
+    put = Scratch(docs.sparkSession, "quality")
+    inputs = _inputs(docs, id_col)
+    known = labels.where("quality is not null and toxic is not null").where(F.col(id_col).isNotNull())
+    known = known.groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("y"))
+    chosen = inputs.select("id", "h").join(known, "id").dropDuplicates(["h"]).orderBy("h", "id").limit(max_labelled)
+    rows = inputs.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["h"])  # no more rows are broadcast than the bound says
+    own = put.keep(_with_features(rows.withColumn("w", F.lit(1.0)), "h", "x", "y", "w"), "labelled")
+    apart = F.pmod("h", F.lit(4)) == 3
+    kinds = {(r.apart, r.y) for r in own.select(apart.alias("apart"), "y").distinct().collect()}
+    if len({y for _, y in kinds}) < 2:
+        put.drop(own)
         return None
-    apart = np.arange(len(y)) % 4 == 3
-    if len(set(y[~apart].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
-        apart = np.zeros(len(y), bool)
-    samples = [Sample(), Sample()]
-    for text, source, lang in chain(labelled, pool):
-        samples[0].add(words(text))
-        samples[1].add(set(page_features(text, source, lang)))
-    own, spare = np.flatnonzero(~apart), np.arange(len(y), len(samples[0].docs))
-    views = [View(), View()]
-    given: list[dict[int, int]] = [{}, {}]  # what each view has been told about the pool
-    ratio = max(1, round((1 - y.mean()) / max(1e-6, y.mean()))), max(1, round(y.mean() / max(1e-6, 1 - y.mean())))
+    mine, held = (own.where(~apart), own.where(apart)) if len(kinds) == 4 else (own, own)
+    told: list[DataFrame | None] = [None, None]
     for r in range(rounds + 1):
-        for v, view in enumerate(views):
-            told = np.array(list(given[v]), int)
-            view.learn(samples[v], np.concatenate([own, told]), np.concatenate([y[own], np.array(list(given[v].values()), float)]), np.concatenate([np.ones(len(own)), np.full(len(told), 0.5)]))
-        if r == rounds or not len(spare):
+        taught = [mine if t is None else mine.unionByName(t) for t in told]
+        views = [_learn(rows, v) for rows, v in zip(taught, _VIEWS, strict=True)]
+        if r == rounds:
             break
-        for v, view in enumerate(views):
-            p = _p(view.logits(samples[v], spare))
-            for kind, sure, n in ((0, 1 - p, 40 * ratio[0]), (1, p, 40 * ratio[1])):
-                fresh = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and int(spare[i]) not in given[1 - v]]
-                given[1 - v].update((int(spare[i]), kind) for i in fresh[:n])
-    held = np.flatnonzero(apart) if apart.any() else own
-    z = [view.logits(samples[v], held) for v, view in enumerate(views)]
-    one = np.ones(len(held))
-    scale = np.concatenate([_fit(x[:, None], y[held], one, 1e-2) for x in z])
-    join = _fit(np.stack([scale[0] * z[0] + scale[1], scale[2] * z[1] + scale[3]], 1), y[held], one, 1e-2)
+        rated = put.keep(_logits(inputs, views).join(known.select("id"), "id", "left_anti"), "rated")
+        for v in range(2):
+            mark = F.col(f"z_{_VIEWS[v]}")
+            parts = [_surest(rated, z, told[1 - v], max_given).withColumn("y", F.lit(y)) for z, y in ((-mark, 0), (mark, 1))]
+            new = put.keep(parts[0].unionAll(parts[1]), "given")  # at most 2 * max_given rows
+            found = inputs.drop("x").join(F.broadcast(new), "h").dropDuplicates(["h"])
+            more = _with_features(found.withColumn("w", F.lit(0.5)), "h", "x", "y", "w")
+            told[1 - v] = put.keep(more if told[1 - v] is None else told[1 - v].unionByName(more), "told")
+        put.drop(rated)
+    got = [_numbers(held, v, view) for v, view in zip(_VIEWS, views, strict=True)]
+    y = np.array([r.y for r in got[0]], float)
+    z = [view.logits(matrix([r.k for r in g], len(view.vocab))) for g, view in zip(got, views, strict=True)]
+    one = np.ones(len(y))
+    scale = np.concatenate([_fit(x[:, None], y, one, 1e-2) for x in z])
+    join = _fit(np.stack([scale[0] * z[0] + scale[1], scale[2] * z[1] + scale[3]], 1), y, one, 1e-2)
+    put.drop(own, *told)
     return CoTrained(views[0], views[1], scale, join)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """docs: id, text, source, lang. labels: id, quality, toxic."""
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
-    known = labels.where("quality is not null and toxic is not null").where(F.col(id_col).isNotNull())
-    known = known.groupBy(id_col).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("__y"))
-    n = max(1, known.count())
-    chosen = known.where(h < int(1_000_000 * min(1, max_labelled / n))).limit(max_labelled)
-    cols = [F.col(id_col), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string")]
-    # at most max_labelled rows of two numbers are broadcast
-    got = docs.select(*cols).join(F.broadcast(chosen), id_col).select(id_col, "text", "source", "lang", "__y").limit(2 * max_labelled).collect()
-    got.sort(key=lambda r: (str(r[0]), r.text))
-    total = max(1, docs.count())
-    near = h < int(1_000_000 * min(1, max_pool / total))
-    pool = docs.select(*cols).where(near).join(known.where(near).select(id_col), id_col, "left_anti").select(id_col, "text", "source", "lang").limit(2 * max_pool).collect()
-    pool.sort(key=lambda r: (str(r[0]), r.text))
-    return co_train(((r.text, r.source, r.lang) for r in got), np.array([r["__y"] for r in got], float), ((r.text, r.source, r.lang) for r in pool))
-
-
-def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """docs with p_good, p_text, p_page."""
-    names = [c for c in docs.columns if c not in ("p_good", "p_text", "p_page")]
+def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str] = ("p_good", "p_text", "p_page")) -> DataFrame:
+    """docs with the probabilities by both views, by the text, by the page."""
+    kept = [c for c in docs.columns if c not in names]
     if model is None:
-        return docs.select(*names, *(F.lit(0.5).alias(c) for c in ("p_good", "p_text", "p_page")))
+        return docs.select(*kept, *(F.lit(0.5).alias(c) for c in names))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<p_good:double,p_text:double,p_page:double>")
-    def rate(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<a:double,b:double,c:double>")
+    def rate(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         m = shared.value
-        got = np.array([m.score(t or "", s, x) for t, s, x in zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), strict=True)]).reshape(-1, 3)
-        return pa.StructArray.from_arrays([pa.array(got[:, k].copy()) for k in range(3)], ["p_good", "p_text", "p_page"])
+        got = np.array([m.score(t or "", *x) for t, *x in zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)]).reshape(-1, 3)
+        return pa.StructArray.from_arrays([pa.array(got[:, k].copy()) for k in range(3)], ["a", "b", "c"])
 
-    return docs.select(*names, rate(*(F.col(c).cast("string") for c in ("text", "source", "lang"))).alias("__p")).select(*names, "__p.*")
+    meta = [(F.col(c) if c in docs.columns else F.lit(None)).cast("bigint" if c == "n_chars" else "string") for c in _META]
+    rated = docs.withColumn("__p", rate(F.col("text").cast("string"), *meta))
+    return rated.select(*kept, *(F.col(f"__p.{c}").alias(n) for c, n in zip("abc", names, strict=True)))

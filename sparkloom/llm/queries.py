@@ -39,17 +39,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", "p_good", "p_text", "p_page", (F.col("p_good") >= quality.THRESHOLD).alias("accepted"))
 
 
+LIMIT = 4096
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the prefix row of each text, and how many of its characters stay within the limit."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+    rows = tokens.read_rows(tokens.prefix_rows(docs, public_tokenizers.path("piece_bpe_32k.model")), LIMIT)
+    return rows.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.size("pieces") > 1).alias("over_limit"),
+        F.col("pieces")[0]["chars"].alias("chars_within"), "prefix_row",
+    )
 
 
 def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +121,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokens.measure_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return packing.pack(counted.select("doc_id", "n_tokens"))
+    counted = tokens.read_rows(tokens.prefix_rows(docs, public_tokenizers.path("piece_bpe_32k.model")), packing.MAX_LEN)
+    return packing.pack(counted, pieces_col="pieces")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,31 +4,38 @@ For a BPE vocabulary the last token of a prefix decides the rest: if t is the la
 the encoding of text[:i - len(t)] is what stands before it. So count[i] = count[i - len(t)] + 1, where t is the only
 suffix of text[:i] that may follow the last token of text[:i - len(t)]; whether two tokens may stand side by side is
 read off their merge histories. No piece of the vocabulary holds a word start (U+2581) behind another character or a
-newline among others, so words are counted apart from each other (this is verified when the model is loaded) and
-the rows of the frequent words are kept.
+newline among others, so words are counted apart from each other (this is verified when the model is loaded).
 
-Questions about truncation or budgets are answered from the stored counts, without encoding again.
+What is stored of a text is its prefix row: a byte for each character, the (signed) change of the count; its
+sum up to a character is the count of that prefix. The row of a text is that of its words one after the other, and the
+rows of words are kept by each worker. New words are taken in alphabetical order, so that the work on a common beginning is
+done once. Total counts, truncation to a budget and the cuts between pieces of bounded length are read from the rows,
+without encoding again.
 
 Nulls: a null text counts as empty, 0 tokens; a null id is kept. Repeated rows give repeated results, an empty table an
-empty one. Memory is bounded: at most CACHE words of CACHE_CHARS characters are kept per worker.
+empty one. Memory is bounded: at most CACHE words of CACHE_CHARS characters are kept per worker, TOGETHER characters of
+texts are counted at once. A column with the name of a result is replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHE_CHARS = 1_000_000, 40
+CACHE, CACHE_CHARS, TOGETHER = 600_000, 40, 4_000_000
 START = "▁"
 _SEGMENT = re.compile(f"{START}*[^{START}\n]+|{START}+|\n")
 
 
 class PrefixCounter(dict):
-    """Maps a word (with its word starts) to its token count; prefixes() has the count of every prefix."""
+    """Maps words (with their word starts) to their prefix rows."""
 
     def __init__(self, model_file: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -99,92 +106,97 @@ class PrefixCounter(dict):
                     return self._encode(x + y) == [x, y]
                 y = s[0]
 
-    def word(self, w: str) -> list[int]:
-        """Token counts of w[:0], w[:1], ..., w."""
+    def learn(self, words: list[str]) -> None:
+        """Adds the rows of words; those of a common beginning are the same."""
         rank, pairs, endings = self.rank, self.pairs, self.endings
-        count, last = [0], [""]
-        for i in range(1, len(w) + 1):
-            t, j, k = w[i - 1], i - 1, i - 2
-            pieces = []
-            while k >= 0 and (c := w[k:i]) in endings:
-                if c in rank:
-                    pieces.append((k, c))
-                k -= 1
-            for k, c in reversed(pieces):
-                if k:
-                    pair = (last[k], c)
-                    ok = pairs.get(pair)
-                    if ok is None:
-                        if len(pairs) > CACHE // 2:
-                            pairs.clear()
-                        ok = pairs[pair] = self._may_follow(*pair)
-                    if not ok:
-                        continue
-                t, j = c, k
-                break
-            count.append(count[j] + (1 if t in rank else len(t.encode("utf-8", "surrogatepass"))))
-            last.append(t)
-        return count
-
-    def __missing__(self, w: str) -> int:
-        n = self.word(w)[-1]
-        if len(w) <= CACHE_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[w] = n
-        return n
+        count, last, before = [0], [""], ""
+        for w in sorted(words):
+            i = 0
+            for x, y in zip(before, w):  # noqa: B905
+                if x != y:
+                    break
+                i += 1
+            del count[i + 1 :], last[i + 1 :]
+            before = w
+            for i in range(i + 1, len(w) + 1):
+                t, j, k = w[i - 1], i - 1, i - 2
+                pieces = []
+                while k >= 0 and (c := w[k:i]) in endings:
+                    if c in rank:
+                        pieces.append((k, c))
+                    k -= 1
+                for k, c in reversed(pieces):
+                    if k:
+                        pair = (last[k], c)
+                        ok = pairs.get(pair)
+                        if ok is None:
+                            if len(pairs) > CACHE // 2:
+                                pairs.clear()
+                            ok = pairs[pair] = self._may_follow(*pair)
+                        if not ok:
+                            continue
+                    t, j = c, k
+                    break
+                count.append(count[j] + (1 if t in rank else len(t.encode("utf-8", "surrogatepass"))))
+                last.append(t)
+            self[w] = array("b", [n - m for m, n in zip(count, count[1:])]).tobytes()  # noqa: B905
 
     def _segments(self, text: str) -> list[str]:
         return _SEGMENT.findall((START if self.dummy else "") + text.replace(" ", START))
 
-    def count(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, self._segments(text))) if text else 0
+    def rows(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The prefix row of each text."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size < TOGETHER):
+                size += len(texts[end] or "")
+                end += 1
+            words = [self._segments(t) if t else () for t in texts[at:end]]
+            fresh = set(filterfalse(self.__contains__, chain.from_iterable(words)))
+            if len(self) + len(fresh) > CACHE:
+                self.clear()
+                fresh = set(chain.from_iterable(words))
+            self.learn(list(fresh))
+            for ws in words:
+                row = b"".join(map(self.__getitem__, ws))
+                yield array("b", [sum(memoryview(row).cast("b")[:2])]).tobytes() + row[2:] if self.dummy and row else row  # the first word start is no character
+            for w in fresh:
+                if len(w) > CACHE_CHARS:
+                    del self[w]
+            at = end
 
     def prefixes(self, text: str | None) -> list[int]:
         """Token counts of text[:0], text[:1], ..., text."""
-        if not text:
-            return [0]
-        out, base = [0], 0
-        for s in self._segments(text):
-            row = self.word(s)
-            out += [base + c for c in row[1:]]
-            base += row[-1]
-        return [0, *out[2:]] if self.dummy else out
-
-    def truncate(self, text: str | None, budget: int) -> str | None:
-        """The longest prefix of at most `budget` tokens."""
-        if text is None:
-            return None
-        counts = self.prefixes(text)
-        return text[: max(i for i, c in enumerate(counts) if c <= budget)]
-
-
-class LibraryCounter(PrefixCounter):
-    """Counts whole words with the library: for lengths alone, without the rows of the prefixes."""
+        return [0, *counts(next(self.rows([text]))).tolist()]
 
-    def __init__(self, model_file: str):
-        import sentencepiece
-
-        super().__init__(model_file)
-        self.model.normalizer_spec.add_dummy_prefix = False
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model.SerializeToString())
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        words = [self._segments(t) if t else () for t in texts]
-        fresh = list({w for ws in words for w in ws} - self.keys())
-        if len(self) + len(fresh) > CACHE:
-            self.clear()
-            fresh = list({w for ws in words for w in ws})
-        self.update(zip(fresh, map(len, self.library.encode(fresh, num_threads=1)), strict=True))
-        out = [sum(map(self.__getitem__, ws)) for ws in words]
-        for w in fresh:
-            if len(w) > CACHE_CHARS:
-                del self[w]
-        return out
+
+def counts(row: bytes) -> np.ndarray:
+    """Token counts of the prefixes of 1, 2, ... characters."""
+    return np.cumsum(np.frombuffer(row, np.int8), dtype=np.int64)
+
+
+def total(row: bytes) -> int:
+    return int(np.frombuffer(row, np.int8).sum(dtype=np.int64))
+
+
+def cuts(row: bytes, budget: int) -> list[tuple[int, int]]:
+    """(characters, tokens) of the pieces of a text: each is the longest that adds no more than the budget to the count.
+
+    A text of no characters is one piece. A budget must be as large as a character's tokens.
+    """
+    c = counts(row)
+    least = np.minimum.accumulate(c[::-1])[::-1]  # the smallest count from here on, as counts may step back
+    out, at, done = [], 0, 0
+    while at < len(c) or not out:
+        end = max(int(np.searchsorted(least, done + budget, "right")), min(at + 1, len(c)))
+        now = int(c[end - 1]) if end else 0
+        out.append((end - at, now - done))
+        at, done = end, now
+    return out
 
 
 _loaded: dict[str, PrefixCounter] = {}
-_libraries: dict[str, LibraryCounter] = {}
 
 
 def counter(model_file: str) -> PrefixCounter:
@@ -194,46 +206,42 @@ def counter(model_file: str) -> PrefixCounter:
     return _loaded[model_file]
 
 
-def count_tokens(df: DataFrame, model_file: str, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
-    """df with the token count of the whole text."""
+def prefix_rows(df: DataFrame, model_file: str, text_col: str = "text", name: str = "prefix_row") -> DataFrame:
+    """df with the prefix row of the whole text."""
 
-    @F.arrow_udf("long")
-    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("binary")
+    def rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(model_file)
         for batch in texts:
-            yield pa.array((c.count(t) for t in batch.to_pylist()), pa.int64())
-
-    return df.withColumn(name, count(F.col(text_col).cast("string")))
+            yield pa.array(c.rows(batch.to_pylist()), pa.binary())
 
+    return df.withColumn(name, rows(F.col(text_col).cast("string")))
 
-def measure_tokens(df: DataFrame, model_file: str, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
-    """As count_tokens, by the library: for callers that need no prefixes."""
-
-    @F.arrow_udf("long")
-    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if model_file not in _libraries:
-            _libraries[model_file] = LibraryCounter(model_file)
-        c = _libraries[model_file]
-        for batch in texts:
-            values = batch.to_pylist()
-            yield pa.array((n for k in range(0, len(values), 500) for n in c.counts(values[k : k + 500])), pa.int64())
 
-    return df.withColumn(name, count(F.col(text_col).cast("string")))
+def read_rows(df: DataFrame, budget: int, row_col: str = "prefix_row") -> DataFrame:
+    """df with n_tokens and pieces (begin, chars, tokens), from the prefix rows alone."""
 
+    @F.arrow_udf("struct<n_tokens:bigint,pieces:array<struct<begin:bigint,chars:bigint,tokens:bigint>>>")
+    def read(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("begin", "chars", "tokens")]))
+        for batch in rows:
+            n, found = [], []
+            for x in batch.to_pylist():
+                n.append(total(x))
+                some = [(len(x), n[-1])] if n[-1] <= budget else cuts(x, budget)
+                begins = accumulate((a for a, _ in some), initial=0)
+                found.append([{"begin": k, "chars": a, "tokens": b} for k, (a, b) in zip(begins, some)])  # noqa: B905
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, kind)], ["n_tokens", "pieces"])
 
-def prefix_counts(df: DataFrame, model_file: str, text_col: str = "text", name: str = "prefix_tokens") -> DataFrame:
-    """df with the counts of all prefixes, entry i for the first i characters."""
+    names = [c for c in df.columns if c not in ("n_tokens", "pieces")]
+    return df.select(*names, read(row_col).alias("__t")).select(*names, "__t.n_tokens", "__t.pieces")
 
-    @F.arrow_udf("array<int>")
-    def rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = counter(model_file)
-        for batch in texts:
-            yield pa.array((c.prefixes(t) for t in batch.to_pylist()), pa.list_(pa.int32()))
 
-    return df.withColumn(name, rows(F.col(text_col).cast("string")))
+def count_tokens(df: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
+    """df with prefix_row and n_tokens of the whole text."""
+    return read_rows(prefix_rows(df, model_file, text_col), 2**62).drop("pieces")
 
 
-def fit_budget(df: DataFrame, budget: int, text_col: str = "text", prefix_col: str = "prefix_tokens", name: str = "truncated") -> DataFrame:
-    """df with the longest prefix within the budget, from stored counts alone."""
-    fits = F.array_max(F.filter(F.sequence(F.lit(0), F.size(prefix_col) - 1), lambda i: F.get(prefix_col, i) <= budget))
-    return df.withColumn(name, F.substr(F.col(text_col), F.lit(1), fits))
+def truncate(df: DataFrame, text_col: str = "text", name: str = "truncated") -> DataFrame:
+    """df (with pieces) with the first piece of the text: the longest prefix within the budget of read_rows."""
+    return df.withColumn(name, F.substr(F.col(text_col), F.lit(1), F.col("pieces")[0]["chars"].cast("int")))

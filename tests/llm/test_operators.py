@@ -389,30 +389,72 @@ TRICKY = [
 ]
 
 
-def test_prefix_counts(model):
+def test_prefix_counts(model, monkeypatch):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     c = tokens.PrefixCounter(model)
     r = random.Random(3)
-    for t in TRICKY + ["".join(r.choice("abcdefghi ▁ 01.,\n\téü") for _ in range(60)) for _ in range(60)] + ["".join(r.choice("aab ") for _ in range(50)) for _ in range(40)]:
+    texts = TRICKY + ["".join(r.choice("abcdefghi ▁ 01.,\n\téü") for _ in range(60)) for _ in range(60)] + ["".join(r.choice("aab ") for _ in range(50)) for _ in range(40)]
+    for t in texts:
         assert c.prefixes(t) == [len(sp.encode(t[:i])) for i in range(len(t) + 1)], t
-        assert c.count(t) == len(sp.encode(t))
-    assert c.truncate("the cat sat", 2) == max(("the cat sat"[:i] for i in range(12) if len(sp.encode("the cat sat"[:i])) <= 2), key=len)
-    assert tokens.LibraryCounter(model).counts([*TRICKY, None]) == [len(sp.encode(t)) for t in [*TRICKY, ""]]
+    want = [len(sp.encode(t)) for t in texts] + [0]
+    assert [tokens.total(x) for x in c.rows([*texts, None])] == want == [tokens.total(x) for x in tokens.PrefixCounter(model).rows([*texts, None])]
+    for name, value in (("CACHE", 5), ("CACHE_CHARS", 3), ("TOGETHER", 50)):
+        monkeypatch.setattr(tokens, name, value)
+    small = tokens.PrefixCounter(model)
+    assert [tokens.total(x) for x in small.rows([*texts, None])] == want and len(small) <= 60
+
+
+def plain_cuts(counts, budget):
+    out, at = [], 0
+    while at < len(counts) - 1 or not out:
+        end = max((i for i in range(at + 1, len(counts)) if counts[i] - counts[at] <= budget), default=min(at + 1, len(counts) - 1))
+        out.append((end - at, counts[end] - counts[at]))
+        at = end
+    return out
+
+
+def test_cuts(model):
+    c = tokens.PrefixCounter(model)
+    r = random.Random(5)
+    for t in TRICKY + ["".join(r.choice("abcdefghi  .,\néü日") for _ in range(80)) for _ in range(60)]:
+        row = next(c.rows([t]))
+        for budget in (6, 7, 10, 30):
+            got = tokens.cuts(row, budget)
+            assert got == plain_cuts(c.prefixes(t), budget), (t, budget)
+            assert sum(n for n, _ in got) == len(t) and sum(n for _, n in got) == tokens.total(row) and max(n for _, n in got) <= budget
 
 
 def test_token_frames(spark, model):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    df = make(spark, [*enumerate(TRICKY), (99, None), (98, "word " * 30_000)])
-    for f in (tokens.count_tokens, tokens.measure_tokens):
-        assert all(r.n_tokens == len(sp.encode(r.text or "")) for r in f(df, model).collect())
-    kept = tokens.fit_budget(tokens.prefix_counts(df.where("doc_id < 90"), model), 4).collect()
-    for r in kept:
-        assert r.prefix_tokens[-1] == len(sp.encode(r.text))
-        assert r.truncated == max((r.text[:i] for i in range(len(r.text) + 1) if r.prefix_tokens[i] <= 4), key=len)
+    df = make(spark, [*enumerate(TRICKY), (99, None), (98, "word " * 30_000), (98, "word " * 30_000), (None, "a b")]).withColumn("n_tokens", F.lit("clash"))
+    rows = tokens.count_tokens(df, model).collect()
+    assert len(rows) == len(TRICKY) + 4
+    assert all(r.n_tokens == len(sp.encode(r.text or "")) and len(r.prefix_row) == len(r.text or "") for r in rows)
+    for r in tokens.truncate(tokens.read_rows(tokens.prefix_rows(df.where("doc_id < 90"), model), 4)).collect():
+        n = [len(sp.encode(r.text[:i])) for i in range(len(r.text) + 1)]
+        assert r.truncated == max((r.text[:i] for i in range(len(r.text) + 1) if n[i] <= 4), key=len)
+    assert tokens.count_tokens(df.limit(0), model).count() == 0
+
+
+def test_token_query(spark, sf, model):
+    """Every document's count against the library."""
+    import sentencepiece
+
+    from sparkloom.llm import queries
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    larger = sf.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op7_token_counts(spark, larger).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), len(sp.encode(t)), len(sp.encode(t)) > 4096)
+        assert r.chars_within == len(t) if not r.over_limit else len(sp.encode(t[: r.chars_within])) <= 4096 < len(sp.encode(t[: r.chars_within + 40]))
 
 
 # 9
@@ -436,22 +478,57 @@ def test_best_lengths():
             assert len(got) <= k and got[-1] == x[-1] and plain_padding(lengths, got) == best
 
 
+def plain_pack(rows, max_len, buckets, budget):
+    """(bucket_len, sequences), and sequences by bucket, of (id, n) rows."""
+    import itertools
+
+    seqs = [(i, k, min(max_len, n - k * max_len)) for i, n in rows for k in range(max(1, -(-n // max_len)))]
+    x = sorted({n for _, _, n in seqs})
+    lengths = [n for _, _, n in seqs]
+    padding = min(plain_padding(lengths, [*c, x[-1]]) for m in range(min(buckets, len(x))) for c in itertools.combinations(x[:-1], m))
+    return seqs, padding
+
+
 def test_pack(spark):
     r = random.Random(1)
-    rows = [(i, r.choice((0, 1, 7, 30, 64, 65, 200, 1000))) for i in range(300)] + [(None, 5), (8, None), (9, 30), (9, 30)]
-    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").withColumn("batch", F.lit("x"))
-    out = packing.pack(df, max_len=64, buckets=4, budget=256).collect()
-    assert sum(x.n_tokens for x in out) == sum(n or 0 for _, n in rows)
-    assert sorted((x.doc_id is None, x.doc_id or 0) for x in out) == sorted((i is None, i or 0) for i, n in rows for _ in range(max(1, -(-(n or 0) // 64))))
-    batches = {}
+    rows = [(i, r.choice((0, 1, 7, 30, 64, 65, 200, 1000))) for i in range(300)] + [(None, 5), (None, 5), (8, None), (9, 30), (9, 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").withColumn("batch", F.lit("x")).withColumn("u", F.lit("x"))
+    out = packing.pack(df, max_len=64, buckets=3, budget=256).collect()
+    seqs, padding = plain_pack([(i, n or 0) for i, n in rows], 64, 3, 256)
+    assert sorted(((x.doc_id, x.piece, x.n_tokens) for x in out), key=repr) == sorted(seqs, key=repr)
+    assert sum(x.padding for x in out) == padding
+    batches, sizes = {}, sorted({x.bucket_len for x in out})
     for x in out:
-        assert 0 <= x.n_tokens <= x.bucket_len and x.padding == x.bucket_len - x.n_tokens
+        assert x.bucket_len == min(b for b in sizes if b >= x.n_tokens) and x.padding == x.bucket_len - x.n_tokens
         batches.setdefault((x.bucket_len, x.batch), []).append(x)
-    for (size, _), b in batches.items():
-        assert size * len(b) <= 256 and sorted(x.slot for x in b) == list(range(len(b)))
+    for size in sizes:  # full batches, but for the last one
+        some = [batches[size, k] for k in range(sum(b == size for b, _ in batches))]
+        fits = max(1, 256 // max(1, size))
+        assert [len(b) for b in some[:-1]] == [fits] * (len(some) - 1) and len(some[-1]) <= fits
+        assert all(sorted(x.slot for x in b) == list(range(len(b))) for b in some)
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_pack_by_prefix_counts(spark, model):
+    """Pieces cover the texts, and hold as many tokens as the prefix counts say."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [(1, "the cat sat on the mat " * 40), (2, "日本語テキスト " * 30), (3, ""), (4, None), (5, "a" * 300), (None, "some words here"), (None, "some words here")]
+    counted = tokens.read_rows(tokens.prefix_rows(make(spark, texts), model), 32)
+    out = packing.pack(counted, max_len=32, pieces_col="pieces", budget=128).collect()
+    for i, t in texts[:5]:
+        mine = sorted((x for x in out if x.doc_id == i), key=lambda x: x.piece)
+        assert [x.piece for x in mine] == list(range(len(mine))) and sum(x.n_tokens for x in mine) == len(sp.encode(t or ""))
+        at = 0
+        for x in mine:
+            assert x.first_char == at and x.n_tokens <= 32
+            at += x.n_chars
+            assert len(sp.encode((t or "")[:at])) == sum(y.n_tokens for y in mine[: x.piece + 1])
+        assert at == len(t or "")
+    assert sum(x.doc_id is None for x in out) == 2
+
+
 # 4
 
 
@@ -691,11 +768,74 @@ def test_quality(spark):
     assert {x.p_good for x in none.collect()} == {0.5}
 
 
-def test_views_teach_each_other():
+def plain_co_training(docs, labels, max_labelled, max_given, rounds, hash_of):
+    """The method as its docstring has it, over lists; hash_of gives the engine's hashes by id and text."""
+    known = {}
+    for i, q, t in labels:
+        if None not in (i, q, t):
+            known[i] = min(known.get(i, 1), int(q == 1 and t == 0))
+    own = sorted({(hash_of[i, t or ""], i, t or "", s, x, n) for i, t, x, s, n in docs if i in known})[:max_labelled]
+    feats = {d: (quality.text_features(d[2]), quality.page_features(d[3], d[4], d[5])) for d in own}
+    mine, held = [d for d in own if d[0] % 4 != 3], [d for d in own if d[0] % 4 == 3]
+    told = [{}, {}]
+    for r in range(rounds + 1):
+        views = []
+        for v in range(2):
+            rows = sorted([(d[0], 1.0, d, known[d[1]]) for d in mine] + [(d[0], 0.5, d, y) for d, y in told[v].items()], key=lambda x: x[:2])
+            n1, n0 = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+            counts = {}
+            for _, _, d, y in rows:
+                for f in feats[d][v]:
+                    counts.setdefault(f, [0, 0])[y] += 1
+            z = {}
+            for f, (b, a) in counts.items():
+                if a + b >= quality.LEAST_DOCS:
+                    p = (a + b) / (n1 + n0)
+                    z[f] = round((b / n0 - a / n1) / max(1e-12, p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5, 9)
+            vocab = {f: k for k, f in enumerate(sorted((f for f in z if z[f] >= quality.LEAST_Z), key=lambda f: (-z[f], f))[: quality.MOST_WORDS])}
+            x = np.array([[float(f in feats[d][v]) for f in vocab] for _, _, d, _ in rows]).reshape(len(rows), len(vocab))
+            views.append((vocab, quality._fit(x, np.array([y for *_, y in rows], float), np.array([w for _, w, *_ in rows]))))
+        logit = lambda d, v: views[v][1][-1] + sum(views[v][1][k] for f, k in views[v][0].items() if f in feats[d][v])  # noqa: E731, B023
+        if r == rounds:
+            break
+        free = {(hash_of[i, t or ""], i, t or "", s, x, n) for i, t, x, s, n in docs if i not in known}
+        feats |= {d: (quality.text_features(d[2]), quality.page_features(d[3], d[4], d[5])) for d in free}
+        for v in range(2):
+            new = {}
+            for sign, y in ((-1, 0), (1, 1)):
+                by_text = {}
+                for d in free:
+                    if sign * logit(d, v) >= np.log(quality.SURE / (1 - quality.SURE)) and d[2] not in {e[2] for e in told[1 - v]}:
+                        by_text.setdefault(d[2], []).append(d)
+                ranked = sorted((-max(round(sign * logit(d, v), 9) for d in ds), min(ds)) for ds in by_text.values())
+                new |= {d: y for _, d in ranked[:max_given]}
+            told[1 - v] |= new
+    y = np.array([known[d[1]] for d in held], float)
+    zs = [np.array([logit(d, v) for d in held]) for v in range(2)]
+    one = np.ones(len(held))
+    scale = np.concatenate([quality._fit(z[:, None], y, one, 1e-2) for z in zs])
+    join = quality._fit(np.stack([scale[0] * zs[0] + scale[1], scale[2] * zs[1] + scale[3]], 1), y, one, 1e-2)
+    out = {}
+    for i, t, x, s, n in docs:
+        fs = quality.text_features(t or ""), quality.page_features(s, x, n)
+        a, b = (scale[2 * v] * (views[v][1][-1] + sum(views[v][1][k] for f, k in views[v][0].items() if f in fs[v])) + scale[2 * v + 1] for v in range(2))
+        out[i, t] = float(quality._p(join[0] * a + join[1] * b + join[2]))
+    return out, [len(t) for t in told], [set(v[0]) for v in views]
+
+
+def test_co_training(spark):
+    """Against a plain version, with ties, repeated rows, nulls and labels that contradict each other."""
     r = random.Random(4)
-    rows, labels = quality_rows(r, 400)
-    y = np.array([float(q and not t) for _, q, t in labels[:200]])
-    of = lambda some: [(x[1], x[3], x[2]) for x in some]
-    alone, taught = quality.co_train(of(rows[:200]), y, []), quality.co_train(of(rows[:200]), y, of(rows[200:]))
-    assert "!!" in taught.text.vocab and "!!" in alone.text.vocab and "source=junk" in taught.page.vocab
-    assert not np.allclose(alone.text.weights[:1], taught.text.weights[:1])
+    rows, labels = quality_rows(r, 500)
+    rows += [rows[0], rows[3], (9001, rows[450][1], "en", "junk", 7), (9002, None, None, None, None), (None, rows[2][1], "en", "a", 3)]
+    labels = labels[:300] + [(5, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    hash_of = {(x.doc_id, x.text): x.h for x in quality._inputs(docs, "doc_id").select(F.col("id").cast("long").alias("doc_id"), "text", "h").collect()}
+    want, told, vocab = plain_co_training(rows, labels, 200, 15, 2, hash_of)
+    model = quality.train(docs, known, max_labelled=200, max_given=15, rounds=2)
+    assert [set(model.text.vocab), set(model.page.vocab)] == vocab and "!!" in vocab[0] and "source=junk" in vocab[1] and min(told) >= 15 and max(told) > 15
+    for x in quality.score(docs, model).collect():
+        assert abs(x.p_good - want[x.doc_id, x.text]) < 1e-6
+    alone = quality.train(docs, known, max_labelled=200, rounds=0)
+    assert alone.page.vocab != model.page.vocab or not np.allclose(alone.page.weights, model.page.weights)
