@@ -22,6 +22,7 @@ from __future__ import annotations
 import operator
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -151,32 +152,41 @@ def _with_features(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*names, features("text", *_META).alias("__f")).select(*names, "__f.*")
 
 
-def _learn(rows: DataFrame, v: str) -> View:
-    """rows: features t and p, y (1: good), w, and h to order by.
+def _learn(rows: DataFrame) -> list[View]:
+    """Both views from rows: features t and p, y (1: good), w, h to order by, and who (t, p or both) they teach.
 
     What merely is common in good documents is left out: a short text lacks it through no fault of its own.
     """
-    sums = rows.agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).first()
-    n1, n0 = max(1, int(sums.n1 or 0)), max(1, int(sums.n0 or 0))
-    counts = rows.select("y", F.explode(v).alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
-    p = (F.col("a") + F.col("b")) / (n1 + n0)
-    z = (F.col("b") / n0 - F.col("a") / n1) / F.sqrt(F.greatest(F.lit(1e-12), p * (1 - p) * (1 / n1 + 1 / n0)))
-    best = counts.select("f", F.round(z, 9).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MOST_WORDS).collect()
-    view = View({r.f: k for k, r in enumerate(best)})
-    got = _numbers(rows, v, view)
-    view.weights = _fit(matrix([r.k for r in got], len(best)), np.array([r.y for r in got], float), np.array([r.w for r in got], float))
-    return view
-
-
-def _numbers(rows: DataFrame, v: str, view: View) -> list:
-    """Rows (h, y, w, k: the numbers of the features) in the order of h."""
-    shared = rows.sparkSession.sparkContext.broadcast(view)
-
-    @F.arrow_udf("array<int>")
-    def numbers(features: pa.Array) -> pa.Array:
-        return pa.array([shared.value.numbers(set(f)) for f in features.to_pylist()], pa.list_(pa.int32()))
-
-    return sorted(rows.select("h", "y", "w", numbers(v).alias("k")).collect(), key=lambda r: (r.h, r.w))
+    of = lambda v: F.when(F.contains("who", F.lit(v)), F.concat(F.array(F.lit(v)), F.transform(v, lambda f: F.concat(F.lit(v), f)))).otherwise(F.array().cast("array<string>"))
+    # the name of a view without a feature stands for its rows
+    counts = rows.select("y", F.explode(F.concat(*(of(v) for v in _VIEWS))).alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    got = {r.f: (r.a, r.b) for r in counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (F.col("b") > 0) | (F.length("f") == 1)).collect()}
+    views = []
+    for v in _VIEWS:
+        n1, n0 = (max(1, n) for n in got[v])
+        names = [f for f in got if f[0] == v and len(f) > 1]
+        a, b = (np.array([got[f][k] for f in names], float) for k in range(2))
+        p = (a + b) / (n1 + n0)
+        z = np.round((b / n0 - a / n1) / np.sqrt(np.maximum(1e-12, p * (1 - p) * (1 / n1 + 1 / n0))), 9)
+        best = sorted(np.flatnonzero(z >= LEAST_Z).tolist(), key=lambda k: (-z[k], names[k]))[:MOST_WORDS]  # noqa: B023
+        views.append(View({names[f][1:]: k for k, f in enumerate(best)}))
+    got = _numbers(rows, views)
+    for v, view in zip(_VIEWS, views, strict=True):
+        mine = [r for r in got if v in r.who]
+        view.weights = _fit(matrix([r.k[v] for r in mine], len(view.vocab)), np.array([r.y for r in mine], float), np.array([r.w for r in mine], float))
+    return views
+
+
+def _numbers(rows: DataFrame, views: list[View]) -> list:
+    """Rows (h, y, w, who, k: the numbers of the features by view) in the order of h."""
+    shared = rows.sparkSession.sparkContext.broadcast(views)
+
+    @F.arrow_udf("struct<t:array<int>,p:array<int>>")
+    def numbers(t: pa.Array, p: pa.Array) -> pa.Array:
+        found = [pa.array([view.numbers(set(f)) for f in c.to_pylist()], pa.list_(pa.int32())) for view, c in zip(shared.value, (t, p), strict=True)]
+        return pa.StructArray.from_arrays(found, list(_VIEWS))
+
+    return sorted(rows.select("h", "y", "w", "who", numbers(*_VIEWS).alias("k")).collect(), key=lambda r: (r.h, r.w))
 
 
 def _logits(inputs: DataFrame, views: list[View]) -> DataFrame:
@@ -209,35 +219,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_labell
     known = known.groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("y"))
     chosen = inputs.select("id", "h").join(known, "id").dropDuplicates(["h"]).orderBy("h", "id").limit(max_labelled)
     rows = inputs.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["h"])  # no more rows are broadcast than the bound says
-    own = put.keep(_with_features(rows.withColumn("w", F.lit(1.0)), "h", "x", "y", "w"), "labelled")
+    own = put.keep(_with_features(rows.withColumn("w", F.lit(1.0)).withColumn("who", F.lit("tp")), "h", "x", "y", "w", "who"), "labelled")
     apart = F.pmod("h", F.lit(4)) == 3
     kinds = {(r.apart, r.y) for r in own.select(apart.alias("apart"), "y").distinct().collect()}
     if len({y for _, y in kinds}) < 2:
         put.drop(own)
         return None
     mine, held = (own.where(~apart), own.where(apart)) if len(kinds) == 4 else (own, own)
-    told: list[DataFrame | None] = [None, None]
+    told = None
     for r in range(rounds + 1):
-        taught = [mine if t is None else mine.unionByName(t) for t in told]
-        views = [_learn(rows, v) for rows, v in zip(taught, _VIEWS, strict=True)]
+        views = _learn(mine if told is None else mine.unionByName(told))
         if r == rounds:
             break
         rated = put.keep(_logits(inputs, views).join(known.select("id"), "id", "left_anti"), "rated")
-        for v in range(2):
-            mark = F.col(f"z_{_VIEWS[v]}")
-            parts = [_surest(rated, z, told[1 - v], max_given).withColumn("y", F.lit(y)) for z, y in ((-mark, 0), (mark, 1))]
-            new = put.keep(parts[0].unionAll(parts[1]), "given")  # at most 2 * max_given rows
-            found = inputs.drop("x").join(F.broadcast(new), "h").dropDuplicates(["h"])
-            more = _with_features(found.withColumn("w", F.lit(0.5)), "h", "x", "y", "w")
-            told[1 - v] = put.keep(more if told[1 - v] is None else told[1 - v].unionByName(more), "told")
+        parts = []
+        for v, other in zip(_VIEWS, reversed(_VIEWS), strict=True):
+            before = None if told is None else told.where(F.col("who") == other)
+            for z, y in ((-F.col(f"z_{v}"), 0), (F.col(f"z_{v}"), 1)):
+                parts.append(_surest(rated, z, before, max_given).select("h", F.lit(y).alias("y"), F.lit(other).alias("who")))
+        new = put.keep(reduce(DataFrame.unionAll, parts), "given")  # at most 4 * max_given rows
+        found = inputs.join(F.broadcast(new), "h").dropDuplicates(["h", "who", "y"]).withColumn("w", F.lit(0.5))
+        more = _with_features(found, "h", "x", "y", "w", "who")
+        told = put.keep(more if told is None else told.unionByName(more), "told")
         put.drop(rated)
-    got = [_numbers(held, v, view) for v, view in zip(_VIEWS, views, strict=True)]
-    y = np.array([r.y for r in got[0]], float)
-    z = [view.logits(matrix([r.k for r in g], len(view.vocab))) for g, view in zip(got, views, strict=True)]
+    got = _numbers(held, views)
+    y = np.array([r.y for r in got], float)
+    z = [view.logits(matrix([r.k[v] for r in got], len(view.vocab))) for v, view in zip(_VIEWS, views, strict=True)]
     one = np.ones(len(y))
     scale = np.concatenate([_fit(x[:, None], y, one, 1e-2) for x in z])
     join = _fit(np.stack([scale[0] * z[0] + scale[1], scale[2] * z[1] + scale[3]], 1), y, one, 1e-2)
-    put.drop(own, *told)
+    put.drop(own, told)
     return CoTrained(views[0], views[1], scale, join)
 
 
