@@ -78,7 +78,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
-    counted = tokens.read_rows(tokens.prefix_rows(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")), packing.MAX_LEN)
+    counted = tokens.measure(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), packing.MAX_LEN)
     return packing.pack(counted, pieces_col="pieces")
 
 

@@ -121,7 +121,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokens.read_rows(tokens.prefix_rows(docs, public_tokenizers.path("piece_bpe_32k.model")), packing.MAX_LEN)
+    counted = tokens.measure(docs, public_tokenizers.path("piece_bpe_32k.model"), packing.MAX_LEN)
     return packing.pack(counted, pieces_col="pieces")
 
 

@@ -12,6 +12,9 @@ rows of words are kept by each worker. New words are taken in alphabetical order
 done once. Total counts, truncation to a budget and the cuts between pieces of bounded length are read from the rows,
 without encoding again.
 
+Where only totals and cuts are wanted, the library counts whole words, whose sums are the counts at their borders, and
+rows are made only of the words in which a budget runs out.
+
 Nulls: a null text counts as empty, 0 tokens; a null id is kept. Repeated rows give repeated results, an empty table an
 empty one. Memory is bounded: at most CACHE words of CACHE_CHARS characters are kept per worker, TOGETHER characters of
 texts are counted at once. A column with the name of a result is replaced, others are kept.
@@ -26,14 +29,26 @@ from itertools import accumulate, chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHE_CHARS, TOGETHER = 600_000, 40, 4_000_000
+CACHE, CACHE_CHARS, TOGETHER = 800_000, 40, 4_000_000
 START = "▁"
 _SEGMENT = re.compile(f"{START}*[^{START}\n]+|{START}+|\n")
 
 
+def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about TOGETHER characters."""
+    at = 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size < TOGETHER):
+            size += len(texts[end] or "")
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 class PrefixCounter(dict):
     """Maps words (with their word starts) to their prefix rows."""
 
@@ -146,13 +161,8 @@ class PrefixCounter(dict):
 
     def rows(self, texts: list[str | None]) -> Iterator[bytes]:
         """The prefix row of each text."""
-        at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size < TOGETHER):
-                size += len(texts[end] or "")
-                end += 1
-            words = [self._segments(t) if t else () for t in texts[at:end]]
+        for some in _together(texts):
+            words = [self._segments(t) if t else () for t in some]
             fresh = set(filterfalse(self.__contains__, chain.from_iterable(words)))
             if len(self) + len(fresh) > CACHE:
                 self.clear()
@@ -164,7 +174,6 @@ class PrefixCounter(dict):
             for w in fresh:
                 if len(w) > CACHE_CHARS:
                     del self[w]
-            at = end
 
     def prefixes(self, text: str | None) -> list[int]:
         """Token counts of text[:0], text[:1], ..., text."""
@@ -196,14 +205,63 @@ def cuts(row: bytes, budget: int) -> list[tuple[int, int]]:
     return out
 
 
-_loaded: dict[str, PrefixCounter] = {}
+class WordCounter(PrefixCounter):
+    """Counts whole words with the library; rows only of words that are cut."""
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        super().__init__(model_file)
+        self.model.normalizer_spec.add_dummy_prefix = False
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model.SerializeToString())
+        self.totals: dict[str, int] = {}
+
+    def measure(self, texts: list[str | None], budget: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Token count and pieces (characters, tokens) of each text, as total and cuts of its row."""
+        totals = self.totals
+        for some in _together(texts):
+            words = [self._segments(t) if t else () for t in some]
+            fresh = set(filterfalse(totals.__contains__, chain.from_iterable(words)))
+            if len(totals) + len(fresh) > CACHE:
+                totals.clear()
+                fresh = set(chain.from_iterable(words))
+            fresh = list(fresh)
+            totals.update(zip(fresh, map(len, self.library.encode(fresh, num_threads=1))))  # noqa: B905
+            for t, ws in zip(some, words, strict=True):
+                n = list(map(totals.__getitem__, ws))
+                whole = sum(n)
+                yield whole, [(len(t or ""), whole)] if whole <= budget else self._pieces(t, ws, n, budget)
+            for w in fresh:
+                if len(w) > CACHE_CHARS:
+                    del totals[w]
+
+    def _pieces(self, text: str, words: list[str], n: list[int], budget: int) -> list[tuple[int, int]]:
+        tokens, chars = np.cumsum([0, *n]), np.cumsum([-1 if self.dummy else 0, *map(len, words)])
+        out, at, done = [], 0, 0
+        while at < len(text):
+            if tokens[-1] - done <= budget:
+                end, now = len(text), int(tokens[-1])
+            else:
+                k = int(np.searchsorted(tokens, done + budget, "right")) - 1  # the word in which the budget runs out
+                self.learn([words[k]])
+                row = counts(self.pop(words[k]))
+                i = int(np.flatnonzero(np.concatenate([[0], row]) <= done + budget - tokens[k])[-1])
+                end, now = int(chars[k]) + i, int(tokens[k]) + (int(row[i - 1]) if i else 0)
+                if end <= at:  # a character of more tokens than the budget
+                    return cuts(next(self.rows([text])), budget)
+            out.append((end - at, now - done))
+            at, done = end, now
+        return out
+
+
+_loaded: dict[tuple[type, str], PrefixCounter] = {}
 
 
-def counter(model_file: str) -> PrefixCounter:
-    """One counter per worker."""
-    if model_file not in _loaded:
-        _loaded[model_file] = PrefixCounter(model_file)
-    return _loaded[model_file]
+def counter(model_file: str, kind: type = PrefixCounter) -> PrefixCounter:
+    """One counter of a kind per worker."""
+    if (kind, model_file) not in _loaded:
+        _loaded[kind, model_file] = kind(model_file)
+    return _loaded[kind, model_file]
 
 
 def prefix_rows(df: DataFrame, model_file: str, text_col: str = "text", name: str = "prefix_row") -> DataFrame:
@@ -218,23 +276,41 @@ def prefix_rows(df: DataFrame, model_file: str, text_col: str = "text", name: st
     return df.withColumn(name, rows(F.col(text_col).cast("string")))
 
 
+_COUNTED = "struct<n_tokens:bigint,pieces:array<struct<begin:bigint,chars:bigint,tokens:bigint>>>"
+
+
+def _counted(found: list[tuple[int, list[tuple[int, int]]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("begin", "chars", "tokens")]))
+    rows = [[{"begin": k, "chars": a, "tokens": b} for k, (a, b) in zip(accumulate((a for a, _ in some), initial=0), some)] for _, some in found]  # noqa: B905
+    return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(rows, kind)], ["n_tokens", "pieces"])
+
+
+def _with_counted(df: DataFrame, counted: Column) -> DataFrame:
+    names = [c for c in df.columns if c not in ("n_tokens", "pieces")]
+    return df.select(*names, counted.alias("__t")).select(*names, "__t.n_tokens", "__t.pieces")
+
+
 def read_rows(df: DataFrame, budget: int, row_col: str = "prefix_row") -> DataFrame:
     """df with n_tokens and pieces (begin, chars, tokens), from the prefix rows alone."""
 
-    @F.arrow_udf("struct<n_tokens:bigint,pieces:array<struct<begin:bigint,chars:bigint,tokens:bigint>>>")
+    @F.arrow_udf(_COUNTED)
     def read(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("begin", "chars", "tokens")]))
         for batch in rows:
-            n, found = [], []
-            for x in batch.to_pylist():
-                n.append(total(x))
-                some = [(len(x), n[-1])] if n[-1] <= budget else cuts(x, budget)
-                begins = accumulate((a for a, _ in some), initial=0)
-                found.append([{"begin": k, "chars": a, "tokens": b} for k, (a, b) in zip(begins, some)])  # noqa: B905
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(found, kind)], ["n_tokens", "pieces"])
+            yield _counted([(n, [(len(x), n)] if n <= budget else cuts(x, budget)) for x in batch.to_pylist() for n in (total(x),)])
 
-    names = [c for c in df.columns if c not in ("n_tokens", "pieces")]
-    return df.select(*names, read(row_col).alias("__t")).select(*names, "__t.n_tokens", "__t.pieces")
+    return _with_counted(df, read(row_col))
+
+
+def measure(df: DataFrame, model_file: str, budget: int, text_col: str = "text") -> DataFrame:
+    """The same from the texts, for callers that do not want the rows."""
+
+    @F.arrow_udf(_COUNTED)
+    def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = counter(model_file, WordCounter)
+        for batch in texts:
+            yield _counted(list(c.measure(batch.to_pylist(), budget)))
+
+    return _with_counted(df, read(F.col(text_col).cast("string")))
 
 
 def count_tokens(df: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:

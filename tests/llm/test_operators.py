@@ -416,14 +416,16 @@ def plain_cuts(counts, budget):
 
 
 def test_cuts(model):
-    c = tokens.PrefixCounter(model)
+    c, library = tokens.PrefixCounter(model), tokens.WordCounter(model)
+    assert [n for n, _ in library.measure([*TRICKY, None], 3)] == [c.prefixes(t)[-1] for t in TRICKY] + [0]
     r = random.Random(5)
     for t in TRICKY + ["".join(r.choice("abcdefghi  .,\néü日") for _ in range(80)) for _ in range(60)]:
         row = next(c.rows([t]))
-        for budget in (6, 7, 10, 30):
+        for budget in (3, 6, 7, 10, 30):
             got = tokens.cuts(row, budget)
             assert got == plain_cuts(c.prefixes(t), budget), (t, budget)
-            assert sum(n for n, _ in got) == len(t) and sum(n for _, n in got) == tokens.total(row) and max(n for _, n in got) <= budget
+            assert next(library.measure([t], budget)) == (tokens.total(row), got)
+            assert sum(n for n, _ in got) == len(t) and sum(n for _, n in got) == tokens.total(row) and (budget < 6 or max(n for _, n in got) <= budget)
 
 
 def test_token_frames(spark, model):
@@ -515,7 +517,8 @@ def test_pack_by_prefix_counts(spark, model):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     texts = [(1, "the cat sat on the mat " * 40), (2, "日本語テキスト " * 30), (3, ""), (4, None), (5, "a" * 300), (None, "some words here"), (None, "some words here")]
-    counted = tokens.read_rows(tokens.prefix_rows(make(spark, texts), model), 32)
+    counted = tokens.measure(make(spark, texts), model, 32)
+    assert sorted(map(str, counted.select("text", "n_tokens", "pieces").collect())) == sorted(map(str, tokens.read_rows(tokens.prefix_rows(make(spark, texts), model), 32).select("text", "n_tokens", "pieces").collect()))
     out = packing.pack(counted, max_len=32, pieces_col="pieces", budget=128).collect()
     for i, t in texts[:5]:
         mine = sorted((x for x in out if x.doc_id == i), key=lambda x: x.piece)
