@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return put.rstrip("/")
 
 
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# while a table is written: its shuffle files go afterwards, and batches for Python are small, as each task holds some
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+SLICE = 256
+
+
+def each(*columns: pa.Array) -> Iterator[tuple]:
+    """The values of columns side by side, made from a slice of the batch at a time."""
+    for k in range(0, len(columns[0]), SLICE):
+        yield from zip(*(c.slice(k, SLICE).to_pylist() for c in columns), strict=True)
 
 
 class Scratch:
@@ -47,12 +59,15 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        schema, before = df.schema, self.spark.conf.get(_TIDY, None)
-        self.spark.conf.set(_TIDY, "true")
+        schema, conf = df.schema, self.spark.conf
+        before = {name: conf.get(name, None) for name in _WRITING}
+        for name, value in _WRITING.items():
+            conf.set(name, value)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(_TIDY) if before is None else self.spark.conf.set(_TIDY, before)
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
         Scratch.live.append(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, each
 
 MAX_DOCS, FOLDS, CELLS_LOG2, HASHES, ORDERS, PIECE = 2400, 5, 20, 3, (2, 3, 4), 1 << 20
 LEAST_SHARE, LEAST_COUNT, LEAST_RATIO = 2e-5, 3, 0.2
@@ -164,7 +164,7 @@ def identify(df: DataFrame, model: LanguageFilters, text_col: str = "text") -> D
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for batch in texts:
-            got = [m.predict(t) for t in batch.to_pylist()]
+            got = [m.predict(t) for t, in each(batch)]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
     names = [c for c in df.columns if c not in ("lang_pred", "score")]

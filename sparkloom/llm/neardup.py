@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, each
 
 PERMS, BANDS, ROWS, SHIFT, CACHE = 120, 40, 6, 7, 300_000
 SMALL, DEAL, SMALL_GRAPH, CELLS_LOG2 = 8, 256, 500_000, 20
@@ -103,7 +103,7 @@ def sketch(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     def make(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             n, digest, all_keys = [], [], []
-            for t in batch.to_pylist():
+            for (t,) in each(batch):
                 s = shingles(t, size)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)

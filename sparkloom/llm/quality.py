@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, each
 
 MAX_LABELLED, MAX_GIVEN, ROUNDS, SURE, THRESHOLD = 5000, 200, 2, 0.98, 0.5
 LEAST_DOCS, LEAST_Z, MOST_WORDS, STEM = 8, 5.0, 2000, 4
@@ -196,8 +196,8 @@ def _logits(inputs: DataFrame, views: list[View]) -> DataFrame:
     @F.arrow_udf("struct<z_t:double,z_p:double>")
     def rate(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         t, p = shared.value
-        z_t = pa.array([t.logit(text_features(x)) for x in texts.to_pylist()], pa.float64())
-        z_p = pa.array([p.logit(page_features(*x)) for x in zip(sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)], pa.float64())
+        z_t = pa.array([t.logit(text_features(x)) for x, in each(texts)], pa.float64())
+        z_p = pa.array([p.logit(page_features(*x)) for x in each(sources, langs, sizes)], pa.float64())
         return pa.StructArray.from_arrays([z_t, z_p], ["z_t", "z_p"])
 
     return inputs.select("id", "x", "h", rate("text", *_META).alias("z")).select("id", "x", "h", "z.*")
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str]
     @F.arrow_udf("struct<a:double,b:double,c:double>")
     def rate(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array) -> pa.Array:
         m = shared.value
-        got = np.array([m.score(t or "", *x) for t, *x in zip(texts.to_pylist(), sources.to_pylist(), langs.to_pylist(), sizes.to_pylist(), strict=True)]).reshape(-1, 3)
+        got = np.array([m.score(t or "", *x) for t, *x in each(texts, sources, langs, sizes)]).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(got[:, k].copy()) for k in range(3)], ["a", "b", "c"])
 
     meta = [(F.col(c) if c in docs.columns else F.lit(None)).cast("bigint" if c == "n_chars" else "string") for c in _META]
