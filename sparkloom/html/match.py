@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from .. import constants as C
 from ..options import ParseOptions
@@ -109,22 +109,35 @@ class Matcher:
         t = self.t
         return lambda i: t.kind[i] == ELEMENT and all(f(i) for f in tests)
 
-    def _others(self, i: int, how: str) -> list[int]:
+    def _others(self, i: int, how: str) -> Iterator[int]:
         """Nodes that stand in the relation to i, nearest first."""
         t = self.t
-        up = t.parent[i]
-        if up < 0:
-            return []
-        if how == "child":
-            return [up]
-        if how == "descendant":
-            out = []
+        if how in ("child", "descendant"):
+            up = t.parent[i]
             while up >= 0:
-                out.append(up)
-                up = t.parent[up]
-            return out
-        before = [c for c in t.children[up][: self.at.sib[i] - 1] if t.kind[c] == ELEMENT][::-1]
-        return before[:1] if how == "adjacent" else before
+                yield up
+                up = t.parent[up] if how == "descendant" else -1
+            return
+        before = self.at.prev[i]
+        while before:
+            yield before - 1
+            before = self.at.prev[before - 1] if how == "sibling" else None
+
+    def _nearest_sibling(self, test: Test) -> Callable[[int], int]:
+        """The nearest earlier sibling that passes the test, or -1; siblings are looked at once."""
+        t, known = self.t, {}
+
+        def find(i: int) -> int:
+            if i not in known:
+                near = -1
+                for c in t.children[t.parent[i]] if t.parent[i] >= 0 else (i,):
+                    if t.kind[c] == ELEMENT:
+                        known[c] = near
+                        if test(c):
+                            near = c
+            return known[i]
+
+        return find
 
     def selector(self, s: Selector) -> Test:
         """Without backtracking only the nearest node that fits counts for each part."""
@@ -132,13 +145,14 @@ class Matcher:
             return lambda i: False
         tests = [self._compound(p) for p in s]
         every = self.options.backtracking
+        siblings = {k: self._nearest_sibling(tests[k - 1]) for k in range(1, len(s)) if s[k].combinator not in ("child", "descendant", "adjacent")}
 
         def left(i: int, k: int) -> bool:
             while k:
-                fits = (x for x in self._others(i, s[k].combinator) if tests[k - 1](x))
                 if every:
-                    return any(left(x, k - 1) for x in fits)
-                i, k = next(fits, -1), k - 1
+                    return any(left(x, k - 1) for x in self._others(i, s[k].combinator) if tests[k - 1](x))
+                i = siblings[k](i) if k in siblings else next((x for x in self._others(i, s[k].combinator) if tests[k - 1](x)), -1)
+                k -= 1
                 if i < 0:
                     return False
             return True
@@ -150,8 +164,14 @@ class Matcher:
         return lambda i: any(f(i) for f in tests)
 
     def query_all(self, text: str, root: int = 0, first: bool = False) -> list[int]:
+        parsed = parse_selector(text, self.options.css_syntax)
+        tags = [next((x.name for x in p[-1].simples if x.kind == "tag"), None) if p else None for p in parsed]
+        some = self.t.walk(root)
+        if None not in tags:  # most elements are no candidates by their names
+            wanted, names = frozenset(tags), self.t.name
+            some = [i for i in some if names[i] in wanted]
         test, out = self.any(text), []
-        for i in self.t.walk(root):
+        for i in some:
             if self.t.kind[i] == ELEMENT and test(i):
                 out.append(i)
                 if first:

@@ -34,7 +34,8 @@ def open_tag(name: str, attrs: list[tuple[str, str | None]]) -> str:
     return "<" + name + "".join(f" {k}" if v is None else f' {k}="{escape_attribute(v)}"' for k, v in attrs) + ">"
 
 
-def to_html(t: Tree, root: int = 0, options: HtmlOptions = HtmlOptions()) -> str:
+def to_html(t: Tree, root: int = 0, options: HtmlOptions = HtmlOptions(), raw_names: frozenset[str] = C.RAW_TEXT_OUTPUT) -> str:
+    """raw_names: elements whose text is written as it is."""
     out: list[str] = []
     put, pretty, pad = out.append, options.pretty, options.indent
     begun = False  # something has been written
@@ -48,7 +49,7 @@ def to_html(t: Tree, root: int = 0, options: HtmlOptions = HtmlOptions()) -> str
         kind = t.kind[i]
         if kind == TEXT:
             up = t.parent[i]
-            raw = up >= 0 and t.kind[up] == ELEMENT and t.name[up] in C.RAW_TEXT_OUTPUT
+            raw = up >= 0 and t.kind[up] == ELEMENT and t.name[up] in raw_names
             put(t.data[i] if raw else escape_text(t.data[i]))
             begun = begun or bool(t.data[i])
         elif kind == ELEMENT:
@@ -61,7 +62,7 @@ def to_html(t: Tree, root: int = 0, options: HtmlOptions = HtmlOptions()) -> str
                 if pretty:
                     put("\n")
                 continue
-            spread = pretty and kids and name not in C.RAW_TEXT_OUTPUT
+            spread = pretty and kids and name not in raw_names
             if spread:
                 put("\n")
             todo.append(f"{pad * depth if spread else ''}</{name}>" + ("\n" if pretty else ""))

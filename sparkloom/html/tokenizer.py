@@ -54,7 +54,8 @@ def decode_entities(text: str, in_attribute: bool = False) -> str:
     def one(m: re.Match) -> str:
         hexa, dec, name, semi = m.groups()
         if hexa or dec:
-            return decode_numeric(int(hexa, 16) if hexa else int(dec)) if len(hexa or dec) < 12 else "\ufffd"
+            digits = (hexa or dec).lstrip("0") or "0"
+            return decode_numeric(int(digits, 16 if hexa else 10)) if len(digits) < 12 else "\ufffd"
         if semi and name in ENTITIES:
             return ENTITIES[name]
         for k in range(len(name), 1, -1):

@@ -92,6 +92,9 @@ class Builder:
         self.back = None
         self.open: list[int] = []
         self.names: list[str] = []  # of the open elements
+        self.opened: dict[str, int] = {}  # how many are open, by name
+        self.growing: int | None = None  # a text node whose pieces are not joined yet
+        self.pieces: list[str] = []
         self.head: int | None = None
         self.form: int | None = None
 
@@ -101,6 +104,7 @@ class Builder:
             self.mode(token)
             if raw and token.kind == START and (token.name in RCDATA or token.name in RAWTEXT or token.name == "plaintext") and self.names and self.names[-1] == token.name:
                 self.tokens.switch = token.name
+        self.join_text()
         if self.options.html_at_eof:
             names = {self.tree.name[i] for i in self.tree.walk()}
             for name in ("html", "head", "body"):
@@ -121,15 +125,24 @@ class Builder:
         return self.open[-1] if self.open else 0
 
     def push(self, i: int) -> None:
+        name = self.tree.name[i]
         self.open.append(i)
-        self.names.append(self.tree.name[i])
+        self.names.append(name)
+        self.opened[name] = self.opened.get(name, 0) + 1
 
     def pop(self) -> None:
         if self.open:
             self.open.pop()
-            self.names.pop()
+            self.opened[self.names.pop()] -= 1
+
+    def drop(self, k: int) -> None:
+        """Takes one element out of the open ones; those above it stay open."""
+        self.opened[self.names[k]] -= 1
+        del self.open[k], self.names[k]
 
     def cut(self, size: int) -> None:
+        for name in self.names[size:]:
+            self.opened[name] -= 1
         del self.open[size:], self.names[size:]
 
     def element(self, token: Token, name: str | None = None) -> int:
@@ -155,15 +168,25 @@ class Builder:
     def text(self, data: str) -> None:
         t, up = self.tree, self.current()
         if t.children[up] and t.kind[last := t.children[up][-1]] == TEXT:
-            t.data[last] += data
+            if last != self.growing:
+                self.join_text()
+                self.growing, self.pieces = last, [t.data[last]]
+            self.pieces.append(data)
         else:
             t.add(TEXT, up, data=data)
 
+    def join_text(self) -> None:
+        if self.growing is not None:
+            self.tree.data[self.growing] = "".join(self.pieces)
+            self.growing = None
+
     def comment(self, token: Token, parent: int | None = None) -> None:
         self.tree.add(COMMENT_NODE, self.current() if parent is None else parent, data=token.data)
 
     def within(self, names: frozenset[str] | tuple, stop: frozenset[str]) -> bool:
         """Whether an element of these names is open in the scope that `stop` bounds."""
+        if not any(map(self.opened.get, names)):
+            return False
         for n in reversed(self.names):
             if n in names:
                 return True
@@ -309,8 +332,7 @@ class Builder:
                 self.push(self.head)
                 self.head_tag(token)
                 if self.head in self.open:
-                    k = self.open.index(self.head)
-                    del self.open[k], self.names[k]
+                    self.drop(self.open.index(self.head))
         elif kind == START and name == "head":
             self.error("unexpected-start-tag")
         elif kind == END and name == "template":
@@ -387,7 +409,7 @@ class Builder:
                 self.error("unexpected-start-tag")
                 name, how = "img", _V
             elif name == "form":
-                if self.form is not None and "template" not in self.names:
+                if self.form is not None and not self.opened.get("template"):
                     self.error("unexpected-start-tag")
                     return
             elif name == "li" or self.options.close_definition and name in ("dd", "dt"):
@@ -410,13 +432,15 @@ class Builder:
         i = self.element(token, name)
         if how & _V:
             self.cut(size)
-        if name == "form" and "template" not in self.names:
+        if name == "form" and not self.opened.get("template"):
             self.form = i
         elif name == "textarea":
             self.as_text()
 
     def close_item(self, names: tuple[str, ...]) -> None:
         """An open list item ends where the next one begins."""
+        if not any(map(self.opened.get, names)):
+            return
         for n in reversed(self.names):
             if n in names:
                 self.end_implied(n)
@@ -429,9 +453,9 @@ class Builder:
         if name not in _SPECIAL_END:
             self.other_end(name)
         elif name in C.FORMATTING:
-            for k in range(len(self.names) - 1, -1, -1):
-                if self.names[k] == name:  # what is open above it stays open
-                    del self.open[k], self.names[k]
+            for k in range(len(self.names) - 1, -1, -1) if self.opened.get(name) else ():
+                if self.names[k] == name:
+                    self.drop(k)
                     break
         elif name == "template":
             self.end_template()
@@ -462,7 +486,7 @@ class Builder:
             self.close(*names)
 
     def end_form(self) -> None:
-        inside = "template" in self.names
+        inside = bool(self.opened.get("template"))
         form = None if inside else self.form
         if not inside:
             self.form = None
@@ -473,8 +497,7 @@ class Builder:
         if inside:
             self.close("form")
         elif form in self.open:
-            k = self.open.index(form)
-            del self.open[k], self.names[k]
+            self.drop(self.open.index(form))
 
     def other_end(self, name: str) -> None:
         for k in range(len(self.names) - 1, -1, -1):

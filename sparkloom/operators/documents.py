@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..constants import RAW_TEXT_OUTPUT
 from ..html.clean import DEFAULT_POLICY, SanitizationPolicy, clean
 from ..html.errors import ParseError
 from ..html.match import Matcher, is_empty
 from ..html.render import dump, to_html, to_markdown, to_text
-from ..html.tokenizer import DOCTYPE, tokenize
+from ..html.tokenizer import DOCTYPE, RCDATA, tokenize
 from ..html.tree import DOCTYPE_NODE, ELEMENT, Tree, parse, places
 from ..options import HtmlOptions, MarkdownOptions, ParseOptions
 from ..plans.compile import prefilter
@@ -126,9 +127,10 @@ FORMATS = ("html", "pretty", "markdown", "text", "block_text", "tree")
 
 
 def write(t: Tree, root: int, fmt: str, options: ParseOptions, html: HtmlOptions = HtmlOptions(), markdown: MarkdownOptions = MarkdownOptions()) -> str:
+    raw = RAW_TEXT_OUTPUT - RCDATA if options.raw_text else RAW_TEXT_OUTPUT  # references in them were decoded
     return {
-        "html": lambda: to_html(t, root, html),
-        "pretty": lambda: to_html(t, root, HtmlOptions(html.include_doctype, True, html.indent)),
+        "html": lambda: to_html(t, root, html, raw),
+        "pretty": lambda: to_html(t, root, HtmlOptions(html.include_doctype, True, html.indent), raw),
         "markdown": lambda: to_markdown(t, root, markdown, options),
         "text": lambda: to_text(t, root),
         "block_text": lambda: to_text(t, root, "block"),
@@ -206,3 +208,15 @@ def count_matches(html: str | Column, selectors: list[str], profile: str | Parse
             yield pa.array(out, pa.list_(pa.int32()))
 
     return run(F.col(html) if isinstance(html, str) else html)
+
+
+def match_count(html: str | Column, selector: str | Column, profile: str | ParseOptions = "observed") -> Column:
+    """The number of matches of the selector beside each document; null for a null."""
+    options = ParseOptions.of(profile)
+
+    @F.arrow_udf("int")
+    def run(html: pa.Array, selectors: pa.Array) -> pa.Array:
+        found = ((x, s) for x, s in zip(html.to_pylist(), selectors.to_pylist(), strict=True))
+        return pa.array([None if x is None or s is None else len(Matcher(parse(x, options), options).query_all(s)) for x, s in found], pa.int32())
+
+    return run(*(F.col(c) if isinstance(c, str) else c for c in (html, selector)))

@@ -201,10 +201,10 @@ def prefilter(selector: str, html: Column, css: bool = False) -> Column:
 
     Only tags that the parser never adds by itself, outside :not and :is, give one.
     """
-    conditions = []
+    conditions, low = [], F.lower(html)  # which at most lets more pass than lower-casing A-Z would
     for s in parse_selector(selector, css):
         tags = [x.name for p in s for x in p.simples if x.kind == "tag" and x.name not in _INVENTED and "�" not in x.name]
-        conditions.append(reduce(lambda a, b: a & b, (F.contains(F.translate(html, _UPPER, _LOWER), F.lit(f"<{t}")) for t in tags), F.lit(True)))
+        conditions.append(reduce(lambda a, b: a & b, (F.contains(low, F.lit(f"<{t}")) for t in tags), F.lit(True)))
     return reduce(lambda a, b: a | b, conditions)
 
 

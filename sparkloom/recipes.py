@@ -202,5 +202,5 @@ ORACLE_SQL = {
     "summaries": r"""with t as (select page_id, regexp_extract(html, '<title>([^<]*)', 1) as title, regexp_extract(html, '<article>.*', 0, 's') as a from pages where html like '%<title>%'),
 p as (select page_id, title, a, position('<p>' in a) as k from t),
 q as (select page_id, title, k, regexp_extract(substr(a, k + 3), '^(.*?)(<p>|</p>|<footer|$)', 1, 's') as x from p)
-select page_id, title, case when k > 0 then substr(regexp_replace(x, '<[^>]*(>|$)', '', 'g'), 1, 200) end as summary from q""",
+select page_id, title, case when k > 0 then regexp_replace(x, '<[^>]*(>|$)', '', 'g') end as summary from q""",
 }
