@@ -22,9 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null texts are empty, null metadata a value of its own, rows without an id unlabelled; repeated rows share their fate.
     Without labels of both kinds nothing goes. Any extra columns stay, whatever their names.
     """
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rated = quality.score(docs, model, ("__good", "__text", "__page"))
-    return rated.where(F.col("__good") >= quality.THRESHOLD).select(docs.columns)
+    return quality.accept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
