@@ -31,16 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 # while a table is written: its shuffle files go afterwards, and batches for Python are small, as each task holds some
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 SLICE = 256
 
 
 def each(*columns: pa.Array) -> Iterator[tuple]:
-    """The values of columns side by side, made from a slice of the batch at a time."""
+    """The values of columns side by side, made from a slice of the batch at a time; what Arrow holds in reserve for the
+    next batch is given back, as a worker lives through many stages."""
     for k in range(0, len(columns[0]), SLICE):
         yield from zip(*(c.slice(k, SLICE).to_pylist() for c in columns), strict=True)
+    pa.default_memory_pool().release_unused()
 
 
 class Scratch:
