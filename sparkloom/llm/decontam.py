@@ -39,7 +39,7 @@ from .common import Scratch
 
 MASKS = ("1101111", "111010011", "1100101011", "110001111")
 WINDOW, PERCENT, RUN, LEAST_SPACED, LEAST_TOLERANT = 20, 80, 13, 12, 5
-FILTER_LOG2, BITS_A_SEED, CACHE, TOGETHER = 28, 32, 400_000, 100_000
+FILTER_LOG2, BITS_A_SEED, CACHE, TOGETHER = 28, 32, 150_000, 100_000
 # fixed values: scripts that are written without spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, Han)
 UNSPACED = "฀-࿿က-႟ក-៿぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")

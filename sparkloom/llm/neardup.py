@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, each
 
-PERMS, BANDS, ROWS, SHIFT, CACHE = 120, 40, 6, 7, 300_000
+PERMS, BANDS, ROWS, SHIFT, CACHE = 120, 40, 6, 7, 150_000
 SMALL, DEAL, SMALL_GRAPH, CELLS_LOG2 = 8, 256, 500_000, 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(7).integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

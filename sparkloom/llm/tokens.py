@@ -16,8 +16,8 @@ Where only totals and cuts are wanted, the library counts whole words, whose sum
 rows are made only of the words in which a budget runs out.
 
 Nulls: a null text counts as empty, 0 tokens; a null id is kept. Repeated rows give repeated results, an empty table an
-empty one. Memory is bounded: at most CACHE words of CACHE_CHARS characters are kept per worker, TOGETHER characters of
-texts are counted at once. A column with the name of a result is replaced, others are kept.
+empty one. Memory is bounded: at most CACHE rows or TOTALS counts of words of CACHE_CHARS characters are kept per worker
+(counts until its task ends), TOGETHER characters of texts are counted at once. A column with the name of a result is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHE_CHARS, TOGETHER = 800_000, 40, 4_000_000
+CACHE, TOTALS, CACHE_CHARS, TOGETHER = 800_000, 200_000, 40, 1_000_000
 START = "▁"
 _SEGMENT = re.compile(f"{START}*[^{START}\n]+|{START}+|\n")
 
@@ -222,7 +222,7 @@ class WordCounter(PrefixCounter):
         for some in _together(texts):
             words = [self._segments(t) if t else () for t in some]
             fresh = set(filterfalse(totals.__contains__, chain.from_iterable(words)))
-            if len(totals) + len(fresh) > CACHE:
+            if len(totals) + len(fresh) > TOTALS:
                 totals.clear()
                 fresh = set(chain.from_iterable(words))
             fresh = list(fresh)
@@ -307,8 +307,12 @@ def measure(df: DataFrame, model_file: str, budget: int, text_col: str = "text")
     @F.arrow_udf(_COUNTED)
     def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(model_file, WordCounter)
-        for batch in texts:
-            yield _counted(list(c.measure(batch.to_pylist(), budget)))
+        try:
+            for batch in texts:
+                yield _counted(list(c.measure(batch.to_pylist(), budget)))
+        finally:  # a worker lives on for other stages
+            c.totals.clear()
+            pa.default_memory_pool().release_unused()
 
     return _with_counted(df, read(F.col(text_col).cast("string")))
 

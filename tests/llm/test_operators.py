@@ -400,10 +400,12 @@ def test_prefix_counts(model, monkeypatch):
         assert c.prefixes(t) == [len(sp.encode(t[:i])) for i in range(len(t) + 1)], t
     want = [len(sp.encode(t)) for t in texts] + [0]
     assert [tokens.total(x) for x in c.rows([*texts, None])] == want == [tokens.total(x) for x in tokens.PrefixCounter(model).rows([*texts, None])]
-    for name, value in (("CACHE", 5), ("CACHE_CHARS", 3), ("TOGETHER", 50)):
+    for name, value in (("CACHE", 5), ("TOTALS", 5), ("CACHE_CHARS", 3), ("TOGETHER", 50)):
         monkeypatch.setattr(tokens, name, value)
     small = tokens.PrefixCounter(model)
     assert [tokens.total(x) for x in small.rows([*texts, None])] == want and len(small) <= 60
+    some = tokens.WordCounter(model)
+    assert [n for n, _ in some.measure([*texts, None], 10**6)] == want and len(some.totals) <= 60
 
 
 def plain_cuts(counts, budget):
