@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, each, row_key
+from .common import Scratch, each
 
 MAX_LABELLED, MAX_GIVEN, ROUNDS, SURE, THRESHOLD = 5000, 200, 2, 0.98, 0.5
 LEAST_DOCS, LEAST_Z, MOST_WORDS, STEM = 8, 5.0, 2000, 4
@@ -256,16 +256,16 @@ def _meta(docs: DataFrame) -> list[Column]:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast("bigint" if c == "n_chars" else "string") for c in _META]
 
 
-def accept(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a probability of the threshold or more, with their columns as they are.
+def _free(docs: DataFrame) -> str:
+    """A name longer than that of any column."""
+    return "_" * (1 + max(map(len, docs.columns)))
 
-    Rows are rated by Python and texts are passed on without it, in two passes: a worker and the buffers of a
-    writer together take more memory than either.
-    """
-    put = Scratch(docs.sparkSession, "accept")
-    keyed = docs.withColumn("__k", row_key(F.col("text").cast("string"), *_meta(docs)))
-    rated = score(keyed, model, ("__good", "__text", "__page")).where(F.col("__good") < threshold)
-    return keyed.join(put.keep(rated.select("__k").distinct(), "rejected"), "__k", "left_anti").select(docs.columns)
+
+def accept(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a probability of the threshold or more, with their columns as they are, in one pass without a
+    shuffle."""
+    names = tuple(f"{_free(docs)}{v}" for v in ("good", *_VIEWS))
+    return score(docs, model, names).where(F.col(names[0]) >= threshold).select(docs.columns)
 
 
 def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str] = ("p_good", "p_text", "p_page")) -> DataFrame:
@@ -281,5 +281,6 @@ def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str]
         got = np.array([m.score(t or "", *x) for t, *x in each(texts, sources, langs, sizes)]).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(got[:, k].copy()) for k in range(3)], ["a", "b", "c"])
 
-    rated = docs.withColumn("__p", rate(F.col("text").cast("string"), *_meta(docs)))
-    return rated.select(*kept, *(F.col(f"__p.{c}").alias(n) for c, n in zip("abc", names, strict=True)))
+    p = _free(docs)
+    rated = docs.withColumn(p, rate(F.col("text").cast("string"), *_meta(docs)))
+    return rated.select(*kept, *(F.col(f"{p}.{c}").alias(n) for c, n in zip("abc", names, strict=True)))
