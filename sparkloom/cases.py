@@ -293,7 +293,7 @@ def _order_query(fmt: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         some = D.spread(_orders(spark, sf_dir))
         if fmt == "node_html":
-            made = T.to_html(D.nodes(some)).select("doc_id", F.col("html").alias("made"))
+            made = T.to_html(D.nodes(some, fields=T.HTML_FIELDS)).select("doc_id", F.col("html").alias("made"))
         else:
             made = some.select("doc_id", D.rendered("html", fmt.removeprefix("safe_"), policy=DEFAULT_POLICY if fmt.startswith("safe_") else None).alias("made"))
         return made.withColumnRenamed("doc_id", "order_id")

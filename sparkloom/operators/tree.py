@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,32 +110,60 @@ def subtree_text(nodes: DataFrame, start: DataFrame) -> DataFrame:
     return _joined(inside.withColumn("data", F.when(F.col("kind") == "text", F.col("data")).otherwise("")), ["doc_id", "from_id"], "pre", "data", "text")
 
 
+HTML_FIELDS = ("doc_id", "node_id", "parent_id", "kind", "name", "attrs", "data", "doctype", "depth", "pre", "last")  # of a node, for to_html
+
+
 def to_html(nodes: DataFrame) -> DataFrame:
-    """doc_id, html from node rows alone: opening pieces stand at pre, closing ones behind the last descendant."""
+    """doc_id, html from node rows alone: opening pieces stand at pre, closing ones behind the last descendant.
+
+    The rows are read once, dealt by document and put together a document at a time.
+    """
     from .. import constants as C
-    from ..functions import attr_escape, html_escape
+    from ..functions import attr_escape
+    from ..html.render import escape_text
 
-    void, raw = F.col("name").isin(*C.VOID), F.col("p_name").isin(*C.RAW_TEXT_OUTPUT)
+    element, text = F.col("kind") == "element", F.col("kind") == "text"
+    void, raw = F.col("name").isin(*C.VOID), F.col("name").isin(*C.RAW_TEXT_OUTPUT)
     tag = F.concat(F.lit("<"), "name", F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.coalesce(F.concat(F.lit('="'), attr_escape(a["value"]), F.lit('"')), F.lit("")))), ""), F.lit(">"))
     d = F.col("doctype")
     public = F.when(d["public_id"] != "", F.concat(F.lit(' PUBLIC "'), d["public_id"], F.lit('"')))
     system = F.when(d["system_id"] != "", F.concat(F.when(d["public_id"].isNull(), F.lit(' SYSTEM "')).otherwise(F.lit(' "')), d["system_id"], F.lit('"')))
     doctype = F.concat(F.lit("<!DOCTYPE "), F.coalesce(d["name"], F.lit("html")), F.coalesce(public, F.lit("")), F.coalesce(system, F.lit("")), F.lit(">"))
-    parents = nodes.where("kind = 'element'").select("doc_id", F.col("node_id").alias("parent_id"), F.col("name").alias("p_name"))
-    with_parent = nodes.join(parents, ["doc_id", "parent_id"], "left")
-    voids = nodes.where((F.col("kind") == "element") & void).select(F.col("doc_id").alias("v_doc"), F.col("pre").alias("v_pre"), F.col("last").alias("v_last"))
-    shown = with_parent.join(voids, (F.col("doc_id") == F.col("v_doc")) & (F.col("v_pre") < F.col("pre")) & (F.col("pre") <= F.col("v_last")), "left_anti")
-    begin = (
-        F.when(F.col("kind") == "element", tag)
-        .when(F.col("kind") == "text", F.when(raw, F.col("data")).otherwise(html_escape("data")))
-        .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "data", F.lit("-->")))
-        .when(F.col("kind") == "doctype", doctype)
-        .otherwise("")
-    )
-    end = F.when((F.col("kind") == "element") & ~void, F.concat(F.lit("</"), "name", F.lit(">"))).otherwise("")
-    at = F.array(F.struct(F.col("pre").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), begin.alias("s")), F.struct(F.col("last").alias("a"), F.lit(1).alias("b"), (-F.col("depth")).alias("c"), end.alias("s")))
-    pieces = shown.select("doc_id", F.inline(at)).select("doc_id", F.struct("a", "b", "c").alias("o"), "s")
-    return _joined(pieces, ["doc_id"], "o", "s", "html")
+    begin = F.when(element, tag).when(text, F.col("data")).when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "data", F.lit("-->"))).when(F.col("kind") == "doctype", doctype).otherwise("")
+    end = F.when(element & ~void, F.concat(F.lit("</"), "name", F.lit(">"))).otherwise("")
+    role = F.when(text, "t").when(element & void, "v").when(element & raw, "r").otherwise("")
+
+    def write(rows: list[tuple]) -> str:
+        """Rows in the order of pre; what lies within a void element is not shown."""
+        script, reach, pieces = {r[1] for r in rows if r[6] == "r"}, -1, []
+        for _, node, up, pre, last, depth, role, begin, end in rows:
+            if pre is not None and pre <= reach:
+                continue
+            if role == "v":
+                reach = max(reach, last)
+            if role == "t" and up not in script:
+                begin = escape_text(begin or "")
+            pieces.append((-1 if pre is None else pre, 0, 0, begin or ""))
+            if end:
+                pieces.append((-1 if last is None else last, 1, -(depth or 0), end))
+        return "".join(p[3] for p in sorted(pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []
+        for batch in batches:
+            ids, made = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and own[0][0] != row[0]:
+                    ids.append(own[0][0])
+                    made.append(write(own))
+                    own = []
+                own.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.string())], names=["doc_id", "html"])
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([own[0][0]], pa.int64()), pa.array([write(own)], pa.string())], names=["doc_id", "html"])
+
+    some = nodes.select(F.col("doc_id").cast("long"), "node_id", "parent_id", "pre", "last", "depth", role.alias("role"), begin.alias("begin"), end.alias("end"))
+    return some.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInArrow(run, "doc_id bigint, html string")
 
 
 def sibling_indices(nodes: DataFrame) -> DataFrame:

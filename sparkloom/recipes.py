@@ -138,8 +138,8 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written from their node rows, by joins and aggregation."""
-    return T.to_html(D.nodes(pages(spark, sf_dir), "page_id")).select(F.col("doc_id").alias("page_id"), "html")
+    """Pages written from their node rows, in one pass over rows that are dealt by page."""
+    return T.to_html(D.nodes(pages(spark, sf_dir), "page_id", fields=T.HTML_FIELDS)).select(F.col("doc_id").alias("page_id"), "html")
 
 
 def list_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:

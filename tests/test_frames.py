@@ -44,6 +44,17 @@ def test_node_html_equals_fused(cases):
     assert text == fused
 
 
+def test_node_html_reads_nodes_once(spark, cases):
+    """No table of parents or voids is sent to the driver, however small it looks, and nested raw elements tell their own text."""
+    made = T.to_html(HtmlFrame(cases).nodes())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("MapInArrow") == 2  # the parse and the writer
+    kinds = [("document", "#document", None, 1, 6, 0, 1, None), ("element", "style", None, 2, 6, 1, 2, 1), ("element", "script", None, 3, 4, 2, 3, 2), ("text", "#text", "a<", 4, 4, 3, 4, 3), ("text", "#text", "b<", 5, 5, 2, 5, 2), ("text", "#text", "c<", 7, 7, 1, 6, 1)]
+    some = [(i, n, p, k, name, [], data, None, depth, pre, last) for i in (1, None) for k, name, data, pre, last, depth, n, p in kinds]
+    nodes = spark.createDataFrame(some, S.subset(S.NODES, T.HTML_FIELDS))
+    assert rows(T.to_html(nodes)) == rows(spark.createDataFrame([(i, "<style><script>a<</script>b<</style>c&lt;") for i in (1, None)], "doc_id bigint, html string"))
+
+
 def test_sibling_indices(cases):
     nodes = HtmlFrame(cases).nodes()
     stored = nodes.where("kind = 'element'").select("doc_id", "node_id", "elem_idx", "elem_idx_rev", "type_idx", "type_idx_rev")
