@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +47,19 @@ def each(*columns: pa.Array) -> Iterator[tuple]:
     pa.default_memory_pool().release_unused()
 
 
+@contextlib.contextmanager
+def for_task(*caches: dict) -> Iterator[None]:
+    """Word caches go when a task ends, and the free memory with them: a worker lives on for other stages, idle or not."""
+    try:
+        yield
+    finally:
+        for c in caches:
+            c.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Intermediate tables in the shared folder. Written tables survive lost executors and cut the lineage.
 

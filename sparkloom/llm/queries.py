@@ -52,7 +52,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = tokens.read_rows(tokens.prefix_rows(docs, public_tokenizers.path("piece_bpe_32k.model")), LIMIT)
+    rows = tokens.measured_rows(docs, public_tokenizers.path("piece_bpe_32k.model"), LIMIT)
     return rows.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.size("pieces") > 1).alias("over_limit"),
         F.col("pieces")[0]["chars"].alias("chars_within"), "prefix_row",

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, hamming, langid, linededup, neardup, packing, quality, sharding, suffix, tokens
+from sparkloom.llm import decontam, hamming, langid, linededup, neardup, packing, quality, queries, sharding, suffix, tokens
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -444,6 +444,17 @@ def test_token_frames(spark, model):
     assert tokens.count_tokens(df.limit(0), model).count() == 0
 
 
+def test_tokens_in_one_pass(spark, sf, model):
+    """Rows, counts and pieces come from one worker a task, also where a batch holds more texts than a slice."""
+    r = random.Random(3)
+    some = make(spark, [(i, prose(r, i % 50)) for i in range(600)] + [(None, None), (-1, "")]).repartition(1)
+    made = tokens.measured_rows(some, model, 20)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    both = tokens.read_rows(tokens.prefix_rows(some, model), 20).select(made.columns)
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, both.collect()))
+    assert queries.op7_token_counts(spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_token_query(spark, sf, model):
     """Every document's count against the library."""
     import sentencepiece
