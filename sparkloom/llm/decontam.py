@@ -25,6 +25,7 @@ columns are kept.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 import re
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, each, for_task
 
 MASKS = ("1101111", "111010011", "1100101011", "110001111")
 WINDOW, PERCENT, RUN, LEAST_SPACED, LEAST_TOLERANT = 20, 80, 13, 12, 5
@@ -60,6 +61,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def words_for_task() -> contextlib.AbstractContextManager:
+    """for_task on the module's own cache: a function within another is sent with a copy of what it names."""
+    return for_task(_words)
+
+
 def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, _WORD.findall(text.lower())), np.uint64)
 
@@ -201,8 +207,9 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
     @F.arrow_udf("binary")
     def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array([word_hashes(t).tobytes() for t in batch.to_pylist()], pa.binary())
+        with words_for_task():
+            for batch in texts:
+                yield pa.array([word_hashes(t).tobytes() for (t,) in each(batch)], pa.binary())
 
     given = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("t")).where("t is not null").select("item_id", "t", *_text_key(F.col("t"))).distinct()
     wanted = put.keep(given.select("item_id", "a", "b", hashed("t").alias("words")), "items")
@@ -213,19 +220,20 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, log2 = shared.value
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t")), strict=True)
-            for some in _by_words(((a, b, word_hashes(t)) for a, b, t in rows)):
-                flat = np.concatenate([x for _, _, words in some for x in (_GAP, words)] + [_GAP])
-                begin = np.cumsum([0] + [len(_GAP) + len(words) for _, _, words in some[:-1]]) + len(_GAP)
-                a, b = (np.array([r[k] for r in some], np.int64) for k in (0, 1))
-                for m, mask, _ in masks:
-                    h = seeds(flat, mask, m)
-                    at = _in_filter(cells, log2, h)
-                    doc = np.searchsorted(begin, at + len(mask) - 1, "right") - 1  # a place before the first word is the next document's
-                    own = doc >= 0
-                    at, doc = at[own], doc[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(a[doc]), pa.array(b[doc]), pa.array((at - begin[doc]).astype(np.int32))], names=["seed", "a", "b", "place"])
+        with words_for_task():
+            for batch in batches:
+                rows = each(*(batch.column(c) for c in ("a", "b", "t")))
+                for some in _by_words(((a, b, word_hashes(t)) for a, b, t in rows)):
+                    flat = np.concatenate([x for _, _, words in some for x in (_GAP, words)] + [_GAP])
+                    begin = np.cumsum([0] + [len(_GAP) + len(words) for _, _, words in some[:-1]]) + len(_GAP)
+                    a, b = (np.array([r[k] for r in some], np.int64) for k in (0, 1))
+                    for m, mask, _ in masks:
+                        h = seeds(flat, mask, m)
+                        at = _in_filter(cells, log2, h)
+                        doc = np.searchsorted(begin, at + len(mask) - 1, "right") - 1  # a place before the first word is the next document's
+                        own = doc >= 0
+                        at, doc = at[own], doc[own]
+                        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(a[doc]), pa.array(b[doc]), pa.array((at - begin[doc]).astype(np.int32))], names=["seed", "a", "b", "place"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").select("t", *_text_key(F.col("t")))
     probes = put.keep(texts.mapInArrow(look, _SEED), "probes")
@@ -236,12 +244,13 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     asked = put.keep(with_size.groupBy("a", "b").agg(F.collect_list(F.struct("ia", "ib", "shift", "n")).alias("asked")), "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, text, want in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t", "asked")), strict=True):
-                words = word_hashes(text)
-                rows = [{"a": a, "b": b, "ia": w["ia"], "ib": w["ib"], "shift": w["shift"], "covered": words[max(0, w["shift"]) : max(0, w["shift"] + w["n"])].tobytes()} for w in want]
-                for k in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=_CUT)
+        with words_for_task():
+            for batch in batches:
+                for a, b, text, want in each(*(batch.column(c) for c in ("a", "b", "t", "asked"))):
+                    words = word_hashes(text)
+                    rows = [{"a": a, "b": b, "ia": w["ia"], "ib": w["ib"], "shift": w["shift"], "covered": words[max(0, w["shift"]) : max(0, w["shift"] + w["n"])].tobytes()} for w in want]
+                    for k in range(0, len(rows), 5000):
+                        yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=_CUT)
 
     covered = texts.join(asked, ["a", "b"]).dropDuplicates(["a", "b"]).mapInArrow(cut, "a bigint, b bigint, ia bigint, ib bigint, shift int, covered binary")
 

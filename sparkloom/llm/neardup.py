@@ -28,6 +28,7 @@ document with several sets, linked by any of them. An empty table gives an empty
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, each
+from .common import Scratch, each, for_task
 
 PERMS, BANDS, ROWS, SHIFT, CACHE = 120, 40, 6, 7, 150_000
 SMALL, DEAL, SMALL_GRAPH, CELLS_LOG2 = 8, 256, 500_000, 20
@@ -57,6 +58,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def words_for_task() -> contextlib.AbstractContextManager:
+    """for_task on the module's own cache: a function within another is sent with a copy of what it names."""
+    return for_task(_words)
+
+
 def _finish(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -101,14 +107,15 @@ def sketch(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
 
     @F.arrow_udf(_SKETCH)
     def make(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            n, digest, all_keys = [], [], []
-            for (t,) in each(batch):
-                s = shingles(t, size)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                all_keys.append(keys(s) if len(s) else None)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["n", "digest", "keys"])
+        with words_for_task():
+            for batch in texts:
+                n, digest, all_keys = [], [], []
+                for (t,) in each(batch):
+                    s = shingles(t, size)
+                    n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    all_keys.append(keys(s) if len(s) else None)
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["n", "digest", "keys"])
 
     return df.select(F.col(id_col).alias("id"), make(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
 
@@ -240,8 +247,9 @@ def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
 
         @F.arrow_udf("binary")
         def full(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in texts:
-                yield pa.array([shingles(t, size).tobytes() for t in batch.to_pylist()], pa.binary())
+            with words_for_task():
+                for batch in texts:
+                    yield pa.array([shingles(t, size).tobytes() for (t,) in each(batch)], pa.binary())
 
         sets = put.keep(ids.join(buckets.select("id").distinct(), "id").distinct().select("id", full("text").alias("set")), "sets")
         sizes = classes.select(F.col("id").alias("a"), F.col("n").alias("na"))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,18 @@ def test_rarest_shingles_are_shared(spark):
         assert 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and rare[i] & rare[j]
 
 
+def test_word_caches_go_when_a_task_ends(spark, texts):
+    """A worker lives on for other stages, idle or not."""
+    docs = make(spark, texts)
+    neardup.sketch(docs, 2, "doc_id", "text").collect()
+    decontam.overlaps(docs, docs.where("doc_id < 3").select(F.col("doc_id").alias("item_id"), "text")).collect()
+
+    def held(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [len(neardup._words) + len(decontam._words)]}) for _ in batches)
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n bigint").collect()} == {0}
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.components(make(spark, []), 5).count() == 0
     assert {r.component_id for r in neardup.components(make(spark, [(1, None), (2, "")]), 5).collect()} == {1, 2}
