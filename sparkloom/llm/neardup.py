@@ -12,7 +12,9 @@ Documents with equal shingle sets form one class, known by its smallest id; only
 3. Classes of larger buckets that still do: pairs that share one of their rarest shingles. In an order of all shingles
    by their frequency, sets of n with a similarity of p % share one of the first n - ceil(p n / 100) + 1, so
    no link is lost (the order is by a sketch of the frequencies of fixed size, which only changes how many pairs there
-   are). Classes are first compared with the pivot of the shingle, then those of different components with each other.
+   are). Classes are first compared with the pivot of the shingle, then those of different components with each other,
+   if at the shingle's places so much of both sets is left as a link needs: true of the first one that linked sets share,
+   and false where the one has too many rare shingles of its own, as copies of a template have.
 So no partner is dropped, and no bucket is expanded into all of its pairs; what remains is quadratic only in
 the components that share a rare shingle. Every link is confirmed on the full sets (64-bit hashes of the shingles).
 Rows of large buckets are dealt to several tasks by a salt, and a pivot's set is sent once to each.
@@ -204,7 +206,7 @@ def _fits(x: Column, y: Column, percent: int) -> Column:
 
 
 def _rare(put: Scratch, sets: DataFrame, percent: int) -> DataFrame:
-    """id, n, token: of each set the rarest shingles, of which it shares one with any that it is linked with."""
+    """id, n, at, token: of each set the rarest shingles with their places, of which it shares one with any that it is linked with."""
     size = 1 << CELLS_LOG2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def _rare(put: Scratch, sets: DataFrame, percent: int) -> DataFrame:
                 out.append(t[np.lexsort((t, shared.value[(t >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)]))[:n]].view(np.int64))
             yield pa.array(out, pa.list_(pa.int64()))
 
-    return put.keep(sets.select("id", (F.length("set") / 8).cast("int").alias("n"), F.explode(first("set")).alias("token")), "rare")
+    return put.keep(sets.select("id", (F.length("set") / 8).cast("int").alias("n"), F.posexplode(first("set")).alias("at", "token")), "rare")
 
 
 def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,14 +269,14 @@ def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
         if not large.isEmpty():
             rare = _rare(put, sets.join(large, "id"), percent)
             of_token = rare.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).where("m > 1")
-            groups = put.keep(_with_counts(rare.withColumnRenamed("token", "key"), of_token.withColumnRenamed("token", "key")).select("key", "id", "n", "m", "pivot"), "groups")
+            groups = put.keep(_with_counts(rare.withColumnRenamed("token", "key"), of_token.withColumnRenamed("token", "key")).select("key", "id", "n", "at", "m", "pivot"), "groups")
             labels = contract(put, links)
             apart = put.keep(_mixed(_named(groups, labels)), "apart")
             own = apart.where("id <> pivot").join(_named(apart.select(F.col("pivot").alias("id")).distinct(), labels).select(F.col("id").alias("pivot"), F.col("comp").alias("other")), "pivot")
             found = put.keep(_confirm(own.where("comp <> other").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "m"), sets, percent), "links")
             links = links.unionAll(found)
             labels = contract(put, links)
-            rest = put.keep(_mixed(_named(apart.select("key", "id", "n", "m"), labels)), "rest")
+            rest = put.keep(_mixed(_named(apart.select("key", "id", "n", "at", "m"), labels)), "rest")
             links = links.unionAll(put.keep(_confirm(_pairs(rest, percent), sets, percent), "links"))
             put.drop(rare, groups, apart)
         labels = contract(put, links)
@@ -312,8 +314,15 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b, m: pairs with a key in common, of different components and sizes that do not rule a link out."""
-    x = rows.select("key", "m", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    some = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent))
-    return some.groupBy("a", "b").agg(F.max("m").alias("m"))
+    """a, b, m: pairs with a key in common, of different components and sizes that do not rule a link out.
+
+    If rows have places (at), neither do these: at the first shingle that two sets share, in the order of all, so many must
+    be left in both as a link needs in common. Each linked pair has such a key.
+    """
+    placed = "at" in rows.columns
+    x = rows.select("key", "m", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *([(F.col("n") - F.col("at")).alias("la")] if placed else []))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *([(F.col("n") - F.col("at")).alias("lb")] if placed else []))
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent)
+    if placed:
+        fits &= F.least("la", "lb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return x.join(y, "key").where(fits).groupBy("a", "b").agg(F.max("m").alias("m"))

@@ -270,6 +270,23 @@ def test_rarest_shingles_are_shared(spark):
         assert 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and rare[i] & rare[j]
 
 
+def test_rarest_shingles_by_place(spark):
+    """Sets with many rare shingles of their own are paired with no set of the same template; no linked pair goes."""
+    from sparkloom.llm.common import Scratch
+
+    r = np.random.default_rng(2)
+    base = r.integers(1, 2**63, 200).astype(np.uint64)
+    own = [8] * 40 + [30] * 40  # 30 of 200: what is left in common is too little for a link
+    sets = [np.unique(np.concatenate([r.choice(base, 200 - n, False), r.integers(1, 2**63, n).astype(np.uint64)])) for n in own]
+    linked = {(i, j) for j in range(80) for i in range(j) if neardup._linked(sets[i], sets[j], 80)}
+    assert len(linked) > 300
+    frame = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id bigint, set binary")
+    rare = neardup._rare(Scratch(spark, "t"), frame, 80).withColumnRenamed("token", "key").withColumn("m", F.lit(9)).withColumn("comp", F.col("id"))
+    found = {(x.a, x.b) for x in neardup._pairs(rare, 80).collect()}
+    assert linked <= found and all(j < 40 for _, j in found)
+    assert any(j >= 40 for _, j in ((x.a, x.b) for x in neardup._pairs(rare.drop("at"), 80).collect()))
+
+
 def test_word_caches_go_when_a_task_ends(spark, texts):
     """A worker lives on for other stages, idle or not."""
     docs = make(spark, texts)
