@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, each, for_task
 
 PERMS, BANDS, ROWS, SHIFT, CACHE = 120, 40, 6, 7, 150_000
-SMALL, DEAL, SMALL_GRAPH, CELLS_LOG2 = 8, 256, 500_000, 20
+SMALL, DEAL, DEALT, SMALL_GRAPH, CELLS_LOG2 = 8, 256, 1 << 16, 500_000, 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(7).integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = np.random.default_rng(8).integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -292,13 +292,16 @@ def components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
 def _with_counts(keyed: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows (key, id, ...) of the keys in counts (key, m, pivot), with m and pivot; those of frequent keys dealt by a salt.
 
-    The frequent keys are DEAL times fewer than the rows; being a small written or aggregated table, they are broadcast
-    if their measured size allows.
+    How many ways is told by a table of DEALT cells of keys, each dealt as its most frequent key is. It has that size for
+    any input and is broadcast, so no row is moved to learn its salt and a frequent key meets in no task.
     """
+    cell = F.pmod("key", F.lit(DEALT))
     parts = F.ceil(F.col("m") / DEAL).cast("int")
-    hot = counts.where(F.col("m") > DEAL).select("key", parts.alias("parts"))
-    rows = keyed.join(hot, "key", "left").withColumn("s", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).drop("parts")
-    return rows.join(counts.withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1))), ["key", "s"])
+    once = keyed.sparkSession.range(DEALT).select(F.col("id").alias("cell"), F.lit(1).alias("parts"))
+    cells = F.broadcast(once.unionAll(counts.where(F.col("m") > DEAL).select(cell.alias("cell"), parts.alias("parts"))).groupBy("cell").agg(F.max("parts").alias("parts")))
+    rows = keyed.withColumn("cell", cell).join(cells, "cell").withColumn("s", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("cell", "parts")
+    dealt = counts.withColumn("cell", cell).join(cells, "cell").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("cell", "parts")
+    return rows.join(dealt, ["key", "s"])
 
 
 def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -287,6 +288,19 @@ def test_rarest_shingles_by_place(spark):
     assert any(j >= 40 for _, j in ((x.a, x.b) for x in neardup._pairs(rare.drop("at"), 80).collect()))
 
 
+@pytest.mark.parametrize("deal", [4, 1000])
+def test_frequent_keys_are_dealt(spark, monkeypatch, deal):
+    """Each row is found once, and learns its salt from a table of fixed size, with frequent keys or without."""
+    monkeypatch.setattr(neardup, "DEAL", deal)
+    monkeypatch.setattr(neardup, "DEALT", 3)
+    rows = [(key, 100 * key + k) for key in range(-6, 6) for k in range(1 + 5 * (key % 4))]
+    size = Counter(key for key, _ in rows)
+    frame = spark.createDataFrame([(key, n, 100 * key) for key, n in size.items() if n > 1], "key bigint, m bigint, pivot bigint")
+    got = neardup._with_counts(spark.createDataFrame(rows, "key bigint, id bigint"), frame).select("key", "id", "m", "pivot")
+    assert "LeftOuter" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((key, i, size[key], 100 * key) for key, i in rows if size[key] > 1)
+
+
 def test_word_caches_go_when_a_task_ends(spark, texts):
     """A worker lives on for other stages, idle or not."""
     docs = make(spark, texts)
