@@ -252,7 +252,8 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                     for k in range(0, len(rows), 5000):
                         yield pa.RecordBatch.from_pylist(rows[k : k + 5000], schema=_CUT)
 
-    covered = texts.join(asked, ["a", "b"]).dropDuplicates(["a", "b"]).mapInArrow(cut, "a bigint, b bigint, ia bigint, ib bigint, shift int, covered binary")
+    # written, as is what each step of Python makes: steps in one task have a worker each, which all live on for other stages
+    covered = put.keep(texts.join(asked, ["a", "b"]).dropDuplicates(["a", "b"]).mapInArrow(cut, "a bigint, b bigint, ia bigint, ib bigint, shift int, covered binary"), "covered")
 
     @F.arrow_udf("struct<n_same:int,first_word:int,run:int,need:int>")
     def held(words: pa.Array, covers: pa.Array, shifts: pa.Array) -> pa.Array:
@@ -263,11 +264,12 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
             out.append({"n_same": n, "first_word": max(0, s + k), "run": run, "need": least_same(min(WINDOW, len(x)))})
         return pa.array(out, pa.struct([(c, pa.int32()) for c in ("n_same", "first_word", "run", "need")]))
 
+    # a condition on what may differ from call to call is not moved below the call, which would be made twice
     on_words = wanted.select("item_id", F.col("a").alias("ia"), F.col("b").alias("ib"), "words")
-    checked = covered.join(on_words, ["ia", "ib"]).select("a", "b", "item_id", held("words", "covered", "shift").alias("h")).where(f"h.n_same >= h.need or h.run >= {RUN}")
+    checked = covered.join(on_words, ["ia", "ib"]).select("a", "b", "item_id", held.asNondeterministic()("words", "covered", "shift").alias("h")).where(f"h.n_same >= h.need or h.run >= {RUN}")
     best = checked.groupBy("a", "b", "item_id").agg(F.max(F.struct("h.n_same", (-F.col("h.first_word")).alias("f"))).alias("x"))
     found = put.keep(best.select("a", "b", "item_id", "x.n_same", (-F.col("x.f")).alias("first_word")), "found")
-    put.drop(wanted, hits, asked)
+    put.drop(wanted, hits, asked, covered)
     return found
 
 

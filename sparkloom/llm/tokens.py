@@ -325,14 +325,16 @@ def measured_rows(df: DataFrame, model_file: str, budget: int, text_col: str = "
 
 
 def measure(df: DataFrame, model_file: str, budget: int, text_col: str = "text") -> DataFrame:
-    """The same from the texts, for callers that do not want the rows."""
+    """The same from the texts, a slice of a batch at a time, for callers that do not want the rows."""
 
     @F.arrow_udf(_COUNTED)
     def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(model_file, WordCounter)
         with for_task(c.totals):
             for batch in texts:
-                yield _counted(list(c.measure(batch.to_pylist(), budget)))
+                for k in range(0, len(batch), SLICE):
+                    yield _counted(list(c.measure(batch.slice(k, SLICE).to_pylist(), budget)))
+                pa.default_memory_pool().release_unused()
 
     return _with_counted(df, read(F.col(text_col).cast("string")))
 

@@ -153,6 +153,22 @@ def test_quality_stage_against_plain_version(spark, sf, stages):
     assert ids(after) == sorted(i for (i, _), p in want.items() if p >= quality.THRESHOLD)
 
 
+def test_one_worker_a_task(spark, sf, monkeypatch):
+    """Steps of Python in one task have a worker each; these live on, idle or not, and hold memory in all later stages."""
+    from sparkloom.llm.common import Scratch
+
+    keep, steps = Scratch.keep, {}
+
+    def watched(self, df, name="t"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        steps[name] = max(steps.get(name, 0), plan.count("ArrowEvalPython") + plan.count("MapInArrow"))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    corpus_pipeline.run(spark, sf)
+    assert steps["found"] == 1 and max(steps.values()) == 1, steps
+
+
 def test_scratch_tables_go(spark, sf):
     from sparkloom.llm.common import Scratch, release
 
